@@ -40,27 +40,20 @@ def collapse(c: Column) -> Column:
 
 
 def repair_sheet_token(c: Column) -> Column:
-    """Letters that stand next to a digit of the cleaned text become digits."""
-    cleaned = F.translate(F.regexp_replace(F.trim(_upper(c)), "[—–]", "-"), "_ .", "")
+    """Letters that stand next to a digit of the cleaned text become digits.
 
-    def repaired(s: Column) -> Column:
-        def fix(ch: Column, i: Column) -> Column:
-            around = F.concat(F.when(i > 0, F.substring(s, i, F.lit(1))).otherwise(""),
-                              F.substring(s, i + 2, F.lit(1)))
-            near_digit = around.rlike("[0-9]")
-            return (F.when(near_digit & (ch == "O"), "0")
-                    .when(near_digit & ch.isin("I", "L", "|"), "1")
-                    .when(near_digit & (ch == "S"), "5")
-                    .when(near_digit & (ch == "B"), "8")
-                    .otherwise(ch))
-        return F.array_join(F.transform(F.split(s, ""), fix), "")
-
-    return let(cleaned, repaired)
+    Marks stand in for the new digits until all four classes are done, so a
+    repaired letter never makes its neighbour look like one beside a digit.
+    """
+    s = F.translate(F.regexp_replace(F.trim(_upper(c)), "[—–]", "-"), "_ .", "")
+    for letters, mark in (("O", "\u0001"), ("[IL|]", "\u0002"), ("S", "\u0003"), ("B", "\u0004")):
+        s = F.regexp_replace(s, f"(?<=[0-9]){letters}|{letters}(?=[0-9])", mark)
+    return F.translate(s, "\u0001\u0002\u0003\u0004", "0158")
 
 
 def sheet_class(c: Column) -> Column:
-    return let(F.regexp_replace(repair_sheet_token(c), "-$", ""),
-               lambda s: F.when(s.rlike(SHEET_E), "E").when(s.rlike(SHEET_OTHER), "nonE").otherwise("none"))
+    s = F.regexp_replace(repair_sheet_token(c), "-$", "")
+    return F.when(s.rlike(SHEET_E), "E").when(s.rlike(SHEET_OTHER), "nonE").otherwise("none")
 
 
 def clean_text(c: Column) -> Column:
