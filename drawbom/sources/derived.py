@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from drawbom.sources.catalogs import CATALOGS, values_sql
+
 # Words that recognised schedule pages carry, with slips.
 PAGE_WORDS = ["PANEL", "SCHEDULE", "SCHEDULES", "PANE1", "SCHEDUIE", "E-101", "E2O1", "M-201", "RISER",
               "SINGLE", "LINE", "DIAGRAM", "DRAWING", "CKT", "DESCRIPTION", "TRIP", "POLES", "AMPS", "BUS",
@@ -81,7 +83,7 @@ def _tokens(d):
     vocab = d.pick(PAGE_WORDS, "doc_id * 5 + pos * pos + pos * 3")
     return f"""SELECT page_id, pdf_id, pos, text, conf, x1, y1, x1 + 8 * length(text) AS x2, y1 + 14 AS y2
     FROM (SELECT doc_id AS page_id, {d.div('doc_id', '20')} AS pdf_id, pos,
-        CASE WHEN pos % 2 = 0 THEN {vocab} ELSE regexp_replace(word, '[^ -~]', 'e'{'' if d.spark else ", 'g'"}) END AS text,
+        CASE WHEN (pos + {d.div('pos', '12')}) % 2 = 0 THEN {vocab} ELSE regexp_replace(word, '[^ -~]', 'e'{'' if d.spark else ", 'g'"}) END AS text,
         CAST(30 + (doc_id * 7 + pos * 13) % 70 AS DOUBLE) / 100 AS conf,
         CAST((pos % 12) * 90 AS BIGINT) AS x1,
         CAST({d.div('pos', '12')} * 20 + (doc_id + pos) % 5 AS BIGINT) AS y1
@@ -251,6 +253,7 @@ DERIVED = {
     "transformer_items": (_transformer_items, ["orders"]),
     "settings": (_settings, ["orders", "customer"]),
 }
+DERIVED.update({name: (lambda d, n=name: values_sql(n, d.spark), []) for name in CATALOGS})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
