@@ -111,16 +111,14 @@ def mccb_part_number(requests: DataFrame) -> DataFrame:
             .drop("_p").withColumn("enclosure_product", mccb_enclosure(F.col("product"), F.col("poles"), F.col("style"))))
 
 
-def _items(panels: DataFrame, items: dict[str, Column]) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("item_type"), v.alias("product")) for k, v in items.items()])
-    return (panels.select("panel_id", F.explode(rows).alias("i")).select("panel_id", "i.item_type", "i.product")
-            .filter("product IS NOT NULL"))
+def _items(items: dict[str, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("item_type"), v.alias("product")) for k, v in items.items()])
 
 
-def neutral_sizes(neutrals: DataFrame, family: str) -> DataFrame:
-    """Neutral ladders of a family as one row of arrays; catalogs only."""
+def neutral_sizes(neutrals: DataFrame) -> DataFrame:
+    """Neutral ladders, one row of arrays per family; catalogs only."""
     part = lambda size: F.array_sort(F.collect_list(F.when(F.col("size") == size, F.struct("amps", "product"))))
-    return neutrals.filter(F.col("family") == family).groupBy("family").agg(part("100%").alias("n100"), part("200%").alias("n200"))
+    return neutrals.groupBy("family").agg(part("100%").alias("n100"), part("200%").alias("n200"))
 
 
 def _neutral(col: str, amps: Column) -> Column:
@@ -135,12 +133,8 @@ def _trim(box: Column, amps: Column) -> Column:
 NO_SE = "Panel not suitable for service entrance."
 
 
-def nq_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
-    """Interior, box, trim and accessories of matched NQ panels, long form.
-
-    Needs interior, box, matched_amps, matched_spaces, material, enclosure,
-    trim, voltage, feed_thru, spd_ka.
-    """
+def nq_parts() -> Column:
+    """Interior, box, trim and accessories of a matched NQ panel."""
     amps, box = F.col("matched_amps"), F.col("box").cast("string")
     copper = F.col("material") == "COPPER"
     low = F.col("matched_spaces").isin(30, 42)
@@ -149,8 +143,7 @@ def nq_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
     spd = F.when(F.col("spd_ka").isin(*SPD_KA), F.concat(
         F.lit("SSP0"), F.when(F.col("voltage") == 120, "1").otherwise("2"), F.lit("SBA"),
         F.lpad((F.col("spd_ka") / 10).cast("int").cast("string"), 2, "0"), F.lit("D")))
-    df = panels.withColumn("family", F.lit("NQ")).join(neutral_sizes(neutrals, "NQ"), "family", "left")
-    return _items(df, {
+    return _items({
         "Interior": F.concat("interior", F.when(copper, "C").otherwise("")), "Box": F.concat(F.lit("MH"), box, F.lit("BE")),
         "Trim": F.when(F.col("enclosure") == "NEMA3R", F.concat(F.lit("MH"), box, F.lit("WP"))).otherwise(_trim(box, amps)),
         "Ground Bar Kit": F.when(copper, "PK27GTACU").otherwise("PK27GTA"),
@@ -158,7 +151,7 @@ def nq_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
         "Feed-Thru Lugs": lugs, "SPD": spd, "Note": F.lit(NO_SE)})
 
 
-def nf_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
+def nf_parts() -> Column:
     amps, box = F.col("matched_amps"), F.col("box").cast("string")
     spaces, copper, outdoor = F.col("matched_spaces"), F.col("material") == "COPPER", F.col("enclosure") == "NEMA3R"
     interior = F.concat("interior", F.when(copper & ~F.col("interior").endswith("C"), "C").otherwise(""))
@@ -170,25 +163,21 @@ def nf_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
               .when((amps == 125) & spaces.isin(42, 54), "PK23GTA").when(amps.isin(250, 400, 600), "PK27GTA"))
     lugs = F.when(F.col("feed_thru"), F.when(amps <= 125, "NF125FTL").when(amps <= 250, "NF250FTL").when(amps <= 400, "NF400FTL"))
     ok = lambda c: F.when(~impossible, c)
-    df = panels.withColumn("family", F.lit("NF")).join(neutral_sizes(neutrals, "NF"), "family", "left")
-    return _items(df, {
+    return _items({
         "Interior": ok(interior), "Box": ok(F.concat(F.lit("MH"), box, F.lit("BE"))), "Trim": ok(trim), "Ground Bar Kit": ok(ground),
         "Neutral (100%)": ok(_neutral("n100", amps)), "Neutral (200%)": ok(_neutral("n200", amps)), "Feed-Thru Lugs": ok(lugs),
         "Note": F.when(impossible, "no outdoor trim for this size").otherwise(NO_SE)})
 
 
-def iline_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
-    """Needs series, interior, box, matched_amps, material, enclosure, trim,
-    voltage, spd_ka, main_frame (null for main-lug panels)."""
+def iline_parts() -> Column:
     amps, outdoor = F.col("matched_amps"), F.col("enclosure") == "NEMA3R"
-    copper = F.col("material") == "COPPER"
+    copper = F.col("matched_material") == "COPPER"
     kits = _map({f"{s}|{l}": k for s, by in BARRIER_KITS.items() for l, k in by.items()})
     first = _map({s: next(iter(by.values())) for s, by in BARRIER_KITS.items()})
     kit = F.when(F.col("has_main"), F.coalesce(
         F.try_element_at(kits, F.concat_ws("|", "series", F.substring("main_frame", 1, 1))), F.try_element_at(first, F.col("series"))))
     spds = _map({f"{v}|{k}": p for v, by in ILINE_SPD.items() for k, p in by.items()})
-    df = panels.withColumn("family", F.lit("I-LINE")).join(neutral_sizes(neutrals, "I-LINE"), "family", "left")
-    return _items(df, {
+    return _items({
         "Interior": F.concat("interior", F.when((F.col("series") == "HCJ") & copper, "CU").otherwise("")),
         "Box": F.concat("box", F.when(outdoor, "WP").otherwise("DB")),
         "Trim": F.when(outdoor, "Included with NEMA3R").otherwise(F.concat("box", F.when(F.col("trim") == "FLUSH", "TF").otherwise("TS"))),
@@ -197,6 +186,20 @@ def iline_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
         "Service Entrance Kit": kit, "Note": F.when(kit.isNull(), NO_SE)})
 
 
+def panel_parts(panels: DataFrame, neutrals: DataFrame) -> DataFrame:
+    """Parts of matched panels of every family, one row per part.
+
+    Needs family, series, interior, box, matched_amps, matched_spaces, material,
+    matched_material, enclosure, trim, voltage, feed_thru, spd_ka, has_main,
+    main_frame (null for main-lug panels). One pass: the family picks the item
+    list inside the row.
+    """
+    items = (F.when(F.col("family") == "NQ", nq_parts()).when(F.col("family") == "NF", nf_parts())
+             .when(F.col("family") == "I-LINE", iline_parts()))
+    return (panels.join(neutral_sizes(neutrals), "family", "left").select("panel_id", F.explode(items).alias("i"))
+            .select("panel_id", "i.item_type", "i.product").filter("product IS NOT NULL"))
+
+
 def external_spd(requests: DataFrame, spd_parts: DataFrame) -> DataFrame:
     """Exact lookup by service and kA; a miss is reported, not raised."""
     out = requests.join(spd_parts, ["service", "ka"], "left")

@@ -43,7 +43,7 @@ MCCB_SQL = REQ_SQL + ", " + _LETTERS + ", " + _AMPS + """,
   q2 AS (SELECT q1.*, CASE WHEN frame = 'B' AND l.letter = 'K' AND poles = 3 THEN NULL ELSE l.letter END AS letter FROM q1 LEFT JOIN letters l ON l.kind = q1.kind AND l.volts = CASE WHEN q1.kind = 'Q' AND q1.volts <= 240 THEN 240 ELSE q1.volts END AND l.ka = q1.ka),
   q3 AS (SELECT *, CASE WHEN frame = 'B' AND letter = 'K' THEN 'BK' WHEN frame IN ('H', 'J') THEN frame || CASE trip WHEN 'ELECTRONIC' THEN 'E' ELSE 'M' END WHEN kind = 'LE' AND grounding THEN 'LEG' WHEN frame = 'R' AND termination <> 'LUG' THEN 'RI' ELSE kind END AS ak,
     frame || letter || CASE WHEN termination = 'LUG' THEN CASE frame WHEN 'R' THEN 'F' ELSE 'L' END WHEN frame = 'L' THEN '' ELSE 'A' END || poles || CASE WHEN frame = 'Q' THEN '2' WHEN frame = 'P' AND letter = 'L' AND volts = 480 THEN '4' ELSE '6' END
-      || CASE WHEN frame = 'M' THEN CASE amps WHEN 400 THEN '400' ELSE '800' END WHEN frame IN ('P', 'R') THEN lpad(CAST(amps // 10 AS VARCHAR), 3, '0') ELSE lpad(CAST(amps AS VARCHAR), greatest(3, length(CAST(amps AS VARCHAR))), '0') END
+      || CASE WHEN frame = 'M' THEN CASE amps WHEN 400 THEN '400' ELSE '800' END WHEN frame IN ('P', 'R') THEN lpad(CAST(amps // 10 AS VARCHAR), 3, '0') ELSE lpad(CAST(amps AS VARCHAR), 3, '0') END
       || CASE WHEN (frame IN ('H', 'J') OR kind = 'LE') AND trip = 'ELECTRONIC' THEN CASE WHEN grounding THEN 'U44X' ELSE 'U31X' END WHEN frame = 'P' AND (grounding OR amps IN (250, 400)) THEN CASE WHEN grounding THEN 'U44A' ELSE 'U31A' END
         WHEN frame = 'R' THEN CASE termination WHEN 'LUG' THEN '' ELSE 'C' END || CASE WHEN grounding THEN 'U44A' WHEN termination <> 'LUG' OR amps IN (600, 800, 1000, 3000) THEN 'U31A' ELSE '' END ELSE '' END
       || CASE WHEN termination <> 'LUG' AND trip = 'MAGNETIC' THEN CASE poles || phasing WHEN '1A' THEN '1' WHEN '1B' THEN '3' WHEN '1C' THEN '5' WHEN '2AB' THEN '1' WHEN '2AC' THEN '2' WHEN '2BA' THEN '3' WHEN '2BC' THEN '4' WHEN '2CA' THEN '5' WHEN '2CB' THEN '6' ELSE '' END ELSE '' END AS part FROM q2),
@@ -96,11 +96,8 @@ PARTS_SQL = LUG + ", pl AS (SELECT *, enclosure = 'NEMA3R' AND matched_amps = 60
 
 def panel_parts(panels, breakers, frames, ladder, panel_catalog, iline_catalog, neutrals):
     found = se.search_lug_panel(prepared(panels, breakers, frames, ladder), panel_catalog, iline_catalog)
-    nq = pt.nq_parts(found.filter("family = 'NQ'").drop("family"), neutrals)
-    nf = pt.nf_parts(found.filter("family = 'NF'").drop("family"), neutrals)
-    il = found.filter("family = 'I-LINE'").drop("family").withColumns({
-        "has_main": F.col("main_amps").isNotNull(), "main_frame": F.lit(None).cast("string"), "material": F.col("matched_material")})
-    return nq.unionByName(nf).unionByName(pt.iline_parts(il, neutrals))
+    found = found.withColumns({"has_main": F.col("main_amps").isNotNull(), "main_frame": F.lit(None).cast("string")})
+    return pt.panel_parts(found, neutrals)
 
 
 PART_TABLES = "panels breakers frames ladder panel_catalog iline_catalog neutrals"

@@ -34,13 +34,13 @@ RANK = "CASE {c}.series WHEN 'HCJ' THEN 0 WHEN 'HCP' THEN 1 ELSE 2 END"
 FIRST = "CASE WHEN p.bus_amps <= 250 THEN 0 WHEN p.bus_amps <= 800 THEN 1 ELSE 2 END"
 DEFAULT_SERIES = "CASE WHEN bus_amps > 800 OR {s} > 99 THEN 'HCR-U' WHEN bus_amps > 250 THEN 'HCP' ELSE 'HCJ' END"
 LUG = PREPARED + f""", cand AS (
-    SELECT p.panel_id, CASE c.family WHEN 'NQ' THEN 0 ELSE 1 END AS cost, 0 AS rank, c.max_amps - bus_amps AS da, c.spaces - p.spaces AS ds, c.ord, c.family, CAST(NULL AS VARCHAR) AS series, c.max_amps AS a, c.spaces AS s, p.material, c.interior, c.box
+    SELECT p.panel_id, CASE c.family WHEN 'NQ' THEN 0 ELSE 1 END AS cost, 0 AS rank, c.max_amps - bus_amps AS da, c.spaces - p.spaces AS ds, c.ord, c.family, CAST(NULL AS VARCHAR) AS series, c.max_amps AS a, c.spaces AS s, p.material, c.interior, CAST(c.box AS VARCHAR) AS box
     FROM prep p JOIN cat c ON c.main = 'MAIN LUG' AND c.voltage = lv AND c.phase = p.phase AND c.max_amps >= bus_amps AND c.spaces >= p.spaces AND CASE c.family WHEN 'NQ' THEN allow_nq ELSE allow_nf END
     UNION ALL SELECT p.panel_id, 2, {RANK.format(c='c')}, c.amps - bus_amps, c.spaces - greatest(p.spaces, frame_spaces), c.ord, 'I-LINE', c.series, c.amps, c.spaces, c.material, c.interior, c.box
     FROM prep p JOIN iline_catalog c ON c.main = 'MAIN LUG' AND c.enclosure = p.enclosure AND {RANK.format(c='c')} >= {FIRST} AND {METAL.format(c='c')} AND (p.enclosure = 'NEMA3R' OR c.trim = p.trim)
       AND c.amps >= bus_amps AND c.spaces >= greatest(p.spaces, frame_spaces)),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY cost, rank, da, ds, ord) AS n FROM cand) x WHERE n = 1),
-  chance AS (SELECT * FROM (SELECT p.panel_id, c.max_amps AS a, c.spaces AS s, c.interior, c.box, row_number() OVER (PARTITION BY p.panel_id ORDER BY c.ord) AS n FROM prep p JOIN cat c ON c.family = 'NQ' AND c.main = 'MAIN LUG' AND c.voltage = 208
+  chance AS (SELECT * FROM (SELECT p.panel_id, c.max_amps AS a, c.spaces AS s, c.interior, CAST(c.box AS VARCHAR) AS box, row_number() OVER (PARTITION BY p.panel_id ORDER BY c.ord) AS n FROM prep p JOIN cat c ON c.family = 'NQ' AND c.main = 'MAIN LUG' AND c.voltage = 208
       AND c.max_amps >= bus_amps AND c.spaces >= p.spaces WHERE lv = 208 AND p.spaces >= 84) x WHERE n = 1),
   lug0 AS (SELECT p.*, CASE WHEN b.panel_id IS NOT NULL THEN b.family WHEN h.panel_id IS NOT NULL THEN 'NQ' ELSE 'I-LINE' END AS family,
       CASE WHEN b.panel_id IS NOT NULL THEN b.series WHEN h.panel_id IS NULL THEN {DEFAULT_SERIES.format(s='p.spaces')} END AS series,
