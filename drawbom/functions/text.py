@@ -146,26 +146,32 @@ def parse_combo(c: Column) -> Column:
     """Amps and poles of a combined cell such as 20/1P, 1P-20A, 20A1P, 20/I."""
     u = F.regexp_replace(_upper(c), "[^ -ILP]", " ")
     u = F.regexp_replace(collapse(u), "-+", "/")
-    return let(u, _combo_of)
+    return let(u, lambda t: let(F.struct(t.rlike("[0-9]").alias("digits"), F.regexp_replace(t, r"\b[IL]\b", "1").alias("t")), _combo_parts))
 
 
-def _combo_of(u: Column) -> Column:
-    u1 = F.regexp_replace(u, r"\b[IL]\b", "1")
+def _plausible_amps(a: Column) -> Column:
+    return a.between(15, 250) & (a % 5 == 0)
+
+
+def _combo_parts(s: Column) -> Column:
     amps_first = r"^([0-9]{2,3})A?(?:\s*/\s*([123])P?|\s*([123])P)$"
     poles_first = r"^([123])(?:P?\s*/\s*|P\s*)([0-9]{2,3})A?$"
-    g = lambda p, i: F.regexp_extract(u1, p, i)
-    num = lambda s: F.nullif(s, F.lit("")).try_cast("int")
-    ok = lambda a: a.between(15, 250) & (a % 5 == 0)
-    a1, p1 = num(g(amps_first, 1)), F.coalesce(num(g(amps_first, 2)), num(g(amps_first, 3)))
-    a2, p2 = num(g(poles_first, 2)), num(g(poles_first, 1))
-    nums = F.transform(F.regexp_extract_all(u1, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int"))
-    loose_a = F.get(F.filter(nums, ok), F.lit(0))
-    loose_p = F.get(F.filter(nums, lambda x: x.isin(1, 2, 3)), F.lit(0))
-    digits, first, second = u.rlike("[0-9]"), F.coalesce(ok(a1), F.lit(False)), F.coalesce(ok(a2), F.lit(False))
+    num = lambda p, i: F.nullif(F.regexp_extract(s["t"], p, i), F.lit("")).try_cast("int")
+    read = F.struct(
+        s["digits"].alias("digits"), F.coalesce(num(amps_first, 1), num(poles_first, 2)).alias("a"),
+        F.coalesce(num(amps_first, 2), num(amps_first, 3), num(poles_first, 1)).alias("p"),
+        F.transform(F.regexp_extract_all(s["t"], F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int")).alias("nums"))
+    return let(read, _combo_result)
+
+
+def _combo_result(r: Column) -> Column:
+    strict = F.coalesce(_plausible_amps(r["a"]), F.lit(False))
+    loose_a = F.get(F.filter(r["nums"], _plausible_amps), F.lit(0))
+    loose_p = F.get(F.filter(r["nums"], lambda x: x.isin(1, 2, 3)), F.lit(0))
     return F.struct(
-        F.when(~digits, F.lit(None)).when(first, a1).when(second, a2).otherwise(loose_a).alias("amps"),
-        F.when(~digits, F.lit(None)).when(first, p1).when(second, p2).otherwise(loose_p).alias("poles"),
-        F.when(~digits, "nodigits").when(first | second, "regex").otherwise("digits").alias("method"))
+        F.when(r["digits"], F.when(strict, r["a"]).otherwise(loose_a)).alias("amps"),
+        F.when(r["digits"], F.when(strict, r["p"]).otherwise(loose_p)).alias("poles"),
+        F.when(~r["digits"], "nodigits").when(strict, "regex").otherwise("digits").alias("method"))
 
 
 # Combined-cell patterns as (pattern, amps group, poles group).

@@ -55,7 +55,7 @@ class Dialect:
                 f"(SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS w FROM documents)")
 
     def millis(self, c: str) -> str:
-        return f"unix_millis(CAST({c} AS TIMESTAMP))" if self.spark else f"epoch_ms({c})"
+        return f"unix_millis(CAST({c} AS TIMESTAMP))" if self.spark else f"(epoch_us({c}) // 1000)"
 
 
 def _panels(d):
@@ -237,6 +237,17 @@ def _cancels(d):
     WHERE value > 150"""
 
 
+def _page_refs(d):
+    return f"""SELECT page_id, CAST(30 + page_id % 60 AS BIGINT) AS header_y, CAST(120 + page_id % 200 AS BIGINT) AS footer_y,
+      CAST(1000 AS BIGINT) AS width, CAST(900 AS BIGINT) AS height FROM {d.t('ruled_lines')} GROUP BY page_id"""
+
+
+def _row_cover(d):
+    steps = (f"SELECT page_id, y_center, x_right - x_left AS cover, explode(sequence(0, CAST(thickness AS INT) - 1)) AS dy FROM {d.t('ruled_lines')}"
+             if d.spark else "SELECT page_id, y_center, x_right - x_left AS cover, unnest(range(0, thickness)) AS dy FROM ruled_lines")
+    return f"SELECT page_id, y_center + dy AS y, max(cover) AS cover FROM ({steps}) r GROUP BY page_id, y_center + dy"
+
+
 BASE = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations"}
 # name -> (builder, direct inputs)
@@ -245,7 +256,7 @@ DERIVED = {
     "tokens": (_tokens, ["documents"]), "page_sizes": (_page_sizes, ["documents"]),
     "ruled_lines": (_ruled_lines, ["orders"]), "boxes": (_boxes, ["lineitem"]),
     "job_events": (_job_events, ["events"]), "cancels": (_cancels, ["events"]),
-    "stamps": (_stamps, ["orders"]),
+    "stamps": (_stamps, ["orders"]), "page_refs": (_page_refs, ["ruled_lines"]), "row_cover": (_row_cover, ["ruled_lines"]),
     "combos": (_combos, ["breakers"]), "pdf_pages": (_pages, ["documents"]),
     "footprints": (_footprints, ["boxes"]), "pole_reads": (_pole_reads, ["breakers"]),
     "trip_reads": (_trip_reads, ["breakers"]), "digit_probs": (_digit_probs, ["breakers"]),
