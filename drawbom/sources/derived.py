@@ -248,6 +248,22 @@ def _row_cover(d):
     return f"SELECT page_id, y_center + dy AS y, max(cover) AS cover FROM ({steps}) r GROUP BY page_id, y_center + dy"
 
 
+def _vlines(d):
+    return f"""SELECT DISTINCT page_id, CAST((x_left * 7 + line_no * 83) % 980 + 10 AS BIGINT) AS x FROM {d.t('ruled_lines')}"""
+
+
+HEADER_LABELS = ["TRIP", "AMP, POLES", "BRKR AMP", "CKT NO", "POLES", "DESCRIPTION", "TRIP (A) POLE", "NOTES", "P", "CIRCUIT DESCRIPTION", "TRLP",
+                 "LOAD DESIGNATION", "SIZE", "ROOM", "BKR SIZE"]
+
+
+def _header_cands(d):
+    return f"""SELECT page_id, ord, role, text, x1, x1 + 20 + 9 * length(text) AS x2, sim, conf FROM (
+      SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS ord,
+        {d.pick(['trip', 'poles', 'ckt', 'description'], 'l_linenumber + l_suppkey')} AS role, {d.pick(HEADER_LABELS, 'l_partkey + l_suppkey')} AS text,
+        (l_partkey * 37 + l_suppkey) % 900 AS x1, CAST(40 + (l_partkey + l_suppkey * 7) % 60 AS DOUBLE) / 100 AS sim,
+        CAST(30 + (l_partkey * 3) % 70 AS DOUBLE) / 100 AS conf FROM {d.t('lineitem')}) h"""
+
+
 BASE = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations"}
 # name -> (builder, direct inputs)
@@ -256,7 +272,7 @@ DERIVED = {
     "tokens": (_tokens, ["documents"]), "page_sizes": (_page_sizes, ["documents"]),
     "ruled_lines": (_ruled_lines, ["orders"]), "boxes": (_boxes, ["lineitem"]),
     "job_events": (_job_events, ["events"]), "cancels": (_cancels, ["events"]),
-    "stamps": (_stamps, ["orders"]), "page_refs": (_page_refs, ["ruled_lines"]), "row_cover": (_row_cover, ["ruled_lines"]),
+    "stamps": (_stamps, ["orders"]), "page_refs": (_page_refs, ["ruled_lines"]), "vlines": (_vlines, ["ruled_lines"]), "header_cands": (_header_cands, ["lineitem"]), "row_cover": (_row_cover, ["ruled_lines"]),
     "combos": (_combos, ["breakers"]), "pdf_pages": (_pages, ["documents"]),
     "footprints": (_footprints, ["boxes"]), "pole_reads": (_pole_reads, ["breakers"]),
     "trip_reads": (_trip_reads, ["breakers"]), "digit_probs": (_digit_probs, ["breakers"]),
@@ -294,6 +310,8 @@ def with_tables(names: str, body: str) -> str:
         _ctes(n, seen)
     ctes = [f"{n} AS ({sql})" for n, sql in seen.items()]
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes + [body[15:]])
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes + [body[5:]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
