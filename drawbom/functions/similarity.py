@@ -133,14 +133,15 @@ def role_scores(c: Column) -> Column:
     return scores(c)
 
 
+@lru_cache(maxsize=CACHE)
+def _header_name(text: str, threshold: float) -> tuple:
+    base = "".join(ch for ch in text.upper() if "A" <= ch <= "Z")
+    return (bool(base) and any(ratio(base, w) >= threshold for w in HEADER_NAMES),)
+
+
 def looks_like_header_word(c: Column, threshold: float = 0.74) -> Column:
     """Near misses of words such as SCHEDULE, which are never names."""
-    @lru_cache(maxsize=CACHE)
-    def one(text: str):
-        base = "".join(ch for ch in text.upper() if "A" <= ch <= "Z")
-        return (bool(base) and any(ratio(base, w) >= threshold for w in HEADER_NAMES),)
-
     @F.pandas_udf("boolean")
     def guard(x: pd.Series) -> pd.Series:
-        return _by_distinct(x, one, ["hit"])["hit"]
+        return _by_distinct(x, lambda t: _header_name(t, threshold), ["hit"])["hit"]
     return guard(c)

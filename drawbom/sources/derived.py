@@ -283,10 +283,17 @@ DERIVED = {
 DERIVED.update({name: (lambda d, n=name: values_sql(n, d.spark), []) for name in CATALOGS})
 
 
+def at_least_one_task_per_core(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of fewer splits than cores; larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base or derived table of the data directory."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return at_least_one_task_per_core(df, "doc_id") if name == "documents" else df
     build, inputs = DERIVED[name]
     return spark.sql(build(Dialect(True)), **{i: table(spark, sf_dir, i) for i in inputs})
 
