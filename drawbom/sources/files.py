@@ -59,9 +59,8 @@ def read_jsonc_config(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     bare = F.regexp_replace("value", r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
     clean = F.regexp_replace(bare, r",(\s*[}\]])", "$1")
-    keys = F.json_object_keys(clean)
-    return text.select("path", F.explode(keys).alias("key"), clean.alias("_j")).select(
-        "path", "key", F.get_json_object("_j", F.concat(F.lit("$['"), F.col("key"), F.lit("']"))).alias("value"))
+    entries = F.from_json(clean, "map<string,string>")
+    return text.select("path", F.explode(entries).alias("key", "value"))
 
 
 def read_job_status(spark: SparkSession, folder: str) -> DataFrame:
