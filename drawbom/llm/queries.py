@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawbom.llm import decontaminate, simhash
+from drawbom.llm import decontaminate, langid, packing, quality, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -41,6 +41,28 @@ def op4(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 4, 2)
+    model = langid.fit(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 5, 0)
+    rules = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return quality.rate(docs, rules, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
