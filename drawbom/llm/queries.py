@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawbom.llm import decontaminate, langid, packing, quality, simhash
+from drawbom.llm import decontaminate, langid, packing, quality, simhash, warc
 
 QUERIES, SQL = {}, {}
 
@@ -36,6 +36,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+ARCHIVES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS sha, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
+g AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(sha, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM g"""
+
+
+@query("op2_warc_round_trip", ARCHIVES_SQL)
+def op2(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 @query("op4_benchmark_decontamination", WINDOWS_SQL)
 def op4(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
