@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawbom.llm import decontaminate, langid, packing, quality, simhash, warc
+from drawbom.llm import decontaminate, langid, packing, pii, quality, simhash, warc
 
 QUERIES, SQL = {}, {}
 
@@ -71,6 +71,11 @@ def op6(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query("op7_personal_data")
+def op7(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_classifier")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
