@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawbom.llm import decontaminate, langid, packing, pii, quality, simhash, warc
+from drawbom.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, spotsigs, warc
 
 QUERIES, SQL = {}, {}
 
@@ -52,6 +52,35 @@ def op2(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def licences_sql() -> str:
+    """The scan in SQL, from the same fixed sentences and rules."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    normal = lambda x: f"trim(regexp_replace({lower.format(x)}, '[^a-z0-9]+', ' ', 'g'))"
+    pairs = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    steps, last = [], "r"
+    for k, (name, rule) in enumerate(licenses.RULES):
+        steps.append(f"r{k} AS (SELECT doc_id, regexp_replace(rest, '{rule}', '', 'g') AS rest, CASE WHEN regexp_matches(rest, '{rule}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last})")
+        last = f"r{k}"
+    return rf"""
+WITH known(s, id) AS (VALUES {pairs}),
+cut AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\n\f\r]+', '\1' || chr(30), 'g'), '\n[ \t]*\n[ \t\n\f\r]*', chr(30), 'g'), chr(30)),
+  lambda x: regexp_matches(x, '[0-9A-Za-z]')) AS f FROM documents),
+each AS (SELECT doc_id, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM cut),
+looked AS (SELECT doc_id, i, coalesce(a.id, b.id) AS id FROM each LEFT JOIN known a ON {normal('x')} = a.s
+  LEFT JOIN known b ON contains(x, chr(10)) AND {normal("string_split(x, chr(10))[-1]")} = b.s),
+ids AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM looked WHERE id IS NOT NULL GROUP BY doc_id),
+r AS (SELECT doc_id, '<' || array_to_string(ids, '><') || '>' AS rest, CAST([] AS VARCHAR[]) AS names FROM ids),
+{", ".join(steps)}
+SELECT c.doc_id, CAST(len(c.f) AS BIGINT) AS n_sentences, CAST(coalesce(len(ids.ids), 0) AS BIGINT) AS n_known, coalesce(array_to_string(ids.ids, ','), '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licences
+FROM cut c LEFT JOIN ids USING (doc_id) LEFT JOIN {last} USING (doc_id)"""
+
+
+@query("op3_license_scan", licences_sql())
+def op3(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_benchmark_decontamination", WINDOWS_SQL)
 def op4(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
@@ -84,6 +113,11 @@ def op8(spark, sf_dir):
     return quality.rate(docs, rules, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@query("op9_spotsigs_fingerprints")
+def op9(spark, sf_dir):
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
