@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawbom.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, spotsigs, warc
+from drawbom.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, spotsigs, suffixes, warc
 
 QUERIES, SQL = {}, {}
 
@@ -36,6 +36,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+@query("op1_suffix_array_dedup")
+def op1(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 ARCHIVES_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
 h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS sha, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
