@@ -143,12 +143,13 @@ def fit(labelled: DataFrame, per_lang: int = 500, dim: int = 16, epochs: int = 1
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with `lang_pred`, `score` and `accepted`.
+    """docs with `lang_pred`, `score` and `accepted`, which replace columns of these names.
 
     A text that is null or has no letter is `und` with score 0 and not accepted, as is
     every text if there is no model. Other texts get a learned language; they are
     accepted if the calibrated score reaches the model's threshold.
     """
+    docs = docs.drop("lang_pred", "score", "accepted")
     names = docs.columns
     spoken = docs.withColumns({"_raw": bytes_of(), "_letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
     shared = docs.sparkSession.sparkContext.broadcast(model)
