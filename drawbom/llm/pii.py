@@ -113,7 +113,7 @@ def fit(table: DataFrame, trees: int = 20, depth: int = 3, rate: float = 0.3, pr
     x, n, p = data[:, :-2], data[:, -2], data[:, -1]
     share = min(max(p.sum() / n.sum(), 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
-    margin, leaves = np.full(len(n), bias), []
+    margin, leaves, stumps = np.full(len(n), bias), [], []
 
     def grow(at, tests, g, h):
         best, split = 1e-6, None
@@ -131,6 +131,8 @@ def fit(table: DataFrame, trees: int = 20, depth: int = 3, rate: float = 0.3, pr
             margin[at] += value
             if tests:
                 leaves.append((float(value), list(tests)))
+            else:
+                stumps.append(float(value))
             return
         j, c = split
         low = x[at, j] <= c
@@ -145,7 +147,7 @@ def fit(table: DataFrame, trees: int = 20, depth: int = 3, rate: float = 0.3, pr
         last = i == len(order) - 1 or margin[order[i + 1]] < margin[order[i]] - 1e-9
         if last and right[i] >= precision * total[i]:
             threshold = margin[order[i]] - 1e-6
-    return Trees(leaves, bias, float(min(threshold, 1e6)))
+    return Trees(leaves, bias + sum(stumps), float(min(threshold, 1e6)))
 
 
 def decide(table: DataFrame, trees: Trees) -> DataFrame:
