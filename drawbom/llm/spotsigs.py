@@ -31,7 +31,7 @@ def signed(df: DataFrame, column: str, name: str, chain: int = CHAIN, anchors: l
     """
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{N}]++", " "))
     parts = F.split(F.concat(F.lit(" "), words, F.lit(" ")), " (?:(?:" + "|".join(anchors) + ") )++")
-    cut = "((?:[^ ]+ ){%d}[^ ]+) " % (run - 1)
+    cut = "(?<![^ ])((?:[^ ]++ ){%d}[^ ]++) " % (run - 1)
     short = F.transform(parts, lambda p: F.when(F.length(p) < 2 * run, F.array(F.trim(p))).otherwise(F.split(F.regexp_replace(F.trim(p), cut, "$1\x1e"), "\x1e")))
     spots = F.filter(F.flatten(short), lambda p: p != "")
     chains = F.transform(F.sequence(F.lit(1), F.size("_spots")), lambda i: F.hash(F.substring_index(F.array_join(F.slice(F.col("_spots"), i, chain), " "), " ", chain)))
