@@ -353,7 +353,7 @@ def split_multi_table_crops(crops: DataFrame, boxes: DataFrame, pad: int = 6) ->
         "page_id", F.col("name").alias("name"), F.lit(0).cast("long").alias("x1"), F.lit(0).cast("long").alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"))
     seq = numbered(boxes, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], cell_of(F.col("y1"), CELL_PX), "seq")
     many = seq.join(info.filter("n > 1"), "page_id").select(
-        "page_id", F.concat("name", F.lit("__tbl"), F.lpad(F.col("seq").cast("string"), 2, "0")).alias("name"),
+        "page_id", F.concat("name", F.lit("__tbl"), F.format_string("%02d", "seq")).alias("name"),
         F.greatest(F.lit(0), F.col("x1") - pad).alias("x1"), F.greatest(F.lit(0), F.col("y1") - pad).alias("y1"),
         F.least("width", F.col("x2") + pad).alias("x2"), F.least("height", F.col("y2") + pad).alias("y2"))
     return single.unionByName(many)

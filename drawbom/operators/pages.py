@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.text import alnum_tokens, clean_text, sheet_class
-from drawbom.operators.spread import any_of, cell_of, numbered
+from drawbom.operators.spread import any_of, cell_of, running
 
 # Fixed values -------------------------------------------------------------
 LABEL_PATTERNS = [
@@ -73,16 +73,21 @@ def page_pass_a(tokens: DataFrame, pages: DataFrame | None = None, min_non_e_con
 
 
 def page_chunks(tokens: DataFrame, size: int = 256, tail: int = 16) -> DataFrame:
-    """Page text in chunks of `size` tokens, each with the first `tail` tokens
-    of the next chunk, so that a phrase across the cut is seen once whole."""
-    rows = numbered(tokens.select("page_id", "pos", "text"), ["page_id"], [F.col("pos")],
-                    cell_of(F.col("pos"), 4096), "n").withColumn("n", F.col("n") - 1)
+    """Page text in chunks of `size` words, each with the first `tail` words of
+    the next chunk, so that a phrase across the cut is seen once whole.
+
+    Tokens of nothing but dashes and blanks only separate words: they stay with
+    the word before them and are not counted, as a phrase may hold any number.
+    """
+    word = F.when(F.col("text").rlike(r"[^\s\-]"), 1).otherwise(0).cast("long")
+    rows = running(tokens.select("page_id", "pos", "text"), ["page_id"], [F.col("pos")],
+                   cell_of(F.col("pos"), 4096), {"n": ("sum", word, True)}).withColumn("n", F.greatest(F.col("n") - 1, F.lit(0)))
     chunk, at = F.floor(F.col("n") / size), F.col("n") % size
-    copies = rows.select("page_id", "n", "text", F.explode(
+    copies = rows.select("page_id", "n", "pos", "text", F.explode(
         F.when((at < tail) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))).alias("chunk"))
     spilled = F.floor(F.col("n") / size) != F.col("chunk")
-    words = F.sort_array(F.collect_list(F.struct("n", "text")))
-    spill = F.sort_array(F.collect_list(F.when(spilled, F.struct("n", "text"))))
+    words = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    spill = F.sort_array(F.collect_list(F.when(spilled, F.struct("pos", "text"))))
     joined = lambda ws: clean_text(F.array_join(F.transform(ws, lambda w: w["text"]), " "))
     return copies.groupBy("page_id", "chunk").agg(joined(words).alias("text"), joined(spill).alias("spill"))
 

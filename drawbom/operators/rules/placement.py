@@ -106,7 +106,8 @@ def place_panel(series: str, spaces, spd: bool, lines: list[dict]) -> list[tuple
             notes["I-Line breakers must be 2P or 3P only"] = 1
             continue
         if line["product"] is None:
-            notes[f"No compatible frame: {line['poles']}P @ {line['amperage']}A"] = int(line["cnt"])
+            missing = f"No compatible frame: {line['poles']}P @ {line['amperage']}A"
+            notes[missing] = notes.get(missing, 0) + int(line["cnt"])
             continue
         for _ in range(int(line["cnt"])):
             side = take_side(line["frame"], line["width"])

@@ -61,8 +61,11 @@ def running(df: DataFrame, keys: list[str], order: list[Column], cell: Column,
 
 def neighbours(df: DataFrame, keys: list[str], order: list[Column], cell: Column,
                value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
-    """Add the previous and/or next value of `value` along `order`."""
-    marked = df.withColumn(CELL, cell).withColumn("_v", value)
+    """Add the previous and/or next value of `value` along `order`.
+
+    Values travel in a struct, so that a neighbour that is null differs from none.
+    """
+    marked = df.withColumn(CELL, cell).withColumn("_v", F.struct(value.alias("v")))
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     by_cell = Window.partitionBy(*keys, CELL).orderBy(*order)
     over_cells = Window.partitionBy(*keys).orderBy(CELL)
@@ -74,9 +77,9 @@ def neighbours(df: DataFrame, keys: list[str], order: list[Column], cell: Column
                      F.lead("_first").over(over_cells).alias("_nc")))
     out = []
     if prev:
-        out.append(F.coalesce("_p", "_pc").alias(prev))
+        out.append(F.coalesce("_p", "_pc")["v"].alias(prev))
     if nxt:
-        out.append(F.coalesce("_n", "_nc").alias(nxt))
+        out.append(F.coalesce("_n", "_nc")["v"].alias(nxt))
     return rows.join(cells, [*keys, CELL], "left").select(*df.columns, *out)
 
 

@@ -1,14 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-import importlib
-
+from drawbom.plans import (  # noqa: F401
+    bom, geometry, io, jobs, key_values, layout, page_triage, panels, rules_basic, rules_equipment, rules_parts, rules_search, schedules, text_reads,
+)
 from drawbom.plans.registry import CHECKS, PLANS  # noqa: F401
-
-MODULES = ["text_reads", "page_triage", "geometry", "layout", "key_values", "schedules", "panels",
-           "rules_basic", "rules_search", "rules_parts", "rules_equipment", "bom", "jobs", "io"]
-for _m in MODULES:
-    try:
-        importlib.import_module(f"drawbom.plans.{_m}")
-    except ModuleNotFoundError as e:
-        if e.name != f"drawbom.plans.{_m}":
-            raise

@@ -207,13 +207,13 @@ def g20(ruled_lines, page_refs):
     return ge.top_row_spans(ge.row_centers(borders_of(ruled_lines)), page_refs)
 
 
-@query("g21_split_multi_table_crops", "boxes", f"""WITH t AS (SELECT * FROM boxes WHERE x2 - x1 >= 150), c AS (SELECT DISTINCT page_id FROM boxes), n AS (SELECT page_id, count(*) AS n FROM t GROUP BY page_id),
+@query("g21_split_multi_table_crops", "boxes", f"""WITH t AS (SELECT * FROM boxes), c AS (SELECT DISTINCT page_id FROM boxes), n AS (SELECT page_id, count(*) AS n FROM t GROUP BY page_id),
   q AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, box_id) AS s FROM t)
   SELECT c.page_id, 'crop' || c.page_id AS name, 0 AS x1, 0 AS y1, {_W} AS x2, {_H} AS y2 FROM c LEFT JOIN n ON n.page_id = c.page_id WHERE coalesce(n, 0) <= 1
-  UNION ALL SELECT q.page_id, 'crop' || q.page_id || '__tbl' || lpad(CAST(s AS VARCHAR), 2, '0'), greatest(0, x1 - 6), greatest(0, y1 - 6), least({_W}, x2 + 6), least({_H}, y2 + 6) FROM q JOIN n ON n.page_id = q.page_id WHERE n > 1""")
+  UNION ALL SELECT q.page_id, 'crop' || q.page_id || '__tbl' || CASE WHEN s < 10 THEN '0' ELSE '' END || s, greatest(0, x1 - 6), greatest(0, y1 - 6), least({_W}, x2 + 6), least({_H}, y2 + 6) FROM q JOIN n ON n.page_id = q.page_id WHERE n > 1""")
 def g21(boxes):
     crops = box_pages(boxes).withColumn("name", F.concat(F.lit("crop"), F.col("page_id").cast("string")))
-    return ge.split_multi_table_crops(crops, boxes.filter(F.col("x2") - F.col("x1") >= 150))
+    return ge.split_multi_table_crops(crops, boxes)
 
 
 @query("g22_nearest_line", "ruled_lines page_refs", """WITH n AS (SELECT l.page_id, y_center AS y, x_right - x_left + 1 AS w, thickness, footer_y AS ref FROM ruled_lines l JOIN page_refs r ON r.page_id = l.page_id WHERE abs(y_center - footer_y) <= 160),

@@ -14,10 +14,13 @@ STATUS_SCHEMA = "job_id bigint, owner_id bigint, state string, step string, prog
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared directory; a temporary one only
-    where no such directory is set, as in tests."""
+    """A new folder below the cluster's shared directory. Only a session of one
+    JVM, as in tests, may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/drawbom-{os.urandom(6).hex()}"
 

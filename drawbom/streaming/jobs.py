@@ -1,7 +1,8 @@
 """Streaming forms of the job reports.
 
-Events arrive with an event time `ts` (timestamp). State is bounded by the
-watermark: duplicates, windows and watchdog timers are forgotten behind it.
+Events arrive with an event time `ts` (timestamp). Duplicates, windows and watchdog
+timers are forgotten behind the watermark. The latest state of all jobs is not: it
+holds one row per job ever seen, as its result does.
 """
 
 from __future__ import annotations
@@ -44,26 +45,26 @@ def stream_stuck_jobs(events: DataFrame, timeout_ms: int = 900_000, lateness: st
     """An error row per job that stays unfinished past the watchdog time.
 
     The state of a job is its last event; an event-time timer fires once the
-    watermark has passed the deadline without a newer event.
+    watermark has passed the deadline without a newer event. The end of a job is
+    remembered until the watermark has passed it, so that an older event which
+    arrives later does not open the job again.
     """
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             _, event_id, name, ms = state.get
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "event_id": [event_id], "state": [name], "timeout_at_ms": [ms + timeout_ms]})
+            if name not in TERMINAL:
+                yield pd.DataFrame({"job_id": [key[0]], "event_id": [event_id], "state": [name], "timeout_at_ms": [ms + timeout_ms]})
             return
         last = state.get[:4] if state.exists else None
         for batch in batches:
-            row = batch.loc[batch[["ts_ms", "event_id"]].apply(tuple, axis=1).idxmax()]
+            row = batch.sort_values(["ts_ms", "event_id"]).iloc[-1]
             new = (int(row["owner_id"]), int(row["event_id"]), row["state"], int(row["ts_ms"]))
             if last is None or (new[3], new[1]) > (last[3], last[1]):
                 last = new
-        if last[2] in TERMINAL:
-            if state.exists:
-                state.remove()
-            return
         state.update(last)
-        state.setTimeoutTimestamp(max(last[3] + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        due = last[3] if last[2] in TERMINAL else last[3] + timeout_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         return
         yield
 
