@@ -125,14 +125,16 @@ def long_strings(texts: DataFrame, span: int, seed: int) -> DataFrame:
 
 def judged_steps(strings: DataFrame) -> DataFrame:
     """`own, id, full, open`: the steps of each text whose cover is shared, so that all their
-    windows are, and those whose windows have to be ranked one by one: a common string
-    that several places share, not all of them under a shared cover."""
-    covers = settle(strings.groupBy("c1", "c2", "v1", "v2").agg(F.count("*").alias("n")), "covers")
+    windows are, and those whose windows have to be ranked one by one: where several
+    places share a common string, those under a cover of their own, and of each shared
+    cover one place that stands for all."""
+    strings = strings.withColumn("pick", F.xxhash64("own", "id", "place"))
+    covers = settle(strings.groupBy("c1", "c2", "v1", "v2").agg(F.count("*").alias("n"), F.min("pick").alias("least_pick")), "covers")
     split = settle(covers.groupBy("c1", "c2").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("all > 1 AND least = 1").select("c1", "c2", F.lit(True).alias("open")), "split")
-    judged = settle(covers.join(split, ["c1", "c2"], "left").filter("n > 1 OR open").select("c1", "c2", "v1", "v2", (F.col("n") > 1).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")), "judged")
+    judged = settle(covers.join(split, ["c1", "c2"], "left").filter("n > 1 OR open").select("c1", "c2", "v1", "v2", "least_pick", (F.col("n") > 1).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")), "judged")
     let_go(strings)
     return settle(strings.join(judged, ["c1", "c2", "v1", "v2"]).groupBy("own", "id").agg(
-        F.collect_set(F.when(F.col("whole"), F.col("place"))).alias("full"), F.collect_set(F.when(F.col("open"), F.col("place"))).alias("open")), "steps")
+        F.collect_set(F.when(F.col("whole"), F.col("place"))).alias("full"), F.collect_set(F.when(F.col("open") & (F.col("pick") == F.col("least_pick")), F.col("place"))).alias("open")), "steps")
 
 
 def whole_windows(texts: DataFrame, span: int, seed: int) -> DataFrame:
