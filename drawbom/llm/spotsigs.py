@@ -44,11 +44,11 @@ def written(signs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
-    """Jaccard of two sets, 1 for two empty ones. Pairs whose sizes rule out `floor` give 0
+    """Jaccard of two sets, 1 for two empty ones, null if one is null. Pairs whose sizes rule out `floor` give 0
     without a comparison."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
-    return F.when(large == 0, F.lit(1.0)).when((small == 0) | (small < large * floor), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(large == 0, F.lit(1.0)).when((small == 0) | (small < large * floor), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def following(docs: DataFrame) -> DataFrame:
