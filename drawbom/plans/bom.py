@@ -17,7 +17,7 @@ QUOTES = FILL + ", " + _NF_ONLY + f""", quotes AS (
   UNION ALL SELECT panel_id, 'Interior', 'NF4' || spaces, 1, '' FROM panels UNION ALL SELECT panel_id, 'Trim', 'NC' || bus_amps || CASE WHEN panel_id % 2 = 0 THEN 'F' ELSE 'S' END, 1, NULL FROM panels
   UNION ALL SELECT panel_id, 'Service Entrance Kit', 'SEK' || bus_amps, 1, '' FROM panels WHERE panel_id % 3 = 0 UNION ALL SELECT panel_id, 'Note', '{UNSUITABLE}', 0, 'Service Entrance' FROM panels WHERE panel_id % 4 = 1
   UNION ALL SELECT panel_id, 'Meter', 'M1', 1, '' FROM panels WHERE panel_id % 10 = 0),
-  bom AS (SELECT q.panel_id, q.item_type, trim(product) AS product, CAST(qty AS BIGINT) AS qty, coalesce(notes, '') AS notes, coalesce(p.ord, 999) AS section, coalesce(selectable, FALSE) AS selectable, coalesce(include, FALSE) AS include
+  bom AS MATERIALIZED (SELECT q.panel_id, q.item_type, trim(product) AS product, CAST(qty AS BIGINT) AS qty, coalesce(notes, '') AS notes, coalesce(p.ord, 999) AS section, coalesce(selectable, FALSE) AS selectable, coalesce(include, FALSE) AS include
     FROM quotes q LEFT JOIN bom_policy p ON p.item_type = q.item_type)"""
 T = "panels breakers ladder fillers bom_policy"
 

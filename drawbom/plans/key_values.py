@@ -41,15 +41,10 @@ def h2(tokens, page_sizes):
     return out.select("page_id", "pos", "role", "text", F.round("shape", 6).alias("shape"), F.round("ctx", 6).alias("ctx"), "has_unit")
 
 
-def early_labels(tokens):
-    """Labels of the upper rows only, so that the clamp has an edge to find."""
-    return kv.label_candidates(tokens).filter("y1 < 100")
-
-
-@query("h3_clamp_to_header", "tokens page_sizes", "WITH " + VALUES + """, e AS (SELECT page_id, max(y2) + CAST(floor(1.2 * median(abs(y2 - y1))) AS BIGINT) AS bottom FROM labels WHERE y1 < 100 AND role IN ('VOLTAGE', 'AIC', 'MAIN', 'BUS') GROUP BY page_id)
+@query("h3_clamp_to_header", "tokens page_sizes", "WITH " + VALUES + """, e AS (SELECT page_id, max(y2) + CAST(floor(1.2 * median(abs(y2 - y1))) AS BIGINT) AS bottom FROM labels WHERE role IN ('VOLTAGE', 'AIC', 'MAIN', 'BUS') GROUP BY page_id)
   SELECT v.page_id, pos, role FROM vals v LEFT JOIN e ON e.page_id = v.page_id WHERE bottom IS NULL OR y2 <= bottom""")
 def h3(tokens, page_sizes):
-    return kv.clamp_to_header(kv.value_candidates(tokens, page_sizes), early_labels(tokens)).select("page_id", "pos", "role")
+    return kv.clamp_to_header(kv.value_candidates(tokens, page_sizes), kv.label_candidates(tokens)).select("page_id", "pos", "role")
 
 
 _DIST = "sqrt((power((v.x1 + v.x2) - (l.x1 + l.x2), 2) + power((v.y1 + v.y2) - (l.y1 + l.y2), 2)) / 4)"
@@ -143,11 +138,11 @@ def h10(tokens, page_sizes):
     return kv.extract_name(with_lines(tokens), page_sizes)
 
 
-@query("h11_name_fallback", "tokens page_sizes", "WITH " + VALUES + rf""", c AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS k FROM vals WHERE role = 'NAME' AND page_id % 2 = 0),
+@query("h11_name_fallback", "tokens page_sizes", "WITH " + VALUES + rf""", c AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS k FROM vals WHERE role = 'NAME'),
   u AS (SELECT page_id, nm, row_number() OVER (PARTITION BY page_id ORDER BY pos // 12 + 1, x1, pos) AS k FROM v0 WHERE pos // 12 + 1 <= 3 AND regexp_full_match(nm, '[A-Z0-9][A-Z0-9._\-/]{{0,10}}') AND nm NOT IN ({_IN(kv.NOT_NAMES)}))
   SELECT s.page_id, coalesce(c.text, u.nm) AS name FROM page_sizes s LEFT JOIN c ON c.page_id = s.page_id AND c.k = 1 LEFT JOIN u ON u.page_id = s.page_id AND u.k = 1""")
 def h11(tokens, page_sizes):
-    cands = kv.value_candidates(tokens, page_sizes).filter(F.col("page_id") % 2 == 0)
+    cands = kv.value_candidates(tokens, page_sizes)
     return kv.name_fallback(page_sizes, cands, tokens.withColumn("line_no", F.floor(F.col("pos") / 12) + 1))
 
 

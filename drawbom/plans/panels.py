@@ -58,13 +58,13 @@ def v3(panels):
     return pn.validate_panels(doubtful(panels))
 
 
-@query("v4_merge_components", "panels breakers", """WITH h AS (SELECT panel_id, raw_name, voltage, bus_amps, spaces FROM panels WHERE panel_id % 5 <> 0), t AS (SELECT panel_id, spaces + 2 AS spaces FROM panels WHERE panel_id % 3 <> 0),
+@query("v4_merge_components", "panels breakers", """WITH h AS (SELECT panel_id, raw_name, voltage, bus_amps, CASE WHEN panel_id % 5 <> 0 THEN spaces END AS spaces FROM panels), t AS (SELECT panel_id, CASE WHEN panel_id % 3 <> 0 THEN spaces + 2 END AS spaces FROM panels),
   m AS (SELECT coalesce(h.panel_id, t.panel_id) AS panel_id, raw_name, coalesce(t.spaces, h.spaces) AS spaces FROM h FULL JOIN t ON t.panel_id = h.panel_id),
   b AS (SELECT panel_id, CAST(sum(cnt) AS BIGINT) AS breakers, CAST(sum(CASE WHEN ord % 2 = 0 THEN cnt ELSE 0 END) AS BIGINT) AS from_header FROM breakers GROUP BY panel_id)
   SELECT m.panel_id, raw_name, spaces, coalesce(breakers, 0) AS breakers, coalesce(from_header, 0) AS from_header FROM m LEFT JOIN b ON b.panel_id = m.panel_id""")
 def v4(panels, breakers):
-    header = panels.filter(F.col("panel_id") % 5 != 0).select("panel_id", "raw_name", "voltage", "bus_amps", "spaces")
-    table = panels.filter(F.col("panel_id") % 3 != 0).select("panel_id", (F.col("spaces") + 2).alias("spaces"))
+    header = panels.select("panel_id", "raw_name", "voltage", "bus_amps", F.when(F.col("panel_id") % 5 != 0, F.col("spaces")).alias("spaces"))
+    table = panels.select("panel_id", F.when(F.col("panel_id") % 3 != 0, F.col("spaces") + 2).alias("spaces"))
     both = pn.merge_breakers(breakers.filter(F.col("ord") % 2 == 0), breakers.filter(F.col("ord") % 2 == 1))
     n = both.groupBy("panel_id").agg(F.sum("cnt").cast("long").alias("breakers"),
                                      F.sum(F.when(F.col("source") == "header", F.col("cnt")).otherwise(0)).cast("long").alias("from_header"))

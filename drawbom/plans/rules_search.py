@@ -146,10 +146,9 @@ def r19(panels, loadcenters):
     return se.loadcenter_first(shaped(panels), loadcenters).select("panel_id", "product", "family", "cover", "lc_spaces")
 
 
-@query("s9_load_catalog", "panel_catalog panels", """SELECT p.panel_id, c.interior, c.ord AS cat_ord FROM panels p JOIN
+@query("s9_load_catalog", "panel_catalog panels", """SELECT p.panel_id, c.family, c.main, c.interior, c.ord AS cat_ord FROM panels p JOIN
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, main, min_amps, max_amps, spaces, phase, voltage ORDER BY ord DESC) AS k FROM panel_catalog) x WHERE k = 1) c
-  ON c.main = 'MAIN LUG' AND c.family = 'NQ' AND c.max_amps = p.bus_amps AND c.spaces = p.spaces AND c.voltage = p.voltage""")
+  ON c.max_amps = p.bus_amps AND c.spaces = p.spaces AND c.voltage = p.voltage""")
 def s9(panel_catalog, panels):
-    rows = se.last_wins(panel_catalog, se.PANEL_KEY).filter("main = 'MAIN LUG' AND family = 'NQ'")
-    rows = rows.select(F.col("max_amps").alias("bus_amps"), "spaces", "voltage", "interior", F.col("ord").alias("cat_ord"))
-    return panels.select("panel_id", "bus_amps", "spaces", "voltage").join(rows, ["bus_amps", "spaces", "voltage"]).select("panel_id", "interior", "cat_ord")
+    rows = se.last_wins(panel_catalog, se.PANEL_KEY).select("family", "main", F.col("max_amps").alias("bus_amps"), "spaces", "voltage", "interior", F.col("ord").alias("cat_ord"))
+    return panels.select("panel_id", "bus_amps", "spaces", "voltage").join(rows, ["bus_amps", "spaces", "voltage"]).select("panel_id", "family", "main", "interior", "cat_ord")

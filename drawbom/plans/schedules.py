@@ -43,13 +43,13 @@ def b3(trip_reads, pole_reads):
     return sc.pair_by_index(trip_reads, pole_reads)
 
 
-COMBINED = PARSED_COMBOS + ", " + PAIRS + """, combo AS (SELECT panel_id, 'L' AS side, (ord + 1) // 2 AS i, poles, amps FROM parsed WHERE ord % 2 = 1 AND panel_id % 3 = 0 AND amps IS NOT NULL AND poles IS NOT NULL),
+COMBINED = PARSED_COMBOS + ", " + PAIRS + """, combo AS (SELECT panel_id, CASE WHEN ord % 2 = 1 THEN 'L' ELSE 'R' END AS side, (ord + 1) // 2 AS i, poles, amps FROM parsed WHERE amps IS NOT NULL AND poles IS NOT NULL),
   merged AS (SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM combo c WHERE c.panel_id = p.panel_id AND c.side = p.side) UNION ALL SELECT * FROM combo)"""
 
 
 def combined(trip_reads, pole_reads, combos):
-    read = combos.filter((F.col("ord") % 2 == 1) & (F.col("panel_id") % 3 == 0)).select("panel_id", "ord", parse_combo(F.col("text")).alias("c"))
-    combo = read.select("panel_id", F.lit("L").alias("side"), F.floor((F.col("ord") + 1) / 2).cast("long").alias("i"), "c.poles", "c.amps")
+    read = combos.select("panel_id", "ord", parse_combo(F.col("text")).alias("c"))
+    combo = read.select("panel_id", F.when(F.col("ord") % 2 == 1, "L").otherwise("R").alias("side"), F.floor((F.col("ord") + 1) / 2).cast("long").alias("i"), "c.poles", "c.amps")
     combo = combo.filter("amps IS NOT NULL AND poles IS NOT NULL")
     return sc.prefer_combo_side(sc.pair_by_index(trip_reads, pole_reads), combo)
 
