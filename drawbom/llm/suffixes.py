@@ -12,14 +12,13 @@ bits for seeds, which only choose what to look at, and 96 bits for what decides.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drawbom.llm.shared import Rolling, blocks, bytes_of, flat, mixed, settle, sliding
+from drawbom.llm.shared import Rolling, blocks, bytes_of, discard, flat, mixed, settle, sliding
 
 SPAN, SEED, STEP = 200, 64, 32
 PLACE = np.uint64((1 << 28) - 1)      # low bits of an ordering key hold the place, so the leftmost of equals leads
@@ -96,12 +95,6 @@ def leaders_of(texts: DataFrame, span: int, seed: int, owners: bool) -> DataFram
     return texts.filter(F.length("raw") >= span).select(columns).mapInArrow(scan, "rank long" + ", own long, at int" * owners)
 
 
-def let_go(df: DataFrame) -> None:
-    """Shuffle files of finished rounds go once the driver has dropped their plans."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def long_strings(texts: DataFrame, span: int, seed: int) -> DataFrame:
     """Round 2: strings around shared leaders. A leader's windows start 0 to span - seed
     bytes before it; for each step of such starts there is the string that all its windows
@@ -132,9 +125,11 @@ def judged_steps(strings: DataFrame) -> DataFrame:
     covers = settle(strings.groupBy("c1", "c2", "v1", "v2").agg(F.count("*").alias("n"), F.min("pick").alias("least_pick")), "covers")
     split = settle(covers.groupBy("c1", "c2").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("all > 1 AND least = 1").select("c1", "c2", F.lit(True).alias("open")), "split")
     judged = settle(covers.join(split, ["c1", "c2"], "left").filter("n > 1 OR open").select("c1", "c2", "v1", "v2", "least_pick", (F.col("n") > 1).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")), "judged")
-    let_go(strings)
-    return settle(strings.join(judged, ["c1", "c2", "v1", "v2"]).groupBy("own", "id").agg(
+    discard(covers, split)
+    steps = settle(strings.join(judged, ["c1", "c2", "v1", "v2"]).groupBy("own", "id").agg(
         F.collect_set(F.when(F.col("whole"), F.col("place"))).alias("full"), F.collect_set(F.when(F.col("open") & (F.col("pick") == F.col("least_pick")), F.col("place"))).alias("open")), "steps")
+    discard(judged)
+    return steps
 
 
 def whole_windows(texts: DataFrame, span: int, seed: int) -> DataFrame:
@@ -186,16 +181,15 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
     texts = keyed(docs)
     shared = settle(leaders_of(texts, span, seed, False).groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "seeds")
     leads = settle(leaders_of(texts, span, seed, True).join(shared, "rank", "left_semi").groupBy("own").agg(F.collect_set("at").alias("leads")), "leads")
-    let_go(docs)
+    discard(shared)
     least = -(1 << 63)
     live = settle(texts.join(leads, "own").select("own", F.coalesce("doc_id", F.lit(least)).alias("id"), "raw", "leads"), "live")
-    let_go(docs)
+    discard(leads)
     steps = judged_steps(long_strings(live, span, seed))
-    let_go(docs)
     single = whole_windows(live.select("own", "id", "raw").join(steps.filter(F.size("open") > 0).select("own", "id", "open"), ["own", "id"]), span, seed)
     twice = settle(single.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1").select("r1", "r2"), "twice")
     windows = settle(single.join(twice, ["r1", "r2"], "left_semi").groupBy("own", "id").agg(F.collect_set("place").alias("windows")), "windows")
-    let_go(docs)
+    discard(twice)
 
     def cut(batches):
         for batch in batches:
@@ -203,7 +197,9 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("id"), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([k for _, _, k in rows], pa.int64()),
                                               pa.array([hashlib.sha256(t).hexdigest() for t, _, _ in rows], pa.string())], ["own", "id", "n_removed", "n_spans", "kept_sha256"])
     found = live.select("own", "id", "raw").join(steps.select("own", "id", "full"), ["own", "id"]).join(windows, ["own", "id"], "left")
-    return settle(found.mapInArrow(cut, "own long, id long, n_removed long, n_spans long, kept_sha256 string").filter("n_removed > 0").dropDuplicates(["own", "id"]), "cut")
+    out = settle(found.mapInArrow(cut, "own long, id long, n_removed long, n_spans long, kept_sha256 string").filter("n_removed > 0").dropDuplicates(["own", "id"]), "cut")
+    discard(live, steps, windows)
+    return out
 
 
 def dedup(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
