@@ -128,6 +128,21 @@ def match_confidence(tokens: DataFrame, matches: DataFrame) -> DataFrame:
             .select("page_id", "phrase", F.coalesce("conf", F.lit(0.9)).alias("conf")))
 
 
+def page_confidences(tokens: DataFrame, matches: DataFrame) -> DataFrame:
+    """`page_id, matches, confs` with the confidence of each matched phrase that has
+    tokens near it. The phrases of a page come from a closed pattern list, so the
+    matches travel with the tokens and are not computed again."""
+    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: w != "")
+    scaled = F.when(F.col("conf").between(0, 1), F.col("conf")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") / 100)))
+    phrases = F.array_distinct(F.transform("matches", lambda m: m["phrase"]))
+    near = F.filter(phrases, lambda p: F.exists("words", lambda w: F.contains(p, w)))
+    rows = tokens.select("page_id", words.alias("words"), scaled.cast("decimal(12,6)").alias("c")).join(matches, "page_id")
+    sums = rows.select("page_id", "matches", "c", F.explode_outer(near).alias("phrase")).groupBy("page_id", "phrase").agg(
+        F.any_value("matches").alias("matches"), (F.sum("c").cast("double") / F.count("*")).alias("conf"))
+    pair = F.when(F.col("phrase").isNotNull(), F.struct("phrase", "conf"))
+    return sums.groupBy("page_id").agg(F.any_value("matches").alias("matches"), F.map_from_entries(F.collect_list(pair)).alias("confs"))
+
+
 def fuzzy_vocab_hit(tokens: DataFrame, vocab=FUZZY_VOCAB) -> DataFrame:
     """Per page, whether some word is within the edit distance of each target."""
     def close(target: str, dist: int) -> Column:
@@ -136,18 +151,20 @@ def fuzzy_vocab_hit(tokens: DataFrame, vocab=FUZZY_VOCAB) -> DataFrame:
                    F.when(F.col("word") == target, 0))
         return F.coalesce(d.between(0, dist), F.lit(False))
 
-    words = tokens.select("page_id", F.explode(alnum_tokens(F.col("text"))).alias("word"))
+    words = tokens.select("page_id", F.explode(alnum_tokens(F.col("text"))).alias("word")).distinct()
     return words.groupBy("page_id").agg(*[F.bool_or(close(t, d)).alias(f"like_{t}") for t, d in vocab])
 
 
 def score_page_labels(tokens: DataFrame) -> DataFrame:
     """Score and sorted tags per page."""
-    matches = match_label_buckets(tokens)
-    weight = F.create_map(*[F.lit(x) for kv in BUCKET_WEIGHTS.items() for x in kv])[F.col("bucket")]
-    weight = weight + F.when(F.contains("phrase", F.lit("schedules")), PLURAL_BONUS).otherwise(0.0)
-    term = F.round(weight * F.col("conf") * CONF_MULT * F.col("hits"), 9).cast("decimal(18,9)")
-    by_page = (matches.join(match_confidence(tokens, matches), ["page_id", "phrase"])
-               .groupBy("page_id").agg(F.sum(term).alias("base"), F.collect_set("bucket").alias("found")))
+    matches = match_label_buckets(tokens).groupBy("page_id").agg(F.collect_list(F.struct("bucket", "phrase", "hits")).alias("matches"))
+    weights = F.create_map(*[F.lit(x) for kv in BUCKET_WEIGHTS.items() for x in kv])
+
+    def term(m: Column) -> Column:
+        weight = weights[m["bucket"]] + F.when(F.contains(m["phrase"], F.lit("schedules")), PLURAL_BONUS).otherwise(0.0)
+        return F.round(weight * F.coalesce(F.try_element_at("confs", m["phrase"]), F.lit(0.9)) * CONF_MULT * m["hits"], 9).cast("decimal(18,9)")
+    base = F.aggregate("matches", F.lit(0).cast("decimal(28,9)"), lambda acc, m: (acc + term(m)).cast("decimal(28,9)"))
+    by_page = page_confidences(tokens, matches).select("page_id", base.alias("base"), F.array_distinct(F.transform("matches", lambda m: m["bucket"])).alias("found"))
     like = lambda *ts: any_of([F.col(f"like_{t}") for t in ts])
     found = lambda b: F.array_contains("found", b)
     sched = like("schedule", "schedules")
@@ -162,7 +179,7 @@ def score_page_labels(tokens: DataFrame) -> DataFrame:
     tags = F.array_union("found", F.array_compact(F.array(*[F.when(c, b) for b, c in boosts])))
     both = fuzzy_vocab_hit(tokens).join(by_page, "page_id", "left").withColumn(
         "found", F.coalesce("found", F.array().cast("array<string>")))
-    score = F.round(F.coalesce("base", F.lit(0).cast("decimal(18,9)")) + extra.cast("decimal(18,9)"), 3)
+    score = F.round(F.coalesce("base", F.lit(0).cast("decimal(28,9)")) + extra.cast("decimal(18,9)"), 3)
     return both.select("page_id", score.cast("double").alias("score"), F.sort_array(tags).alias("tags"))
 
 
