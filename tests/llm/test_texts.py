@@ -233,3 +233,11 @@ def test_quality_rules_learn_and_score_every_row(spark):
     assert odd.count() == awkward(spark).count() and odd.filter("score IS NULL OR score < 0 OR score > 1").count() == 0
     flat = quality.fit(empty(spark), labels.limit(0))
     assert quality.rate(awkward(spark), flat, ["doc_id"]).select("score").distinct().count() == 1
+
+
+def test_native_operators_run_no_python(spark):
+    df = spark.createDataFrame([(1, "The MIT License. a@b.c")], "doc_id long, text string")
+    pairs, members = spotsigs.near_pairs(df)
+    for out in (licenses.scan(df), pii.detect(df), pii.redact(df, pii.fit(pii.candidates(df))), spotsigs.fingerprints(df), pairs, members):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
