@@ -9,6 +9,7 @@ from drawbom.operators.spread import cell_of, neighbours, running, top_per
 TERMINAL = ["done", "error", "canceled"]
 STATE_MARKS = {"queued": 0.0, "rendering": 2.0, "rendered": 9.0, "parsed": 92.0, "rules": 95.0, "done": 100.0, "error": 100.0}
 DAY_MS = 86_400_000
+MINUTE_MS = 60_000     # cells of an owner's jobs, of which there may be very many a day
 
 
 def latest_job_state(events: DataFrame, cancels: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
@@ -84,7 +85,7 @@ def inflight_by_owner(events: DataFrame, cap: int = 1) -> DataFrame:
     steps = spans.select("owner_id", "job_id", F.explode(F.array(
         F.struct(F.col("s").alias("t"), F.lit(1).cast("long").alias("d")),
         F.struct(F.col("e").alias("t"), F.lit(-1).cast("long").alias("d")))).alias("x")).select("owner_id", "job_id", "x.t", "x.d")
-    load = running(steps, ["owner_id"], [F.col("t"), F.col("d").desc(), F.col("job_id")], cell_of(F.col("t"), DAY_MS),
+    load = running(steps, ["owner_id"], [F.col("t"), F.col("d").desc(), F.col("job_id")], cell_of(F.col("t"), MINUTE_MS),
                    {"load": ("sum", F.col("d"), True)})
     return load.groupBy("owner_id").agg(F.max("load").alias("max_inflight"), (F.max("load") > cap).alias("over_cap"))
 

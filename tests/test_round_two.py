@@ -84,3 +84,11 @@ def test_lines_of_one_rating_add_up_in_their_note():
     line = {"poles": 2, "amperage": 900, "frame": None, "trip": None, "width": None, "amps": None, "product": None, "pairs": None}
     got = pl.place_panel("HCJ", 84, False, [{**line, "special_features": "", "cnt": 3}, {**line, "special_features": "GFI", "cnt": 2}])
     assert ("note", "No compatible frame: 2P @ 900A", 5) in got
+
+
+def test_unknown_panels_come_last_in_order(spark):
+    from drawbom.operators import bom as bm
+    rows = [(p, "Breaker", f"P{p}", 1, "", 10) for p in (9_000_000_000, 7, 1)]
+    bom = spark.createDataFrame(rows, "panel_id long, item_type string, product string, qty long, notes string, section long")
+    panels = spark.createDataFrame([(1, -1, 5)], "panel_id long, job_id long, ord long")
+    assert [(r.panel_id, r.row_no) for r in bm.order_bom(bom, panels).orderBy("row_no").collect()] == [(1, 1), (7, 2), (9_000_000_000, 3)]
