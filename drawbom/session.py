@@ -14,6 +14,7 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8) -> Spark
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "1m")      # small inputs split over all cores
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DRAWBOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
