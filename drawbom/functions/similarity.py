@@ -139,10 +139,6 @@ def _header_name(text: str, threshold: float) -> tuple:
     return (bool(base) and any(ratio(base, w) >= threshold for w in HEADER_NAMES),)
 
 
-def is_header_name(text: str, threshold: float = 0.74) -> bool:
-    return _header_name(text, threshold)[0]
-
-
 def looks_like_header_word(c: Column, threshold: float = 0.74) -> Column:
     """Near misses of words such as SCHEDULE, which are never names."""
     @F.pandas_udf("boolean")
