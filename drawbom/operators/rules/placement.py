@@ -26,6 +26,7 @@ MAGNETIC_ONLY = ["Q", "LL"]
 NARROW_FRAMES = ["H", "J"]
 SPD_INCHES = 13.5
 MAX_SPACES = 108
+OVERFLOW = "too many breakers detected. user review required."
 # --------------------------------------------------------------------------
 
 
@@ -33,9 +34,12 @@ def buildable_lines(panels: DataFrame, breakers: DataFrame, frames: DataFrame, p
     """First frame and trip of each line that gives a part, with its pairs.
 
     Needs series, voltage, int_rating on the panels; a line without any frame
-    keeps a null part.
+    keeps a null part. Series-rated panels (`series_rated`) take the lowest rating of
+    the frame, others the one at or above the panel's. An internal surge device
+    (`spd`) counts unless `allow_spd` is false.
     """
-    p = panels.select("panel_id", "series", "voltage", "int_rating", "spaces", F.coalesce("spd", F.lit(False)).alias("spd"))
+    flag = lambda c, default: F.coalesce(c, F.lit(default)) if c in panels.columns else F.lit(default)
+    p = panels.select("panel_id", "series", "voltage", "int_rating", "spaces", (flag("spd", False) & flag("allow_spd", True)).alias("spd"), flag("series_rated", False).alias("series_rated"))
     rows = breakers.groupBy("panel_id", "poles", "amperage", "special_features").agg(F.sum("cnt").cast("long").alias("cnt")).join(p, "panel_id")
     sizes = (frames.groupBy("ord", "frame", "poles", "width", "max_volts").agg(F.array_sort(F.collect_set("rating")).alias("ratings")))
     series = F.create_map(*[x for s, fs in SERIES_FRAMES.items() for x in (F.lit(s), F.array(*[F.lit(f) for f in fs]))])
@@ -46,44 +50,49 @@ def buildable_lines(panels: DataFrame, breakers: DataFrame, frames: DataFrame, p
     tried = (rows.join(sizes, "poles").filter(F.array_contains(series[F.col("series")], F.col("frame")) & (F.col("max_volts") >= v))
              .select("*", F.posexplode(trips).alias("t", "trip")))
     ladder = F.when(F.col("trip") == "ELECTRONIC", F.try_element_at(electronic, F.col("frame"))).otherwise(F.col("ratings"))
-    tried = tried.withColumns({"amps": next_size(ladder, F.col("amperage")), "ka": snap_ka(F.col("frame"), v, F.col("int_rating"))})
+    lowest = snap_ka(F.col("frame"), v, F.lit(0))
+    lowest = F.when(lowest > 0, lowest).otherwise(F.col("int_rating"))
+    tried = tried.withColumns({"amps": next_size(ladder, F.col("amperage")), "ka": F.when(F.col("series_rated"), lowest).otherwise(snap_ka(F.col("frame"), v, F.col("int_rating")))})
     letter = F.substring("frame", 1, 1)
     part = lambda ka: mccb_part(letter, F.lit("ILINE"), F.col("poles"), F.col("amps"), v, ka, F.col("trip"), F.lit(False), F.lit(""))["product"]
-    tried = tried.withColumn("product", F.coalesce(part(F.col("ka")), part(snap_ka(F.col("frame"), v, F.col("ka") + 1)))).withColumn(
-        "letter", interrupting_letter(F.lit("HJ"), v, F.col("ka"))).filter("product IS NOT NULL")
+    next_ka = snap_ka(F.col("frame"), v, F.col("ka") + 1)
+    tried = tried.withColumns({
+        "product": F.coalesce(part(F.col("ka")), part(next_ka)), "rating": F.when(part(F.col("ka")).isNotNull(), F.col("ka")).otherwise(next_ka),
+        "letter": interrupting_letter(F.lit("HJ"), v, F.col("ka"))}).filter("product IS NOT NULL")
     key = ["panel_id", "poles", "amperage", "special_features"]
-    best = first_per(tried, key, [F.col("ord"), F.col("t")]).select(*key, "frame", "trip", "width", "amps", "product", "letter")
-    best = allowed_pairs(best, pair_rules.filter(F.col("frame").isin(*NARROW_FRAMES))).select(*key, "frame", "trip", "width", "amps", "product", "pairs")
+    best = first_per(tried, key, [F.col("ord"), F.col("t")]).select(*key, "frame", "trip", "width", "amps", "product", "rating", "letter")
+    best = allowed_pairs(best, pair_rules.filter(F.col("frame").isin(*NARROW_FRAMES))).select(*key, "frame", "trip", "width", "amps", "product", "rating", "pairs")
     return rows.join(best, key, "left")
 
 
 def place_iline(panels: DataFrame, breakers: DataFrame, frames: DataFrame, pair_rules: DataFrame) -> DataFrame:
-    """Parts, blanks and notes per panel: `panel_id, kind, product, qty`.
+    """Parts, blanks, notes and spaces left per panel: `panel_id, kind, product, qty,
+    rating`; the rating in kA belongs to the breakers.
 
     Every requested unit is placed. Narrow frames prefer the narrow side, then
     the wide side with an extension; what fits nowhere is forced onto the
     emptier side and its missing inches are noted. Two-pole units take the pair
     that keeps the phases most even. Left-over inches become blanks.
     """
-    line = F.struct("poles", "amperage", "special_features", "cnt", "frame", "trip", "width", "amps", "product", "pairs")
+    line = F.struct("poles", "amperage", "special_features", "cnt", "frame", "trip", "width", "amps", "product", "rating", "pairs")
     grouped = (buildable_lines(panels, breakers, frames, pair_rules).groupBy("panel_id", "series", "spaces", "spd")
                .agg(F.array_sort(F.collect_list(line)).alias("lines")))
 
     def place_batches(batches):
         for batch in batches:
             rows = [(p, *r) for p, series, spaces, spd, lines in batch.itertuples(index=False) for r in place_panel(series, spaces, spd, lines)]
-            yield pd.DataFrame(rows, columns=["panel_id", "kind", "product", "qty"])
+            yield pd.DataFrame(rows, columns=["panel_id", "kind", "product", "qty", "rating"]).astype({"rating": "Int32"})
 
-    return grouped.mapInPandas(place_batches, "panel_id long, kind string, product string, qty long")
+    return grouped.mapInPandas(place_batches, "panel_id long, kind string, product string, qty long, rating int")
 
 
-def place_panel(series: str, spaces, spd: bool, lines: list[dict]) -> list[tuple[str, str, int]]:
+def place_panel(series: str, spaces, spd: bool, lines: list[dict]) -> list[tuple]:
     """Rows of one panel, its lines taken in order."""
     two_widths = series != "HCJ"
     width = {"left": "narrow", "right": "wide" if two_widths else "narrow"}
     half = min(MAX_SPACES, int(spaces or 0)) * SPACE_INCHES / 2
     room = {"left": half, "right": half}
-    load, parts, notes, deficit, extensions = dict.fromkeys("ABC", 0.0), {}, {}, 0.0, 0
+    load, parts, ratings, notes, deficit, extensions = dict.fromkeys("ABC", 0.0), {}, {}, {}, 0.0, 0
 
     def take_side(frame: str, inches: float) -> str:
         nonlocal deficit
@@ -98,7 +107,9 @@ def place_panel(series: str, spaces, spd: bool, lines: list[dict]) -> list[tuple
         return side
 
     if spd:
+        short = deficit
         side = take_side("J", SPD_INCHES)
+        extensions += deficit == short and two_widths and width[side] == "wide"
         room[side] = max(0.0, room[side] - SPD_INCHES)
         notes["I-LINE cannot be service-entrance rated when an internal SPD is installed."] = 1
     for line in lines:
@@ -120,13 +131,16 @@ def place_panel(series: str, spaces, spd: bool, lines: list[dict]) -> list[tuple
                 for k in pair:
                     load[k] += line["amps"]
             parts[product] = parts.get(product, 0) + 1
+            ratings[product] = line["rating"]
     blanks = {"HLN1BL": 0, "HLW1BL": 0, "HLW4EBL": int(extensions)}
     for side, left in room.items():
         blanks["HLN1BL" if width[side] == "narrow" else "HLW1BL"] += math.ceil(max(0.0, left) / SPACE_INCHES)
     if deficit > 0:
         notes[f"Side-capacity bottleneck detected. Consider increasing by ~{math.ceil(2 * deficit / SPACE_INCHES)} spaces."] = 1
-    return ([("breaker", k, n) for k, n in parts.items()] + [("blank", k, n) for k, n in blanks.items() if n]
-            + [("note", k, n) for k, n in notes.items()])
+        notes[OVERFLOW] = 1
+    left = max(0, round((room["left"] + room["right"]) / SPACE_INCHES))
+    return ([("breaker", k, n, ratings[k]) for k, n in parts.items()] + [("blank", k, n, None) for k, n in blanks.items() if n]
+            + [("note", k, n, None) for k, n in notes.items()] + [("spaces left", "", left, None)])
 
 
 def spread(load: dict, pair: str, amps: float) -> float:

@@ -195,12 +195,12 @@ def test_header_words_and_labels(spark):
 
 def test_placement_keeps_quantities_and_balances():
     line = lambda poles, amps, cnt, frame, width, pairs: {"poles": poles, "amperage": amps, "special_features": "", "cnt": cnt, "frame": frame,
-                                                          "trip": "MAGNETIC", "width": width, "amps": amps, "product": f"{frame}{amps}-", "pairs": pairs}
+                                                          "trip": "MAGNETIC", "width": width, "amps": amps, "product": f"{frame}{amps}-", "rating": 25, "pairs": pairs}
     rows = place_panel("HCJ", 27, False, [line(2, 100, 3, "H", 4.5, ["AB", "BC", "AC"]), line(3, 200, 1, "J", 4.5, ["AB"]), line(1, 20, 1, "H", 3.0, [])])
-    parts = {p: n for kind, p, n in rows if kind == "breaker"}
+    parts = {p: n for kind, p, n, rating in rows if kind == "breaker" and rating == 25}
     assert sum(parts.values()) == 4
     assert {p: n for p, n in parts.items() if p.startswith("H")} == {"H100-1": 1, "H100-4": 1, "H100-2": 1}
-    assert ("note", "I-Line breakers must be 2P or 3P only", 1) in rows
+    assert ("note", "I-Line breakers must be 2P or 3P only", 1, None) in rows and ("spaces left", "", 15, None) in rows
     full = place_panel("HCP", 3, False, [line(3, 400, 2, "L", 6.0, ["AB"])])
-    assert any("bottleneck" in p for kind, p, _ in full if kind == "note")
-    assert sum(n for kind, _, n in full if kind == "breaker") == 2
+    assert sum("bottleneck" in p or "too many" in p for kind, p, _, _ in full if kind == "note") == 2
+    assert sum(n for kind, _, n, _ in full if kind == "breaker") == 2

@@ -83,7 +83,7 @@ def test_a_cluster_needs_a_shared_folder(spark):
 def test_lines_of_one_rating_add_up_in_their_note():
     line = {"poles": 2, "amperage": 900, "frame": None, "trip": None, "width": None, "amps": None, "product": None, "pairs": None}
     got = pl.place_panel("HCJ", 84, False, [{**line, "special_features": "", "cnt": 3}, {**line, "special_features": "GFI", "cnt": 2}])
-    assert ("note", "No compatible frame: 2P @ 900A", 5) in got
+    assert ("note", "No compatible frame: 2P @ 900A", 5, None) in got
 
 
 def test_unknown_panels_come_last_in_order(spark):
