@@ -149,20 +149,27 @@ def h11(tokens, page_sizes):
 _AMP = r"coalesce(TRY_CAST(nullif(regexp_extract({d}, '\b([6-9][0-9]|[1-9][0-9]{{2,3}})\s*(?:A|AMPS?)\b', 1), '') AS INT), TRY_CAST(nullif(regexp_extract({d}, '(?:^|[^0-9])([6-9][0-9]|[1-9][0-9]{{2,3}})(?:[^0-9]|$)', 1), '') AS INT))"
 
 
-@query("h12_build_panel_attrs", "tokens page_sizes", "WITH " + SCORED + rf""", p AS (SELECT page_id, max(text) FILTER (role = 'NAME') AS nm, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'VOLTAGE'))")} AS vt, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'BUS'))")} AS bt, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'MAIN'))")} AS mt,
+ATTRS = SCORED + rf""", p AS (SELECT page_id, max(text) FILTER (role = 'NAME') AS nm, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'VOLTAGE'))")} AS vt, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'BUS'))")} AS bt, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'MAIN'))")} AS mt,
     upper(max(text) FILTER (role = 'MAIN')) AS mr, {DIGIT_FIX.format(c="upper(max(text) FILTER (role = 'AIC'))")} AS att FROM picks GROUP BY page_id),
   q AS (SELECT p.page_id, nm, vt, {_AMP.format(d='bt')} AS bus, {_AMP.format(d='mt')} AS main, att, CASE WHEN regexp_matches(mr, '\b(MLO|MAIN\s*LUGS?)\b') THEN 'MLO' WHEN regexp_matches(mr, '\b(MCB|MAIN\s*BREAKER)\b') THEN 'MCB' ELSE m.mode END AS mode,
     CASE WHEN replace(att, ' ', '') LIKE '%KA%' THEN TRY_CAST(nullif(regexp_extract(replace(att, ' ', ''), '\b([0-9]{{2,3}})K?A\b', 1), '') AS INT) END AS k1, TRY_CAST(nullif(replace(regexp_extract(att, '\b([0-9]{{2,3}},?[0-9]{{3}})\s*(?:A|KA)?\b', 1), ',', ''), '') AS INT) AS k2,
-    TRY_CAST(nullif(regexp_extract(att, '(?:^|[^0-9])([0-9]{{2,3}})(?:[^0-9]|$)', 1), '') AS INT) AS k3 FROM p LEFT JOIN modes m ON m.page_id = p.page_id)
-  SELECT page_id, trim(regexp_replace(regexp_replace(trim(nm), '(?i)^(?:PANEL(?:BOARD)?\b\s*:?)\s*', ''), '\s{{2,}}', ' ', 'g')) AS name, CAST(CASE WHEN vt LIKE '%600%' THEN 600 WHEN vt LIKE '%480%' THEN 480 WHEN vt LIKE '%240%' THEN 240 WHEN vt LIKE '%208%' THEN 208 WHEN vt LIKE '%120%' THEN 120 END AS INT) AS voltage,
+    TRY_CAST(nullif(regexp_extract(att, '(?:^|[^0-9])([0-9]{{2,3}})(?:[^0-9]|$)', 1), '') AS INT) AS k3 FROM p LEFT JOIN modes m ON m.page_id = p.page_id),
+  attrs AS (SELECT page_id, trim(regexp_replace(regexp_replace(trim(nm), '(?i)^(?:PANEL(?:BOARD)?\b\s*:?)\s*', ''), '\s{{2,}}', ' ', 'g')) AS name, CAST(CASE WHEN vt LIKE '%600%' THEN 600 WHEN vt LIKE '%480%' THEN 480 WHEN vt LIKE '%240%' THEN 240 WHEN vt LIKE '%208%' THEN 208 WHEN vt LIKE '%120%' THEN 120 END AS INT) AS voltage,
     bus AS bus_amps, CASE WHEN mode = 'MLO' THEN NULL WHEN mode = 'MCB' THEN coalesce(main, bus) ELSE main END AS main_amps,
-    CAST(CASE WHEN k1 IS NOT NULL THEN k1 WHEN k2 IS NOT NULL THEN greatest(1, k2 // 1000) WHEN k3 IN (10,14,18,22,25,30,35,42,50,65,100,125,200) AND NOT regexp_matches(att, '\bA(MPS?)?\b') THEN k3 END AS INT) AS int_rating, mode FROM q""")
-def h12(tokens, page_sizes):
+    CAST(CASE WHEN k1 IS NOT NULL THEN k1 WHEN k2 IS NOT NULL THEN greatest(1, k2 // 1000) WHEN k3 IN (10,14,18,22,25,30,35,42,50,65,100,125,200) AND NOT regexp_matches(att, '\bA(MPS?)?\b') THEN k3 END AS INT) AS int_rating, mode FROM q)"""
+
+
+def attrs_of(tokens, page_sizes):
     modes = kv.main_mode(tokens)
     scored = kv.score_candidates(kv.value_candidates(tokens, page_sizes), kv.label_candidates(tokens), modes)
     return kv.build_panel_attrs(kv.pick_by_role(scored), modes)
 
 
+@query("h12_build_panel_attrs", "tokens page_sizes", "WITH " + ATTRS + " SELECT * FROM attrs")
+def h12(tokens, page_sizes):
+    return attrs_of(tokens, page_sizes)
+
+
 def header_text(stamps):
     k = F.col("read_id")
     return stamps.select(k.alias("text_id"), F.concat_ws(
