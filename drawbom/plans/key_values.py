@@ -135,7 +135,7 @@ def with_lines(tokens):
 
 @query("h10_extract_name", "tokens page_sizes")
 def h10(tokens, page_sizes):
-    return kv.extract_name(with_lines(tokens), page_sizes)
+    return kv.extract_name(with_lines(tokens), page_sizes).select("page_id", "name", "pass_no")
 
 
 @query("h11_name_fallback", "tokens page_sizes", "WITH " + VALUES + rf""", c AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS k FROM vals WHERE role = 'NAME'),
@@ -159,9 +159,9 @@ ATTRS = SCORED + rf""", p AS (SELECT page_id, max(text) FILTER (role = 'NAME') A
     CAST(CASE WHEN k1 IS NOT NULL THEN k1 WHEN k2 IS NOT NULL THEN greatest(1, k2 // 1000) WHEN k3 IN (10,14,18,22,25,30,35,42,50,65,100,125,200) AND NOT regexp_matches(att, '\bA(MPS?)?\b') THEN k3 END AS INT) AS int_rating, mode FROM q)"""
 
 
-def attrs_of(tokens, page_sizes):
-    modes = kv.main_mode(tokens)
-    scored = kv.score_candidates(kv.value_candidates(tokens, page_sizes), kv.label_candidates(tokens), modes)
+def attrs_of(tokens, page_sizes, names=None):
+    modes, cands = kv.main_mode(tokens), kv.value_candidates(tokens, page_sizes)
+    scored = kv.score_candidates(kv.with_extracted_name(cands, names) if names else cands, kv.label_candidates(tokens), modes)
     return kv.build_panel_attrs(kv.pick_by_role(scored), modes)
 
 
@@ -170,6 +170,11 @@ def h12(tokens, page_sizes):
     return attrs_of(tokens, page_sizes)
 
 
+@query("h14_attrs_with_extracted_name", "tokens page_sizes")
+def h14(tokens, page_sizes):
+    return attrs_of(tokens, page_sizes, kv.extract_name(with_lines(tokens), page_sizes))
+
+
 def header_text(stamps):
     k = F.col("read_id")
     return stamps.select(k.alias("text_id"), F.concat_ws(

@@ -186,10 +186,13 @@ def _trip_reads(d):
 
 
 def _digit_probs(d):
-    return f"""SELECT b.panel_id, b.ord AS i, s.source, CAST(1 + (b.amperage + b.poles * s.shift) % 3 AS INT) AS digit,
-      CAST(20 + (b.amperage * s.mult + b.panel_id) % 80 AS DOUBLE) / 100 AS p,
-      (b.panel_id + s.shift) % 7 = 0 AS abstain
-    FROM {d.t('breakers')} b CROSS JOIN (VALUES ('ocr', 0, 3), ('template', 1, 7), ('ink', 2, 11)) AS s(source, shift, mult)"""
+    sources = [("ocr", 0, 3), ("template", 1, 7), ("ink", 2, 11)]
+    each = (f"explode(array({', '.join(f"named_struct('source', '{n}', 'shift', {a}, 'mult', {b})" for n, a, b in sources)}))" if d.spark
+            else f"unnest([{', '.join(f"{{'source': '{n}', 'shift': {a}, 'mult': {b}}}" for n, a, b in sources)}])")
+    return f"""SELECT b.panel_id, b.ord AS i, b.s.source, CAST(1 + (b.amperage + b.poles * b.s.shift) % 3 AS INT) AS digit,
+      CAST(20 + (b.amperage * b.s.mult + b.panel_id) % 80 AS DOUBLE) / 100 AS p,
+      (b.panel_id + b.s.shift) % 7 = 0 AS abstain
+    FROM (SELECT *, {each} AS s FROM {d.t('breakers')}) b"""
 
 
 def _disconnect_items(d):

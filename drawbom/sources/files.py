@@ -66,6 +66,16 @@ def read_jsonc_config(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.explode(entries).alias("key", "value"))
 
 
+def lexicon_patterns(settings: DataFrame) -> DataFrame:
+    """Patterns in settings (`read_jsonc_config`) as `path, field, ord, pattern`, ord from 1:
+    lists of text directly under a key, or under the fields of an object."""
+    single = F.from_json("value", "array<string>")
+    nested = F.coalesce(F.from_json("value", "map<string,array<string>>"), F.create_map("key", single))
+    fields = settings.select("path", F.explode(nested).alias("field", "patterns")).filter("patterns IS NOT NULL")
+    return (fields.select("path", "field", F.posexplode("patterns").alias("ord", "pattern")).filter("pattern IS NOT NULL")
+            .select("path", "field", (F.col("ord") + 1).alias("ord"), "pattern"))
+
+
 def read_job_status(spark: SparkSession, folder: str) -> DataFrame:
     """Every readable `status.json` below a jobs folder; broken ones are left out."""
     df = (spark.read.schema(STATUS_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true")

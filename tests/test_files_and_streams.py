@@ -26,6 +26,12 @@ def test_settings_with_comments(spark, tmp_path):
     assert got == {"a": "[1,2]", "b": "http://u", "c": '{"d":5}'}
 
 
+def test_patterns_of_settings(spark, tmp_path):
+    (tmp_path / "c.jsonc").write_text('{"stop": ["A", "B"], "n": 5, "s": "x", /* c */ "labels": {"volts": ["\\\\bV\\\\b", "VOLT"], "amps": [], "none": null}}')
+    got = sorted((r.field, r.ord, r.pattern) for r in fl.lexicon_patterns(fl.read_jsonc_config(spark, str(tmp_path / "c.jsonc"))).collect())
+    assert got == [("stop", 1, "A"), ("stop", 2, "B"), ("volts", 1, r"\bV\b"), ("volts", 2, "VOLT")]
+
+
 def test_crops_status_and_csv(spark, tmp_path):
     for job in ("jobA", "jobB"):
         (tmp_path / job / "pdf_images").mkdir(parents=True)

@@ -57,6 +57,40 @@ def test_names_in_one_token(spark):
     assert named(spark, "PANEL", "SERVICE ENTRANCE", "Ø", "DP1")[0][0] == "DP1"
 
 
+def test_names_by_pass(spark):
+    assert named(spark, "BRANCH", "PANEL", ":", "LP", "2A", "VOLTAGE", "X9")[0] == ("LP 2A", 2)
+    assert named(spark, "PANEL", ":", "VOLTS", "DP-7") == [("DP-7", 2)]
+    assert named(spark, "PNL", "SIZE", "K2") == [("K2", 3)]
+    assert named(spark, "12", "NOTES", "K2") == [("K2", 4)]
+    assert named(spark, "SCHEDUIE", "480/277", "12") == []
+
+
+def test_a_tall_centred_word_is_the_name_and_joins_the_candidates(spark):
+    rows = [(1, 1, 0, "PANEL:", 0.9, 0, 0, 60, 14), (1, 1, 1, "AA", 0.9, 100, 0, 160, 14), (1, 2, 2, "C2B", 0.8, 480, 20, 520, 60)]
+    tokens = spark.createDataFrame(rows, "page_id long, line_no long, pos long, text string, conf double, x1 long, y1 long, x2 long, y2 long")
+    pages = spark.createDataFrame([(1, 1000)], "page_id long, width long")
+    names = kv.extract_name(tokens, pages)
+    assert [tuple(r) for r in names.collect()] == [(1, "C2B", 0, 480, 20, 520, 60, 0.8, 0.99, 0.45)]
+    cands = kv.with_extracted_name(kv.value_candidates(tokens.drop("line_no"), pages), names)
+    assert [(r.pos, r.text) for r in cands.filter("role = 'NAME' AND pos < 0").collect()] == [(-1, "C2B")]
+    words = kv.extract_name(tokens.filter("pos < 2"), pages).first()
+    assert (words["name"], words["x1"], words["x2"], words["conf"]) == ("AA", 100, 160, 0.9)
+
+
+def test_series_rated_panels_take_the_lowest_rating(spark):
+    from drawbom.sources.derived import table
+    frames, pairs = (table(spark, "/root/testdata/sf0.001", n) for n in ("frames", "pair_rules"))
+    panels = spark.createDataFrame([(1, "HCP", 240, 65, 84, True, True, False), (2, "HCP", 240, 65, 84, False, True, True)],
+                                   "panel_id long, series string, voltage int, int_rating int, spaces int, series_rated boolean, spd boolean, allow_spd boolean")
+    breakers = spark.createDataFrame([(p, 3, 100, 1, "") for p in (1, 2)], "panel_id long, poles int, amperage int, cnt int, special_features string")
+    rows = pl.place_iline(panels, breakers, frames, pairs).collect()
+    rating = {r.panel_id: r.rating for r in rows if r.kind == "breaker"}
+    assert rating[1] < 65 <= rating[2]
+    assert {r.panel_id for r in rows if "surge" in r.product or "SPD" in r.product} == {2}
+    left = {r.panel_id: r.qty for r in rows if r.kind == "spaces left"}
+    assert left[1] - left[2] == 9
+
+
 def test_late_events_do_not_reopen_a_finished_job(spark, tmp_path):
     write(spark, tmp_path / "e", 0, [event(1, 30, 1, "done")])
     q = run(st.stream_stuck_jobs(st.read_events(spark, str(tmp_path / "e"))), "late", "append")
