@@ -36,9 +36,7 @@ def strips(df: DataFrame, keys: list[str], order: list[Column], pos: Column, rea
     minimum of `reach_start`.
     """
     cell = cell_of(pos, CELL_PX)
-    ahead = running(df, keys, order, cell, {"_end": ("max", reach_end, False)})
-    back = [(-c).alias("o") for c in order]
-    both = running(ahead, keys, [-c for c in order], cell_of(-pos, CELL_PX), {"_from": ("min", reach_start, True)})
+    both = running(df, keys, order, cell, {"_end": ("max", reach_end, False), "_from": ("min_ahead", reach_start, True)})
     cut = both.withColumn("_s", F.when(F.col("_end").isNull() | (F.col("_end") < F.col("_from")), 1).otherwise(0).cast("long"))
     return running(cut, keys, order, cell, {"strip": ("sum", F.col("_s"), True)}).drop("_end", "_from", "_s")
 

@@ -25,19 +25,25 @@ def running(df: DataFrame, keys: list[str], order: list[Column], cell: Column,
     """Add running sums, extremes or last non-null values along `order`.
 
     `specs` maps an output name to (kind, value, inclusive) with kind one of
-    sum, max, min, last. Exclusive results look only at earlier rows.
+    sum, max, min, last, min_ahead. Exclusive results look only at earlier rows;
+    min_ahead looks at this row and later ones instead.
     """
     marked = df.withColumn(CELL, cell)
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     inside, totals, carried = [], [], []
     by_cell = Window.partitionBy(*keys, CELL).orderBy(*order)
     over_cells = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    from_end = Window.partitionBy(*keys, CELL).orderBy(*[c.desc() for c in order])
+    cells_from_end = Window.partitionBy(*keys).orderBy(F.desc(CELL)).rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, value, inclusive) in specs.items():
         frame = by_cell.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         if kind == "last":
             here = F.last(value, ignorenulls=True).over(frame)
             total = F.max_by(value, F.when(value.isNotNull(), position))
             carry = F.last(f"_t_{name}", ignorenulls=True).over(over_cells)
+        elif kind == "min_ahead":
+            here, total = F.min(value).over(from_end.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.min(value)
+            carry = F.min(f"_t_{name}").over(cells_from_end)
         else:
             agg = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
             here, total = agg(value).over(frame), agg(value)
@@ -52,6 +58,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], cell: Column,
         "sum": lambda i, c: F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0)),
         "max": lambda i, c: F.greatest(i, c),
         "min": lambda i, c: F.least(i, c),
+        "min_ahead": lambda i, c: F.least(i, c),
         "last": lambda i, c: F.coalesce(i, c),
     }
     out = [combine[kind](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n)
