@@ -25,8 +25,9 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 # Generators: anything like a number, an address, an opaque token.
-NUMBER = r"(?<![0-9A-Za-z.(+-])[+(]?[0-9][0-9\x20().-]{7,30}+(?<=[0-9])(?![0-9A-Za-z])"
-ADDRESS = r"(?<![^\s@])[^\s@]{1,64}+(?:@|[\[(]at[\])])[^\s@]{1,253}+"
+# A number gives back what follows its last digit; a local part stops before [at].
+NUMBER = r"(?<![0-9A-Za-z.(+-])[+(]?[0-9][0-9\x20().-]{6,29}[0-9](?![0-9A-Za-z])"
+ADDRESS = r"(?<![^\s@])(?![\[(]at[\])]|[\s@])[^\s@(\[]*+(?:[(\[](?!at[\])])[^\s@(\[]*+)*+(?:@|[(\[]at[\])])[^\s@]{1,253}+"
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}+[0-9])[A-Za-z0-9_-]{16,128}+(?![A-Za-z0-9_-])"
 KEY = r"^(AKIA[0-9A-Z]{16}|[0-9a-f]{40}|gh[pousr]_[A-Za-z0-9]{36})$"
 CONTEXT = r"(?i)(tel|phone|call|fax|mobile|card|visa|mail|contact|token|key|secret|passw|login|user|addr|ssn|iban)[^\n]{0,12}$"

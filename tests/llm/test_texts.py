@@ -38,6 +38,17 @@ def test_fixed_formats_as_by_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(r.spans.split(","))
 
 
+def test_generators_propose_numbers_and_addresses_in_running_text(spark):
+    number = ["555-123-4567", "4111 1111 1111 1111", "123-45-6789", "(555) 123-4567", "555.123.4567"]
+    address = ["john[at]example.com", "john.doe(at)example.org", "f(x)(at)example.org", "ann@example.org", "a" * 90 + "@example.org"]
+    cases = [(f"{before}{x}{after}", [x]) for x in number for before in ("", "call ") for after in (" now", ".", ". Then", "", ",", "\n", " (home)")]
+    cases += [(f"{before}{x}{after}", [x]) for x in address for before in ("", "to ") for after in (" now", "", "\n")]
+    cases += [("[at]example.com", []), ("555-123-4567abc", []), ("7" * 50000, []), ("1" + " " * 50000, []), ("a(" * 30000, []), ("room 12, 3.5 of 20", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(8)
+    for r in pii.candidates(df).select("doc_id", "text", F.expr("transform(filter(found, c -> c.gen < 2), c -> substr(text, c.start + 1, c.end - c.start))").alias("got")).collect():
+        assert r.got == cases[r.doc_id][1], r.text[:60]
+
+
 def test_redaction_leaves_no_format_and_clean_texts_alone(spark):
     texts = [f"{prose(i, 9)} write to ann.{i}@mail.example.com or +1 (555) 555-{1000 + i} 10.0.0.{i} now" for i in range(40)] + [f"{prose(i, 30)} token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" end" for i in range(30)]
     clean = [prose(i, 40) for i in range(40)] + [None, "", "room 12, 3.5 of 20"]
