@@ -2,8 +2,9 @@
 
 Everything is a Spark expression. High-recall generators propose spans, which may
 overlap; features of their format and context are small integers, so all candidates
-of the corpus fit one table of counts by feature values. Trees are boosted on that
-table, with the fixed formats as labels, the threshold is set for a wanted precision,
+of the corpus fit one table of counts by feature values. Trees are boosted on those
+that touch no fixed format, as only they can be added; labels are known secrets and
+context words of the candidate's own kind. The threshold is set for a wanted precision,
 and trees and threshold go back into expressions. Fixed formats always stay.
 """
 
@@ -31,6 +32,10 @@ ADDRESS = r"(?<![^\s@])(?![\[(]at[\])]|[\s@])[^\s@(\[]*+(?:[(\[](?!at[\])])[^\s@
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}+[0-9])[A-Za-z0-9_-]{16,128}+(?![A-Za-z0-9_-])"
 KEY = r"^(AKIA[0-9A-Z]{16}|[0-9a-f]{40}|gh[pousr]_[A-Za-z0-9]{36})$"
 CONTEXT = r"(?i)(tel|phone|call|fax|mobile|card|visa|mail|contact|token|key|secret|passw|login|user|addr|ssn|iban)[^\n]{0,12}$"
+# Words ahead that name a kind, as whole words; which candidates they may confirm is in `seed`.
+NAMES = {"phone": "tel|telephone|phone|call|fax|mobile|cell", "card": "card|visa|mastercard", "id": "ssn|social security|iban",
+         "mail": "e-?mail|mail|contact|write to", "secret": "token|key|secret|password|passwd"}
+FREE = "NOT exists(base, b -> b.start < c.end AND c.start < b.end)"
 FEATURES = ["gen", "size", "digits", "lower", "upper", "marks", "luhn", "plus", "hint", "groups"]
 
 
@@ -65,18 +70,34 @@ def base_spans(text: str = "_text") -> Column:
         kind(3, PHONE, f"length({digits('x.m')}) BETWEEN 10 AND 15", f"contains({text}, '+')")]) + "))")
 
 
-def proposals(text: str = "_text", base: str = "base") -> Column:
-    """Array of candidates: start, end, FEATURES and `label`, whether a fixed format agrees."""
+def named(ahead: str, *kinds: str) -> str:
+    """SQL for whether a word of one of the kinds stands close before the end of `ahead`."""
+    return f"({ahead} RLIKE '(?i)(?<![a-z])({'|'.join(NAMES[k] for k in kinds)})(?![a-z])[^\\\\n0-9]{{0,12}}$')"
+
+
+def seed(gen: int, ahead: str, nd: str) -> str:
+    """SQL for whether the context names the kind of candidate x, and its form allows that kind."""
+    if gen == 0:
+        return f"({nd} BETWEEN 7 AND 15 AND {named(ahead, 'phone')} OR {nd} BETWEEN 13 AND 19 AND {luhn('x.m')} AND {named(ahead, 'card')} OR ({nd} = 9 OR {nd} >= 12) AND {named(ahead, 'id')})"
+    if gen == 1:
+        return named(ahead, "mail")
+    return f"(x.m RLIKE '[A-Za-z]' AND {named(ahead, 'secret')} OR {nd} >= 12 AND {named(ahead, 'id')})"
+
+
+def proposals(text: str = "_text") -> Column:
+    """Array of candidates: start, end, FEATURES and `label`, whether it is a known form of
+    key or its context names its kind."""
     key, context = KEY.replace("\\", "\\\\"), CONTEXT.replace("\\", "\\\\")
 
     def made(gen: int, pattern: str, guard: str) -> str:
         size, nd = "length(x.m)", f"length({digits('x.m')})"
+        ahead = f"substr({text}, greatest(1, x.start - 27), least(28, x.start))"
         return (f"CASE WHEN {guard} THEN transform({matches(text, pattern)}, x -> struct(x.start AS start, x.end AS end, {gen} AS gen, "
                 f"CASE WHEN {size} <= 10 THEN 0 WHEN {size} <= 13 THEN 1 WHEN {size} <= 16 THEN 2 WHEN {size} <= 20 THEN 3 WHEN {size} <= 36 THEN 4 ELSE 5 END AS size, "
                 f"CASE WHEN {nd} < 6 THEN 0 WHEN {nd} < 10 THEN 1 WHEN {nd} < 12 THEN 2 WHEN {nd} < 14 THEN 3 WHEN {nd} < 20 THEN 4 ELSE 5 END AS digits, "
                 f"CAST(x.m RLIKE '[a-z]' AS INT) AS lower, CAST(x.m RLIKE '[A-Z]' AS INT) AS upper, least(3, length(regexp_replace(x.m, '[^.@]', ''))) AS marks, "
-                f"CAST({luhn('x.m')} AS INT) AS luhn, CAST(startswith(x.m, '+') AS INT) AS plus, CAST(substr({text}, greatest(1, x.start - 27), least(28, x.start)) RLIKE '{context}' AS INT) AS hint, "
-                f"least(5, size(split(x.m, '[^0-9A-Za-z]+'))) AS groups, CAST(x.m RLIKE '{key}' OR exists({base}, b -> b.start < x.end AND x.start < b.end) AS INT) AS label)) "
+                f"CAST({luhn('x.m')} AS INT) AS luhn, CAST(startswith(x.m, '+') AS INT) AS plus, CASE WHEN {named(ahead, *NAMES)} THEN 2 WHEN {ahead} RLIKE '{context}' THEN 1 ELSE 0 END AS hint, "
+                f"least(5, size(split(x.m, '[^0-9A-Za-z]+'))) AS groups, CAST(x.m RLIKE '{key}' OR {seed(gen, ahead, nd)} AS INT) AS label)) "
                 "ELSE CAST(array() AS array<struct<start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES) + ",label:int>>) END")
     digit = f"{text} RLIKE '[0-9]'"
     return F.expr("concat(" + ", ".join([made(0, NUMBER, digit), made(1, ADDRESS, f"{text} RLIKE '@|[\\\\[(]at[\\\\])]'"), made(2, TOKEN, digit)]) + ")")
@@ -100,13 +121,13 @@ class Trees:
 
 
 def fit(table: DataFrame, trees: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.98) -> Trees:
-    """Boosted trees on the counts of all candidates by feature values.
+    """Boosted trees on the counts of the candidates that touch no fixed format, by feature values.
 
     The counts have at most one row per combination of the features' few levels. The
-    threshold is the least score above which a share `precision` of the candidates is
-    confirmed by a fixed format; without candidates or labels nothing is added.
+    threshold is the least score above which a share `precision` of these candidates is
+    confirmed by its label; without candidates or labels nothing is added.
     """
-    rows = table.select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("c.label").alias("p")).collect()
+    rows = table.select(F.explode(F.expr(f"filter(found, c -> {FREE})")).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("c.label").alias("p")).collect()
     rows = sorted(tuple(r) for r in rows)
     if not rows:
         return Trees([], -9.0, 9.0)
@@ -154,7 +175,7 @@ def fit(table: DataFrame, trees: int = 20, depth: int = 3, rate: float = 0.3, pr
 def decide(table: DataFrame, trees: Trees) -> DataFrame:
     """`table` with `spans`: the fixed formats and the accepted candidates that touch none of them."""
     kind = "CASE WHEN c.gen = 1 THEN 0 WHEN c.gen = 2 THEN 4 WHEN c.marks = 3 AND c.groups = 4 THEN 1 WHEN c.digits >= 4 THEN 2 ELSE 3 END"
-    added = (f"transform(filter(found, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end) AND {trees.score('c')} >= {trees.threshold!r}D), "
+    added = (f"transform(filter(found, c -> {FREE} AND {trees.score('c')} >= {trees.threshold!r}D), "
              f"c -> struct(c.start AS start, {kind} AS k, c.end AS end))")
     return table.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", F.expr(added)))))
 

@@ -49,6 +49,22 @@ def test_generators_propose_numbers_and_addresses_in_running_text(spark):
         assert r.got == cases[r.doc_id][1], r.text[:60]
 
 
+def test_trees_add_what_no_fixed_format_holds(spark):
+    told = [("Call ", "555-123-{:04d}", "phone"), ("my SSN ", "123-45-{:04d}", "phone"), ("mail ", "ann{:04d}[at]example.com", "email"), ("write to ", "bob{:04d}(at)example.org", "email"),
+            ("IBAN ", "DE8937040044053201{:04d}", "key"), ("password: ", "hunter-of-words{:04d}", "key")]
+    other = ["pages 1234{:04d} of", "mail bob{:04d}@example.org or +1 (555) 555-{:04d} to", "part chapter-of-words-{:04d} is", "card 4111 1111 1111 1111 and {:04d}"]
+    cases = [(f"{prose(i, 6)} {before}{x.format(1000 + i)} now", f"{kind}:{x.format(1000 + i)}") for i in range(30) for before, x, kind in told]
+    cases += [(f"{prose(i, 6)} {x.format(1000 + i, 1000 + i)} now", None) for i in range(60) for x in other]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(8)
+    for r in pii.detect(df).collect():
+        text, want = cases[r.doc_id]
+        spans = [(k, text[int(a):int(b)]) for k, a, b in (s.split(":") for s in filter(None, r.spans.split(",")))]
+        if want:
+            assert want in [":".join(s) for s in spans], text
+        else:
+            assert r.n_email + r.n_ip + r.n_card + r.n_phone == len(spans), text
+
+
 def test_redaction_leaves_no_format_and_clean_texts_alone(spark):
     texts = [f"{prose(i, 9)} write to ann.{i}@mail.example.com or +1 (555) 555-{1000 + i} 10.0.0.{i} now" for i in range(40)] + [f"{prose(i, 30)} token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" end" for i in range(30)]
     clean = [prose(i, 40) for i in range(40)] + [None, "", "room 12, 3.5 of 20"]
