@@ -236,6 +236,33 @@ def test_licences_by_rules(spark):
     assert licenses.scan(df).count() == df.count() and licenses.scan(empty(spark)).count() == 0
 
 
+def test_every_licence_sentence_is_found_in_its_published_wording(spark):
+    gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    later = "either version {} of the License, or\n(at your option) any later version."
+    notices = [
+        (f"    This program is free software: {gpl}, {later.format(3)}\n\nThis program is distributed", "GPL-3.0-or-later"), (f"This program is free software; {gpl}; {later.format(2)}", "GPL-2.0-or-later"),
+        (f"This program is free software; {gpl}; {later.format(3)}", "GPL-3.0-or-later"), (f"This program is free software: {gpl}, {later.format(2)}", "GPL-2.0-or-later"),
+        (f"This program is free software, {gpl}, {later.format(3)}", "GPL-3.0-or-later"), (f"This program is free software, {gpl}, {later.format(2)}", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: MIT\nimport os\n", "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */\nint x;", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("SPDX-License-Identifier: MITRE\n", ""),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required', "Apache-2.0"),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n', "Apache-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("This program is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Released under the MIT License.", "MIT"), ("Licensed under the MIT license.", "MIT"),
+        ("Released under the BSD License.", "BSD"),
+        ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\n'
+         "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n"
+         "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n", "MIT"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+         "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+         "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", "BSD-3-Clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licenses.scan(df).collect()} == {i: w for i, (_, w) in enumerate(notices)}
+    for key, name in licenses.SENTENCES.items():
+        one = licenses.identifiers(licenses.sentences(F.col("text")), {key: name})
+        assert df.filter(F.size(one) > 0).count() > 0, key
+
+
 def test_languages_are_learned_and_unknown_texts_refused(spark):
     kinds = {"en": "the house of river stone", "de": "der straße über häuser und", "fr": "é çà être que les maisons"}
     data = [(i, " ".join(random.Random(i).choice(kinds[k].split()) for _ in range(30)), k) for i, k in enumerate(list(kinds) * 60)]
