@@ -164,6 +164,11 @@ def l16(header_cands):
     return ly.assign_column_roles(col_scores(header_cands))
 
 
+@query("l16_roles_of_scored_columns", "header_cands")
+def l16_scored(header_cands):
+    return ly.assign_column_roles(ly.score_header_columns(columns_of(header_cands)))
+
+
 @query("l17_classify_bands", "header_cands")
 def l17(header_cands):
     return ly.classify_bands(header_cands.drop("role", "sim", "conf"))
@@ -256,3 +261,8 @@ def l25(header_cands):
     roles = F.array(*[F.lit(r) for r in CLASS_ROLES])
     classified = header_cands.drop("role").withColumn("class_role", F.get(roles, (F.col("x1") % 5).cast("int")))
     return ly.backfill_picks(picks, classified)
+
+
+@query("l25_backfill_classified", "header_cands")
+def l25_classified(header_cands):
+    return ly.backfill_picks(ly.pick_headers(header_cands), ly.classify_bands(header_cands.drop("role", "sim", "conf")))

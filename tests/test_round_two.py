@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from drawbom.operators import geometry as ge, keyvalue as kv, pages as pg, spread as sp
 from drawbom.operators.rules import placement as pl
 from drawbom.sources import files as fl
+from drawbom.sources.derived import table
 from drawbom.streaming import jobs as st
 
 from test_files_and_streams import event, run, write
@@ -126,3 +128,56 @@ def test_unknown_panels_come_last_in_order(spark):
     bom = spark.createDataFrame(rows, "panel_id long, item_type string, product string, qty long, notes string, section long")
     panels = spark.createDataFrame([(1, -1, 5)], "panel_id long, job_id long, ord long")
     assert [(r.panel_id, r.row_no) for r in bm.order_bom(bom, panels).orderBy("row_no").collect()] == [(1, 1), (7, 2), (9_000_000_000, 3)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def by_page(df):
+    pages = {}
+    for r in df.collect():
+        pages.setdefault(r.page_id, []).append(r)
+    return pages
+
+
+def test_backfill_reads_all_picks_and_the_classes_of_labels(spark):
+    queries, cands = entry.queries(), by_page(table(spark, SMALL, "header_cands"))
+    classes = {(r.page_id, r.ord): r.class_role for r in queries["l17_classify_bands"](spark, SMALL).collect()}
+    want = []
+    for page, labels in cands.items():
+        have = set()
+        for role in {r.role for r in labels}:
+            best, buckets = [], set()
+            for r in sorted((r for r in labels if r.role == role and r.sim >= 0.6), key=lambda r: (-round(0.9 * r.sim + 0.1 * r.conf, 9), r.ord)):
+                bucket = round((r.x1 + r.x2) / 2 / 28)
+                if bucket not in buckets:
+                    buckets.add(bucket)
+                    best.append((page, role, r.ord, "pick"))
+            want += best[:2]
+            have |= {role} if best else set()
+        for r in labels:
+            c = classes[page, r.ord]
+            want += [(page, role, r.ord, "class") for role in {"combo": ["trip", "poles"], "unknown": []}.get(c, [c]) if role not in have]
+    got = [(r.page_id, r.role, r.ord, r.origin) for r in queries["l25_backfill_classified"](spark, SMALL).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(page % 2 and role == "poles" and origin == "pick" for page, role, _, origin in got)
+
+
+def test_column_roles_follow_the_scores_of_their_words(spark):
+    queries = entry.queries()
+    want = []
+    for page, cols in by_page(queries["l15_score_header_columns"](spark, SMALL)).items():
+        hero = [c for c in cols if not c.has_notes and c.ckt == 0 and c.description == 0]
+        mid = (min(c.x_left for c in hero) + max(c.x_right for c in hero)) / 2 if hero else 0
+        side = lambda c: (c.x_left + c.x_right) / 2 < mid
+        best = {(s, f): min(((-c[f], c.column) for c in hero if side(c) == s and c[f] > 0), default=(0, None))[1] for s in (True, False) for f in ("trip_rank", "poles_rank")}
+        trips, poles = [best[s, "trip_rank"] for s in (True, False)], [best[s, "poles_rank"] for s in (True, False)]
+        layout = "combined" if any(t is not None and t == p for t, p in zip(trips, poles)) else "separated" if trips != [None, None] and poles != [None, None] else "unknown"
+        for c in cols:
+            t, p = c.column == best[side(c), "trip_rank"], c.column == best[side(c), "poles_rank"]
+            role = None if c.has_notes else "ckt" if c.ckt >= max(2, c.description) else "description" if c.description >= 2 else None
+            if c in hero:
+                role = ("combo" if t and p else None) if layout == "combined" else "trip" if t else "poles" if p else None
+            want.append((page, c.column, role, layout))
+    got = [(r.page_id, r.column, r.role, r.layout) for r in queries["l16_roles_of_scored_columns"](spark, SMALL).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[2] for r in got}) > 3
