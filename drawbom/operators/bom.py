@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.electrical import breaker_desc_from_pn
-from drawbom.operators.spread import cell_of, numbered
+from drawbom.operators.spread import numbered
 
 SE_ITEMS = ["Service Entrance Kit", "Service Entrance Barrier Kit"]
 ATTRIBUTES = ["bus_amps", "voltage", "int_rating", "spaces", "main_amps"]
@@ -33,17 +33,17 @@ def suppress_service_entrance(bom: DataFrame) -> DataFrame:
     return bom.filter(~kits).unionByName(bom.filter(kits).join(unsuitable, "panel_id", "left_anti"))
 
 
-def order_bom(bom: DataFrame, panels: DataFrame, cell: int = 1024) -> DataFrame:
+def order_bom(bom: DataFrame, panels: DataFrame) -> DataFrame:
     """Row number per job in display order: panel order, section, type, product.
 
-    Panels unknown to the table come last, by panel_id. Rows are numbered per
-    stretch of panels first, so one job may hold most of the rows.
+    Panels unknown to the table come last, by panel_id. Rows are numbered by
+    a prefix scan, so one job may hold most of the rows.
     """
     known = panels.select("panel_id", "job_id", F.col("ord").alias("panel_ord"))
     df = bom.join(known, "panel_id", "left").withColumn("panel_ord", F.coalesce("panel_ord", F.lit(2**62) + F.col("panel_id") % 2**61))
     df = df.withColumn("job_id", F.coalesce("job_id", F.lit(-1)))
     order = [F.col(c) for c in ("panel_ord", "section", "item_type", "product", "notes", "qty")]
-    return numbered(df, ["job_id"], order, cell_of(F.col("panel_ord"), cell), "row_no")
+    return numbered(df, ["job_id"], order, "row_no")
 
 
 def kilo(c: Column) -> Column:

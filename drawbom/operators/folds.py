@@ -10,16 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from drawbom.operators.spread import cell_of, neighbours, running
-
-CELL_PX = 512
+from drawbom.operators.spread import beside, ordered, scan
 
 
 def islands(df: DataFrame, keys: list[str], pos: str, gap: int, out: str = "island") -> DataFrame:
     """Number the stretches of positions that are closer than `gap`."""
-    near = neighbours(df, keys, [F.col(pos)], cell_of(F.col(pos), CELL_PX), F.col(pos), prev="_prev")
+    near = beside(ordered(df, keys, [F.col(pos)]), keys, F.col(pos), prev="_prev")
     starts = near.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col(pos) - F.col("_prev") >= gap), 1).otherwise(0).cast("long"))
-    return running(starts, keys, [F.col(pos)], cell_of(F.col(pos), CELL_PX), {out: ("sum", F.col("_start"), True)}).drop("_prev", "_start")
+    return scan(starts, keys, {out: ("sum", F.col("_start"), True)}).drop("_prev", "_start")
 
 
 def keep_apart(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.electrical import snap_spaces
-from drawbom.operators.folds import CELL_PX, islands, keep_apart
-from drawbom.operators.spread import cell_of, first_per, neighbours, numbered, running
+from drawbom.operators.folds import islands, keep_apart
+from drawbom.operators.spread import first_per, neighbours, numbered, running, scan
 
 TILE_PX = 256
 
@@ -72,10 +72,9 @@ def iou_pairs(boxes: DataFrame, min_iou: float = 0.0, tile: int = TILE_PX) -> Da
 def box_islands(boxes: DataFrame) -> DataFrame:
     """Groups of boxes separated by an empty horizontal strip of the page."""
     order = [F.col("y1"), F.col("box_id")]
-    cell = cell_of(F.col("y1"), CELL_PX)
-    below = running(boxes, ["page_id"], order, cell, {"_top": ("max", F.col("y2"), False)})
+    below = running(boxes, ["page_id"], order, {"_top": ("max", F.col("y2"), False)})
     starts = below.withColumn("_s", F.when(F.col("_top").isNull() | (F.col("y1") >= F.col("_top")), 1).otherwise(0).cast("long"))
-    return running(starts, ["page_id"], order, cell, {"island": ("sum", F.col("_s"), True)}).drop("_top", "_s")
+    return scan(starts, ["page_id"], {"island": ("sum", F.col("_s"), True)}).drop("_top", "_s")
 
 
 def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
@@ -95,7 +94,7 @@ def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
     empty = F.slice("bs", 1, 0)
     kept = folded.select("page_id", F.explode(F.aggregate("bs", empty, step)).alias("b"))
     rows = kept.select("page_id", "b.box_id", "b.x1", "b.y1", "b.x2", "b.y2")
-    return numbered(rows, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], cell_of(F.col("y1"), CELL_PX), "seq")
+    return numbered(rows, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], "seq")
 
 
 def to_page_fraction(boxes: DataFrame, pages: DataFrame, pad: int = 6) -> DataFrame:
@@ -110,7 +109,7 @@ def to_page_fraction(boxes: DataFrame, pages: DataFrame, pad: int = 6) -> DataFr
 def line_gaps(lines: DataFrame) -> DataFrame:
     """Distance to the previous and next ruled line of the page."""
     y = F.col("y_center")
-    near = neighbours(lines, ["page_id"], [y, F.col("line_no")], cell_of(y, CELL_PX), y, prev="_p", nxt="_n")
+    near = neighbours(lines, ["page_id"], [y, F.col("line_no")], y, prev="_p", nxt="_n")
     return near.withColumns({"prev_gap": y - F.col("_p"), "next_gap": F.col("_n") - y}).drop("_p", "_n")
 
 
@@ -182,14 +181,14 @@ def collapse_near(xs: DataFrame, pos: str, tol: int = 4) -> DataFrame:
 def row_centers(borders: DataFrame, min_gap: int = 12, min_dy: int = 8) -> DataFrame:
     """Midpoints between borders at least `min_gap` apart, thinned to `min_dy`."""
     y = F.col("y")
-    near = neighbours(borders.select("page_id", "y").distinct(), ["page_id"], [y], cell_of(y, CELL_PX), y, nxt="_n")
+    near = neighbours(borders.select("page_id", "y").distinct(), ["page_id"], [y], y, nxt="_n")
     mids = near.filter(F.col("_n") - y >= min_gap).select("page_id", F.floor((y + F.col("_n")) / 2).alias("center"))
     return keep_apart(mids, ["page_id"], "center", min_dy)
 
 
 def with_gap(borders: DataFrame) -> DataFrame:
     y = F.col("y")
-    return neighbours(borders, ["page_id"], [y], cell_of(y, CELL_PX), y, nxt="_n").withColumn("gap", F.col("_n") - y).drop("_n")
+    return neighbours(borders, ["page_id"], [y], y, nxt="_n").withColumn("gap", F.col("_n") - y).drop("_n")
 
 
 def median_gap(gapped: DataFrame, name: str = "med") -> DataFrame:
@@ -289,7 +288,7 @@ def middle_medians(feats: DataFrame, features: list[str]) -> DataFrame:
     long = feats.select("page_id", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("long").alias("v")) for f in features])).alias("x"))
     counts = long.groupBy("page_id", "x.f", "x.v").agg(F.count("*").alias("c"))
     total = counts.groupBy("page_id", "f").agg(F.sum("c").alias("n"))
-    cum = running(counts, ["page_id", "f"], [F.col("v")], cell_of(F.col("v"), 1024), {"upto": ("sum", F.col("c"), True)}).join(total, ["page_id", "f"])
+    cum = running(counts, ["page_id", "f"], [F.col("v")], {"upto": ("sum", F.col("c"), True)}).join(total, ["page_id", "f"])
     a = F.floor(0.25 * F.col("n"))
     m = F.greatest(a + 1, F.floor(0.75 * F.col("n"))) - a
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
@@ -314,7 +313,7 @@ def row_boxes(centers: DataFrame, refs: DataFrame) -> DataFrame:
     """Vertical extent of each row: halfway to its neighbours, the ends mirrored,
     inside header and footer."""
     c = F.col("center")
-    near = neighbours(centers.select("page_id", "center").distinct(), ["page_id"], [c], cell_of(c, CELL_PX), c, prev="_p", nxt="_n").join(refs, "page_id")
+    near = neighbours(centers.select("page_id", "center").distinct(), ["page_id"], [c], c, prev="_p", nxt="_n").join(refs, "page_id")
     p, n = F.col("_p"), F.col("_n")
     up = F.coalesce(F.floor((p + c) / 2), (c - (n - c) / 2).cast("long"), F.greatest(F.lit(0), c - 10))
     down = F.coalesce(F.floor((c + n) / 2), (c + (c - p) / 2).cast("long"), F.least(F.col("height") - 1, c + 10))
@@ -351,7 +350,7 @@ def split_multi_table_crops(crops: DataFrame, boxes: DataFrame, pad: int = 6) ->
     info = crops.join(n, "page_id", "left")
     single = info.filter(F.coalesce("n", F.lit(0)) <= 1).select(
         "page_id", F.col("name").alias("name"), F.lit(0).cast("long").alias("x1"), F.lit(0).cast("long").alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"))
-    seq = numbered(boxes, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], cell_of(F.col("y1"), CELL_PX), "seq")
+    seq = numbered(boxes, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], "seq")
     many = seq.join(info.filter("n > 1"), "page_id").select(
         "page_id", F.concat("name", F.lit("__tbl"), F.format_string("%02d", "seq")).alias("name"),
         F.greatest(F.lit(0), F.col("x1") - pad).alias("x1"), F.greatest(F.lit(0), F.col("y1") - pad).alias("y1"),

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from drawbom.operators.spread import cell_of, neighbours, running, top_per
+from drawbom.operators.spread import neighbours, running, top_per
 
 TERMINAL = ["done", "error", "canceled"]
 STATE_MARKS = {"queued": 0.0, "rendering": 2.0, "rendered": 9.0, "parsed": 92.0, "rules": 95.0, "done": 100.0, "error": 100.0}
-DAY_MS = 86_400_000
-MINUTE_MS = 60_000     # cells of an owner's jobs, of which there may be very many a day
 
 
 def latest_job_state(events: DataFrame, cancels: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
@@ -53,7 +51,7 @@ def job_progress(events: DataFrame) -> DataFrame:
     crops while parsing."""
     crop = F.when(F.col("state") == "parsing", 1).otherwise(0).cast("long")
     totals = events.groupBy("job_id").agg(F.sum(crop).alias("_total"))
-    counted = running(events, ["job_id"], [F.col("ts_ms"), F.col("event_id")], cell_of(F.col("ts_ms"), DAY_MS),
+    counted = running(events, ["job_id"], [F.col("ts_ms"), F.col("event_id")],
                       {"_done": ("sum", crop, True)}).join(totals, "job_id")
     marks = F.create_map(*[F.lit(x) for kv in STATE_MARKS.items() for x in kv])
     progress = F.when(F.col("state") == "parsing", 10.0 + F.col("_done") / F.col("_total") * 80.0).otherwise(
@@ -63,7 +61,7 @@ def job_progress(events: DataFrame) -> DataFrame:
 
 def stuck_jobs(events: DataFrame, as_of_ms: int, timeout_ms: int = 900_000) -> DataFrame:
     """Unfinished events that nothing followed within the watchdog time."""
-    near = neighbours(events, ["job_id"], [F.col("ts_ms"), F.col("event_id")], cell_of(F.col("ts_ms"), DAY_MS),
+    near = neighbours(events, ["job_id"], [F.col("ts_ms"), F.col("event_id")],
                       F.col("ts_ms"), nxt="_next")
     late = F.coalesce("_next", F.lit(as_of_ms)) - F.col("ts_ms") > timeout_ms
     return (near.filter(~F.col("state").isin(*TERMINAL) & late)
@@ -85,7 +83,7 @@ def inflight_by_owner(events: DataFrame, cap: int = 1) -> DataFrame:
     steps = spans.select("owner_id", "job_id", F.explode(F.array(
         F.struct(F.col("s").alias("t"), F.lit(1).cast("long").alias("d")),
         F.struct(F.col("e").alias("t"), F.lit(-1).cast("long").alias("d")))).alias("x")).select("owner_id", "job_id", "x.t", "x.d")
-    load = running(steps, ["owner_id"], [F.col("t"), F.col("d").desc(), F.col("job_id")], cell_of(F.col("t"), MINUTE_MS),
+    load = running(steps, ["owner_id"], [F.col("t"), F.col("d").desc(), F.col("job_id")],
                    {"load": ("sum", F.col("d"), True)})
     return load.groupBy("owner_id").agg(F.max("load").alias("max_inflight"), (F.max("load") > cap).alias("over_cap"))
 

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.similarity import header_facts, role_scores
 from drawbom.functions.text import fix_header_typos, is_header_word, norm_header_text
-from drawbom.operators.folds import CELL_PX
 from drawbom.operators.geometry import iou
-from drawbom.operators.spread import cell_of, first_per, neighbours, numbered, running, top_per
+from drawbom.operators.spread import first_per, neighbours, numbered, running, scan, top_per
 
 # Fixed values -------------------------------------------------------------
 TRIP_RX = r"(?i)\b(TRIP|AMP|AMPS|BREAKER|BKR|SIZE|\(A\))\b"
@@ -28,17 +27,16 @@ CKT_WINDOWS = [(0.08, 0.48, 0.28), (0.10, 0.50, 0.32), (0.08, 0.52, 0.40), (0.12
 # --------------------------------------------------------------------------
 
 
-def strips(df: DataFrame, keys: list[str], order: list[Column], pos: Column, reach_end: Column, reach_start: Column) -> DataFrame:
+def strips(df: DataFrame, keys: list[str], order: list[Column], reach_end: Column, reach_start: Column) -> DataFrame:
     """Number stretches that no later row can reach back across.
 
     A cut lies before a row when everything earlier ends below what this and
     every later row can still touch: prefix maximum of `reach_end` under suffix
     minimum of `reach_start`.
     """
-    cell = cell_of(pos, CELL_PX)
-    both = running(df, keys, order, cell, {"_end": ("max", reach_end, False), "_from": ("min_ahead", reach_start, True)})
+    both = running(df, keys, order, {"_end": ("max", reach_end, False), "_from": ("min_ahead", reach_start, True)})
     cut = both.withColumn("_s", F.when(F.col("_end").isNull() | (F.col("_end") < F.col("_from")), 1).otherwise(0).cast("long"))
-    return running(cut, keys, order, cell, {"strip": ("sum", F.col("_s"), True)}).drop("_end", "_from", "_s")
+    return scan(cut, keys, {"strip": ("sum", F.col("_s"), True)}).drop("_end", "_from", "_s")
 
 
 def assign_lines(tokens: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def assign_lines(tokens: DataFrame) -> DataFrame:
     """
     cy2, h = F.col("y1") + F.col("y2"), F.col("y2") - F.col("y1")
     t = tokens.select("page_id", "pos", "x1", "y1", "x2", "y2")
-    cut = strips(t, ["page_id"], [cy2, F.col("x1"), F.col("pos")], F.floor(cy2 / 2), F.col("y2").cast("double"), cy2 / 2 - 0.6 * h)
+    cut = strips(t, ["page_id"], [cy2, F.col("x1"), F.col("pos")], F.col("y2").cast("double"), cy2 / 2 - 0.6 * h)
     item = F.struct(cy2.alias("c"), "x1", "pos", "y1", "y2")
     grouped = cut.groupBy("page_id", "strip").agg(F.array_sort(F.collect_list(item)).alias("ts"))
     line = lambda y1, y2: F.struct(y1.alias("y1"), y2.alias("y2"))
@@ -69,7 +67,7 @@ def assign_lines(tokens: DataFrame) -> DataFrame:
     placed = folded.select("page_id", "strip", F.explode(F.arrays_zip(F.col("ts.pos").alias("pos"), F.col("_f.at").alias("at"))).alias("z"))
     lines = folded.select("page_id", "strip", F.posexplode("_f.lines").alias("k", "l")).select(
         "page_id", "strip", (F.col("k") + 1).cast("long").alias("at"), F.col("l.y1").alias("top"))
-    seq = numbered(lines, ["page_id"], [F.col("top"), F.col("strip"), F.col("at")], cell_of(F.col("top"), CELL_PX), "line_no")
+    seq = numbered(lines, ["page_id"], [F.col("top"), F.col("strip"), F.col("at")], "line_no")
     return (placed.select("page_id", "strip", "z.pos", "z.at").join(seq.drop("top"), ["page_id", "strip", "at"])
             .select("page_id", "pos", "line_no"))
 
@@ -86,7 +84,7 @@ def dedup_tokens(tokens: DataFrame, thr: float = 0.80) -> DataFrame:
     t = tokens.withColumn("_norm", norm_header_text(F.col("text")))
     best = first_per(t, ["page_id", "_norm", "x1", "y1", "x2", "y2"], [F.col("conf").desc(), F.col("pos")])
     keys = ["page_id", "_norm"]
-    cut = strips(best.select(*keys, "pos", "conf", "x1", "y1", "x2", "y2"), keys, [F.col("y1"), F.col("pos")], F.col("y1"),
+    cut = strips(best.select(*keys, "pos", "conf", "x1", "y1", "x2", "y2"), keys, [F.col("y1"), F.col("pos")],
                  F.col("y2").cast("double"), F.col("y1").cast("double"))
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     item = F.struct((-F.col("conf")).alias("c"), (-size).alias("a"), "pos", "x1", "y1", "x2", "y2")
@@ -103,10 +101,9 @@ def dedup_adjacent(cands: DataFrame, keys: list[str], dx: int = 18) -> DataFrame
     """Of neighbouring candidates with one text and nearly one centre, the more
     confident stays. Only unbroken runs of one text are folded."""
     order = [F.col("y1"), F.col("x1"), F.col("pos")]
-    cell = cell_of(F.col("y1"), CELL_PX)
-    near = neighbours(cands, keys, order, cell, F.col("text"), prev="_pt")
+    near = neighbours(cands, keys, order, F.col("text"), prev="_pt")
     runs = near.withColumn("_s", F.when(F.col("_pt").isNull() | (F.col("_pt") != F.col("text")), 1).otherwise(0).cast("long"))
-    runs = running(runs, keys, order, cell, {"run": ("sum", F.col("_s"), True)})
+    runs = scan(runs, keys, {"run": ("sum", F.col("_s"), True)})
     item = F.struct("y1", "x1", "pos", (F.col("x1") + F.col("x2")).alias("xc2"), "conf")
     folded = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(item)).alias("cs"))
 
@@ -130,7 +127,7 @@ def plumbline_columns(tokens: DataFrame, keys: list[str], eps: int = 3) -> DataF
     """
     xs = tokens.select(*keys, "x1", "x2").distinct()
     c2 = F.col("x1") + F.col("x2")
-    cut = strips(xs, keys, [c2, F.col("x1"), F.col("x2")], F.floor(c2 / 2), c2 / 2, (F.col("x1") - eps).cast("double"))
+    cut = strips(xs, keys, [c2, F.col("x1"), F.col("x2")], c2 / 2, (F.col("x1") - eps).cast("double"))
     item = F.struct(c2.alias("c2"), "x1", "x2")
     grouped = cut.groupBy(*keys, "strip").agg(F.array_sort(F.collect_list(item)).alias("xs"))
 
@@ -143,7 +140,7 @@ def plumbline_columns(tokens: DataFrame, keys: list[str], eps: int = 3) -> DataF
     folded = grouped.withColumn("_f", F.aggregate("xs", F.struct(none.alias("seeds"), none.alias("at")), step))
     placed = folded.select(*keys, F.explode(F.arrays_zip(F.col("xs.x1").alias("x1"), F.col("xs.x2").alias("x2"), F.col("_f.at").alias("seed"))).alias("z")).select(
         *keys, "z.x1", "z.x2", "z.seed")
-    seeds = numbered(placed.select(*keys, "seed").distinct(), keys, [F.col("seed")], cell_of(F.col("seed"), 2 * CELL_PX), "column")
+    seeds = numbered(placed.select(*keys, "seed").distinct(), keys, [F.col("seed")], "column")
     return tokens.join(placed, [*keys, "x1", "x2"]).join(seeds, [*keys, "seed"]).drop("seed")
 
 
@@ -171,18 +168,17 @@ def split_wide_gaps(tokens: DataFrame, keys: list[str], mult: float = 2.6, min_p
     width = F.greatest(F.lit(1), F.col("x2") - F.col("x1"))
     upper = F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -_w)")
     med = tokens.withColumn("_w", width).groupBy(*keys).agg(upper.alias("_m"))
-    order, cell = [F.col("x1"), F.col("pos")], cell_of(F.col("x1"), CELL_PX)
-    near = neighbours(tokens, keys, order, cell, F.col("x2"), prev="_px").join(med, keys)
+    near = neighbours(tokens.join(med, keys), keys, [F.col("x1"), F.col("pos")], F.col("x2"), prev="_px")
     wide = F.col("x1") - F.col("_px") > F.greatest(F.lit(min_px), F.bround(mult * F.col("_m")).cast("long"))
     cut = near.withColumn("_s", F.when(F.col("_px").isNull() | wide, 1).otherwise(0).cast("long"))
-    return running(cut, keys, order, cell, {"segment": ("sum", F.col("_s"), True)}).drop("_px", "_m", "_s")
+    return scan(cut, keys, {"segment": ("sum", F.col("_s"), True)}).drop("_px", "_m", "_s")
 
 
 def cluster_by_row(tokens: DataFrame, x_gap: int = 36, y_overlap: float = 0.35) -> DataFrame:
     """Header words merged to labels: a word joins the open label when it starts
     near its end and overlaps its row; the row narrows to what all share."""
     order = [F.col("y1"), F.col("x1"), F.col("pos")]
-    cut = strips(tokens.select("page_id", "pos", "text", "conf", "x1", "y1", "x2", "y2"), ["page_id"], order, F.col("y1"),
+    cut = strips(tokens.select("page_id", "pos", "text", "conf", "x1", "y1", "x2", "y2"), ["page_id"], order,
                  F.col("y2") - 0.5, F.col("y1").cast("double"))
     item = F.struct("y1", "x1", "pos", "x2", "y2", "text", "conf")
     grouped = cut.groupBy("page_id", "strip").agg(F.array_sort(F.collect_list(item)).alias("ts"))
@@ -367,7 +363,7 @@ def is_combined_side(picks: DataFrame, pages: DataFrame, max_dx: float = 14.0) -
     dual = t.rlike(r"TRIP|AMP|\(A\)") & t.rlike(r"POLE| P | P\)")
     order = [F.col("x"), F.col("role"), F.col("ord")]
     last = lambda r: ("last", F.when(F.col("role") == r, F.col("x")), True)
-    near = running(df, ["page_id", "side"], order, cell_of(F.col("x"), CELL_PX), {"_t": last("trip"), "_p": last("poles")})
+    near = running(df, ["page_id", "side"], order, {"_t": last("trip"), "_p": last("poles")})
     dx = F.abs(F.col("_t") - F.col("_p"))
     return near.groupBy("page_id", "side").agg(F.bool_or(dual | F.coalesce(dx <= max_dx, F.lit(False))).alias("combined"))
 
@@ -377,7 +373,7 @@ def column_bands(vlines: DataFrame, pages: DataFrame) -> DataFrame:
     w = F.col("width")
     edges = (vlines.select("page_id", "x").unionByName(pages.select("page_id", F.lit(0).cast("long").alias("x")))
              .unionByName(pages.select("page_id", (w - 1).alias("x"))))
-    near = neighbours(edges.distinct(), ["page_id"], [F.col("x")], cell_of(F.col("x"), CELL_PX), F.col("x"), nxt="_n").filter("_n IS NOT NULL")
+    near = neighbours(edges.distinct(), ["page_id"], [F.col("x")], F.col("x"), nxt="_n").filter("_n IS NOT NULL")
     df = near.join(pages.select("page_id", "width"), "page_id")
     pad = F.greatest(F.lit(2), F.floor(0.002 * w))
     a, b = F.greatest(F.lit(0), F.col("x") + pad), F.least(w - 1, F.col("_n") - pad)

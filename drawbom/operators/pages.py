@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.text import alnum_tokens, clean_text, sheet_class
-from drawbom.operators.spread import any_of, cell_of, running
+from drawbom.operators.spread import any_of, running
 
 # Fixed values -------------------------------------------------------------
 LABEL_PATTERNS = [
@@ -80,8 +80,7 @@ def page_chunks(tokens: DataFrame, size: int = 256, tail: int = 16) -> DataFrame
     the word before them and are not counted, as a phrase may hold any number.
     """
     word = F.when(F.col("text").rlike(r"[^\s\-]"), 1).otherwise(0).cast("long")
-    rows = running(tokens.select("page_id", "pos", "text"), ["page_id"], [F.col("pos")],
-                   cell_of(F.col("pos"), 4096), {"n": ("sum", word, True)}).withColumn("n", F.greatest(F.col("n") - 1, F.lit(0)))
+    rows = running(tokens.select("page_id", "pos", "text"), ["page_id"], [F.col("pos")], {"n": ("sum", word, True)}).withColumn("n", F.greatest(F.col("n") - 1, F.lit(0)))
     chunk, at = F.floor(F.col("n") / size), F.col("n") % size
     copies = rows.select("page_id", "n", "pos", "text", F.explode(
         F.when((at < tail) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))).alias("chunk"))

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.electrical import VOLTAGES, valid_bus_amp
 from drawbom.operators.rules.sizing import MAX_AMPS, MIN_AMPS
-from drawbom.operators.spread import cell_of, numbered
+from drawbom.operators.spread import numbered
 
 
-def dedupe_names(panels: DataFrame, cell: int = 4096) -> DataFrame:
+def dedupe_names(panels: DataFrame) -> DataFrame:
     """`LP-1`, `LP-1 (2)`, ... per job in panel order, ignoring case.
 
-    The ordinal is counted per stretch of `ord` first, so a job (or one name)
-    that holds a third of all panels is numbered by many tasks.
+    The ordinal comes from a prefix scan, so a job (or one name) that holds a third
+    of all panels is numbered by many tasks.
     """
     base = F.coalesce(F.nullif(F.trim("raw_name"), F.lit("")), F.lit("(unnamed)"))
     df = panels.withColumn("_base", base).withColumn("_key", F.upper("_base"))
-    out = numbered(df, ["job_id", "_key"], [F.col("ord")], cell_of(F.col("ord"), cell), "_n")
+    out = numbered(df, ["job_id", "_key"], [F.col("ord")], "_n")
     name = F.when(F.col("_n") == 1, F.col("_base")).otherwise(
         F.concat("_base", F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
     return out.withColumn("name", name).drop("_base", "_key", "_n")

@@ -1,8 +1,9 @@
 """Catalog search: interiors for a panel, main breakers, load centres.
 
-A catalog is folded to one array per join key, and the best row of the array is
-the smallest struct of its costs. A search is therefore a join with a tiny side
-and an expression: no theta join, no row explosion, no shuffle of the panels.
+Panels ask for few different things. Each distinct request is searched once, its
+parts (voltage and size; enclosure, metal and trim) once per distinct part, against the
+catalog rows of the part's key; the least row by cost wins. Answers are joined back to
+the panels by equality, so no catalog travels with a panel.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.operators.rules.parts import mccb_part
 from drawbom.operators.rules.sizing import rating_voltage
+from drawbom.operators.spread import held
 from drawbom.sources.catalogs import ELECTRONIC, H_AMPS, INTERRUPTING, J_AMPS, LL_AMPS, LOADCENTER_SPACES, Q_AMPS
 
 FAMILY_COST = {"NQ": 0, "NF": 1, "I-LINE": 2}
@@ -30,11 +32,38 @@ def last_wins(catalog: DataFrame, keys: list[str], ord_col: str = "ord") -> Data
 PANEL_KEY = ["family", "main", "min_amps", "max_amps", "spaces", "phase", "voltage"]
 
 
-def options(catalog: DataFrame, key: str, name: str) -> DataFrame:
-    """Catalog rows per key value as one array, in catalog order."""
-    rest = [c for c in catalog.columns if c != key]
-    first = ["ord"] + [c for c in rest if c != "ord"]
-    return catalog.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
+def per_request(panels: DataFrame, request: list[str], search) -> DataFrame:
+    """`search` over the distinct requests of the panels, once each, joined back to them.
+
+    Requests repeat: there are no more than the catalog tells apart, however many panels."""
+    rows = held(panels)
+    found = search(held(rows.select(*request).distinct()))
+    new = [c for c in found.columns if c not in request]
+    answers = found.select(*[F.col(c).alias(f"_q_{c}") for c in request], *new)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in request])
+    return rows.join(answers, same, "left").select(*[F.col(c) for c in panels.columns if c not in new], *new)
+
+
+def best_row(requests: DataFrame, catalog: DataFrame, on: Column, needs: list[str], fits: Column, order: list[Column], keep: list[str], name: str) -> DataFrame:
+    """Adds `name`, the least row by `order` among the catalog rows (columns `o_*`) that meet
+    `on` and `fits`. Only what the search `needs` of a request tells searches apart, so
+    few are made and each meets the rows of its key."""
+    asked = requests.select(*needs).distinct()
+    row = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)], *[F.col(f"o_{k}").alias(k) for k in keep])
+    met = asked.join(catalog, on & fits).groupBy(*needs).agg(F.min(row).alias(name)).withColumnsRenamed({c: f"_n_{c}" for c in needs})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in needs])
+    return requests.join(met, same, "left").drop(*[f"_n_{c}" for c in needs])
+
+
+def row_columns(catalog: DataFrame) -> DataFrame:
+    return catalog.withColumnsRenamed({c: f"o_{c}" for c in catalog.columns})
+
+
+class Row:
+    """A catalog row as `o["column"]`, in the form the rules below take."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"o_{name}")
 
 
 def phase_of(volts: Column) -> Column:
@@ -64,130 +93,132 @@ def trim_ok(o: Column, enclosure: Column, trim: Column) -> Column:
     return (enclosure == "NEMA3R") | trim.isNull() | o["trim"].isNull() | (o["trim"] == trim)
 
 
-def snap_iline_spaces(opts: Column, series: Column, main: str, enclosure: Column, material: Column, trim: Column,
-                      wanted: Column) -> Column:
-    """Next real interior size of the series, else its largest, at most 108."""
-    want = F.least(F.lit(MAX_ILINE_SPACES), F.greatest(F.lit(0), wanted))
-    valid = F.transform(F.filter(opts, lambda o: (o["main"] == main) & (o["series"] == series)
-                                 & metal_ok(o, material) & trim_ok(o, enclosure, trim)), lambda o: o["spaces"])
-    up = F.array_min(F.filter(valid, lambda s: s >= want))
-    return F.least(F.lit(MAX_ILINE_SPACES), F.coalesce(up, F.array_max(valid), want))
+def snap_iline_spaces(requests: DataFrame, heavy: DataFrame, main: str, material: str, wanted: Column, out: str) -> DataFrame:
+    """Adds `out`: the next real interior size of the `series`, else its largest, at most 108."""
+    o, most = Row(), F.lit(MAX_ILINE_SPACES)
+    df = requests.withColumn("_want", F.least(most, F.greatest(F.lit(0), wanted)))
+    fits = (o["main"] == main) & (o["series"] == F.col("series")) & metal_ok(o, F.col(material)) & trim_ok(o, F.col("enclosure"), F.col("trim"))
+    here = o["enclosure"] == F.col("enclosure")
+    df = best_row(df, heavy, here, ["enclosure", "series", material, "trim", "_want"], fits & (o["spaces"] >= F.col("_want")), [o["spaces"]], ["spaces"], "_up")
+    df = best_row(df, heavy, here, ["enclosure", "series", material, "trim"], fits, [-o["spaces"]], ["spaces"], "_top")
+    return df.withColumn(out, F.least(most, F.coalesce("_up.spaces", "_top.spaces", "_want"))).drop("_want", "_up", "_top")
 
 
 def times_one_and_half(c: Column) -> Column:
     return F.least(F.lit(MAX_ILINE_SPACES), F.ceil(c * 1.5).cast("int"))
 
 
+REQUEST = ["bus_amps", "spaces", "frame_spaces", "voltage", "enclosure", "material", "trim", "allow_nq", "allow_nf"]
+
+
 def search_lug_panel(panels: DataFrame, panel_catalog: DataFrame, iline_catalog: DataFrame) -> DataFrame:
     """Main-lug interior per panel.
 
-    Needs bus_amps, spaces, frame_spaces, voltage, enclosure, material, trim,
-    allow_nq, allow_nf. Order: family cost, series, excess amps, excess spaces;
+    Needs the REQUEST columns. Order: family cost, series, excess amps, excess spaces;
     then large 208 V NQ interiors whatever the screen said; then a default.
     """
-    v, amps, spaces = F.col("voltage"), F.col("bus_amps"), F.col("spaces")
-    lookup = F.when(v == 240, 208).otherwise(v)
-    rows = last_wins(panel_catalog.filter(F.col("main") == "MAIN LUG"), PANEL_KEY).withColumnRenamed("voltage", "lookup_voltage")
-    df = (panels.withColumn("lookup_voltage", lookup).join(options(rows, "lookup_voltage", "light"), "lookup_voltage", "left")
-          .join(options(iline_catalog.filter(F.col("main") == "MAIN LUG"), "enclosure", "heavy"), "enclosure", "left"))
-    shape = lambda o, cost, rank, a, want, family, series, mat: F.struct(
-        cost.alias("cost"), rank.alias("rank"), (a - amps).alias("da"), (o["spaces"] - want).alias("ds"), o["ord"].alias("ord"),
-        family.alias("family"), series.alias("series"), a.alias("amps"), o["spaces"].alias("matched"), mat.alias("material"),
-        o["interior"].alias("interior"), o["box"].cast("string").alias("box"))
-    light = F.transform(
-        F.filter("light", lambda o: (o["phase"] == phase_of(v)) & (o["max_amps"] >= amps) & (o["spaces"] >= spaces)
-                 & F.when(o["family"] == "NQ", F.col("allow_nq")).otherwise(F.col("allow_nf"))),
-        lambda o: shape(o, F.when(o["family"] == "NQ", 0).otherwise(1), F.lit(0), o["max_amps"], spaces, o["family"],
-                        F.lit(None).cast("string"), F.col("material")))
-    want = F.greatest(spaces, F.col("frame_spaces"))
-    heavy = F.transform(
-        F.filter("heavy", lambda o: (series_rank(o) >= first_rank(amps)) & metal_ok(o, F.col("material"))
-                 & ((F.col("enclosure") == "NEMA3R") | (o["trim"] == F.col("trim"))) & (o["amps"] >= amps) & (o["spaces"] >= want)),
-        lambda o: shape(o, F.lit(2), series_rank(o), o["amps"], want, F.lit("I-LINE"), o["series"], o["material"]))
-    best = F.coalesce(F.array_min(light), F.array_min(heavy))
-    chance = F.get(F.filter("light", lambda o: (o["family"] == "NQ") & (o["max_amps"] >= amps) & (o["spaces"] >= spaces)), F.lit(0))
-    df = df.withColumn("_best", best).withColumn("_chance", F.when((F.col("lookup_voltage") == 208) & (spaces >= 84), chance))
-    hit, late = F.col("_best").isNotNull(), F.col("_chance").isNotNull()
-    fallback = default_series(amps, spaces)
-    family = F.when(hit, F.col("_best.family")).when(late, "NQ").otherwise("I-LINE")
-    series = F.when(hit, F.col("_best.series")).when(~late, fallback)
-    material = F.when(hit, F.col("_best.material")).when(late | (fallback != "HCR-U"), F.col("material")).otherwise("COPPER")
-    df = df.withColumns({"family": family, "series": series, "matched_material": material})
-    snapped = snap_iline_spaces(F.col("heavy"), F.col("series"), "MAIN LUG", F.col("enclosure"), F.col("matched_material"),
-                                F.col("trim"), times_one_and_half(spaces))
-    return df.withColumns({
-        "matched_amps": F.when(hit, F.col("_best.amps")).when(late, F.col("_chance.max_amps")).otherwise(amps),
-        "matched_spaces": F.when(F.col("family") == "I-LINE", snapped).when(hit, F.col("_best.matched")).otherwise(F.col("_chance.spaces")),
-        "interior": F.when(hit, F.col("_best.interior")).otherwise(F.col("_chance.interior")),
-        "box": F.when(hit, F.col("_best.box")).otherwise(F.col("_chance.box").cast("string")),
-        "tier": F.when(hit, "match").when(late, "last chance").otherwise("default"),
-    }).drop("light", "heavy", "_best", "_chance", "lookup_voltage")
+    o = Row()
+    light = row_columns(last_wins(panel_catalog.filter(F.col("main") == "MAIN LUG"), PANEL_KEY))
+    heavy = row_columns(iline_catalog.filter(F.col("main") == "MAIN LUG"))
+
+    def search(df: DataFrame) -> DataFrame:
+        v, amps, spaces = F.col("voltage"), F.col("bus_amps"), F.col("spaces")
+        df = df.withColumns({"_volts": F.when(v == 240, 208).otherwise(v), "_wide": F.greatest(spaces, F.col("frame_spaces")), "_phase": phase_of(v)})
+        here, room = o["voltage"] == F.col("_volts"), (o["max_amps"] >= amps) & (o["spaces"] >= spaces)
+        needs, tight = ["_volts", "_phase", "bus_amps", "spaces"], [o["max_amps"], o["spaces"], o["ord"]]
+        kept = ["family", "max_amps", "spaces", "interior", "box"]
+        for name, nq in (("_nq", o["family"] == "NQ"), ("_nf", o["family"] != "NQ")):
+            df = best_row(df, light, here & (o["phase"] == F.col("_phase")), needs, room & nq, tight, kept, name)
+        df = best_row(df, light, here, ["_volts", "bus_amps", "spaces"], room & (o["family"] == "NQ"), [o["ord"]], kept, "_first")
+        fits = ((series_rank(o) >= first_rank(amps)) & metal_ok(o, F.col("material")) & ((F.col("enclosure") == "NEMA3R") | (o["trim"] == F.col("trim")))
+                & (o["amps"] >= amps) & (o["spaces"] >= F.col("_wide")))
+        df = best_row(df, heavy, o["enclosure"] == F.col("enclosure"), ["enclosure", "material", "trim", "bus_amps", "_wide"], fits,
+                      [series_rank(o), o["amps"], o["spaces"], o["ord"]], ["series", "amps", "spaces", "material", "interior", "box"], "_iline")
+        plain = lambda c: F.struct(F.col(f"{c}.family"), F.lit(None).cast("string").alias("series"), F.col(f"{c}.max_amps").alias("amps"), F.col(f"{c}.spaces"),
+                                   F.col("material"), F.col(f"{c}.interior"), F.col(f"{c}.box").cast("string").alias("box"))
+        iline = F.struct(F.lit("I-LINE").alias("family"), F.col("_iline.series"), F.col("_iline.amps"), F.col("_iline.spaces"), F.col("_iline.material"),
+                         F.col("_iline.interior"), F.col("_iline.box").cast("string").alias("box"))
+        df = df.withColumns({"_best": F.when(F.col("allow_nq") & F.col("_nq").isNotNull(), plain("_nq")).when(F.col("allow_nf") & F.col("_nf").isNotNull(), plain("_nf"))
+                             .when(F.col("_iline").isNotNull(), iline), "_chance": F.when((F.col("_volts") == 208) & (spaces >= 84), F.col("_first"))})
+        hit, late = F.col("_best").isNotNull(), F.col("_chance").isNotNull()
+        fallback = default_series(amps, spaces)
+        df = df.withColumns({
+            "family": F.when(hit, F.col("_best.family")).when(late, "NQ").otherwise("I-LINE"), "series": F.when(hit, F.col("_best.series")).when(~late, fallback),
+            "matched_material": F.when(hit, F.col("_best.material")).when(late | (fallback != "HCR-U"), F.col("material")).otherwise("COPPER")})
+        df = snap_iline_spaces(df, heavy, "MAIN LUG", "matched_material", times_one_and_half(spaces), "_snapped")
+        df = df.withColumns({
+            "matched_amps": F.when(hit, F.col("_best.amps")).when(late, F.col("_chance.max_amps")).otherwise(amps),
+            "matched_spaces": F.when(F.col("family") == "I-LINE", F.col("_snapped")).when(hit, F.col("_best.spaces")).otherwise(F.col("_chance.spaces")),
+            "interior": F.when(hit, F.col("_best.interior")).otherwise(F.col("_chance.interior")),
+            "box": F.when(hit, F.col("_best.box")).otherwise(F.col("_chance.box").cast("string")),
+            "tier": F.when(hit, "match").when(late, "last chance").otherwise("default")})
+        return df.select(*REQUEST, "family", "series", "matched_material", "matched_amps", "matched_spaces", "interior", "box", "tier")
+    return per_request(panels, REQUEST, search)
 
 
 def search_breaker_panel(panels: DataFrame, panel_catalog: DataFrame, iline_catalog: DataFrame) -> DataFrame:
     """Main-breaker interior per panel: family cost, then smallest range, then
     excess spaces; carries frames and kits of the row for the main breaker."""
-    v, amps = F.col("voltage"), F.col("bus_amps")
-    want = F.greatest(F.col("spaces"), F.col("frame_spaces"))
-    rows = last_wins(panel_catalog.filter(F.col("main") == "MAIN BREAKER"), PANEL_KEY)
-    df = (panels.join(options(rows, "voltage", "light"), "voltage", "left")
-          .join(options(iline_catalog.filter(F.col("main") == "MAIN BREAKER"), "enclosure", "heavy"), "enclosure", "left")
-          .withColumn("want", want))
-    fits = lambda o: amps.between(o["min_amps"], o["max_amps"]) & (o["spaces"] >= F.col("want")) & (o["phase"] == phase_of(v))
-    keep = ["family", "ord", "max_amps", "spaces", "interior", "box", "frames", "kit", "kit_q"]
-    light = F.transform(
-        F.filter("light", lambda o: fits(o) & F.when(o["family"] == "NQ", F.col("allow_nq")).otherwise(F.col("allow_nf"))),
-        lambda o: F.struct(F.when(o["family"] == "NQ", 0).otherwise(1).alias("cost"), o["max_amps"].alias("top"),
-                           (o["spaces"] - F.col("want")).alias("ds"), o["ord"].alias("o"), *[o[k].alias(k) for k in keep]))
-    chance = F.get(F.filter("light", lambda o: (o["family"] == "NQ") & fits(o)), F.lit(0))
-    big = (v == 208) & (F.col("want") >= 84)
-    df = df.withColumn("_best", F.array_min(light)).withColumn("_chance", F.when(big, chance))
-    hit, late = F.col("_best").isNotNull(), F.col("_chance").isNotNull()
-    either = lambda c: F.when(hit, F.col(f"_best.{c}")).when(late, F.col(f"_chance.{c}"))
-    df = df.withColumns({"family": F.coalesce(either("family"), F.lit("I-LINE")),
-                         "series": F.when(~hit & ~late, default_series(amps, F.col("want")))})
-    snapped = snap_iline_spaces(F.col("heavy"), F.col("series"), "MAIN BREAKER", F.col("enclosure"), F.col("material"),
-                                F.col("trim"), times_one_and_half(F.col("spaces")))
-    return df.withColumns({
-        "matched_amps": F.coalesce(either("max_amps"), amps), "matched_spaces": F.coalesce(either("spaces"), snapped),
-        **{c: either(c) for c in ("interior", "box", "frames", "kit", "kit_q")},
-        "tier": F.when(hit, "match").when(late, "last chance").otherwise("default"),
-    }).drop("light", "heavy", "_best", "_chance", "want")
+    o = Row()
+    light = row_columns(last_wins(panel_catalog.filter(F.col("main") == "MAIN BREAKER"), PANEL_KEY))
+    heavy = row_columns(iline_catalog.filter(F.col("main") == "MAIN BREAKER"))
+    keep = ["family", "max_amps", "spaces", "interior", "box", "frames", "kit", "kit_q"]
+
+    def search(df: DataFrame) -> DataFrame:
+        v, amps = F.col("voltage"), F.col("bus_amps")
+        df = df.withColumn("want", F.greatest(F.col("spaces"), F.col("frame_spaces")))
+        here = (o["voltage"] == v) & (o["phase"] == phase_of(v))
+        fits, needs = amps.between(o["min_amps"], o["max_amps"]) & (o["spaces"] >= F.col("want")), ["voltage", "bus_amps", "want"]
+        for name, family, order in (("_nq", o["family"] == "NQ", [o["max_amps"], o["spaces"], o["ord"]]), ("_nf", o["family"] != "NQ", [o["max_amps"], o["spaces"], o["ord"]]),
+                                    ("_first", o["family"] == "NQ", [o["ord"]])):
+            df = best_row(df, light, here, needs, fits & family, order, keep, name)
+        row = lambda c: F.struct(*[F.col(f"{c}.{k}") for k in keep])
+        df = df.withColumns({"_best": F.when(F.col("allow_nq") & F.col("_nq").isNotNull(), row("_nq")).when(F.col("allow_nf") & F.col("_nf").isNotNull(), row("_nf")),
+                             "_chance": F.when((v == 208) & (F.col("want") >= 84) & F.col("_first").isNotNull(), row("_first"))})
+        hit, late = F.col("_best").isNotNull(), F.col("_chance").isNotNull()
+        either = lambda c: F.when(hit, F.col(f"_best.{c}")).when(late, F.col(f"_chance.{c}"))
+        df = df.withColumns({"family": F.coalesce(either("family"), F.lit("I-LINE")), "series": F.when(~hit & ~late, default_series(amps, F.col("want")))})
+        df = snap_iline_spaces(df, heavy, "MAIN BREAKER", "material", times_one_and_half(F.col("spaces")), "_snapped")
+        df = df.withColumns({"matched_amps": F.coalesce(either("max_amps"), amps), "matched_spaces": F.coalesce(either("spaces"), F.col("_snapped")),
+                             **{c: either(c) for c in ("interior", "box", "frames", "kit", "kit_q")},
+                             "tier": F.when(hit, "match").when(late, "last chance").otherwise("default")})
+        return df.select(*REQUEST, "family", "series", "matched_amps", "matched_spaces", "interior", "box", "frames", "kit", "kit_q", "tier")
+    return per_request(panels, REQUEST, search)
+
+
+ILINE_REQUEST = ["bus_amps", "spaces", "enclosure", "material", "trim"]
 
 
 def nearest_iline_bucket(panels: DataFrame, iline_catalog: DataFrame, main: str) -> DataFrame:
     """Closest I-Line row: series in order with the metal rule, then the widest
     series without it, then a default that always builds."""
-    amps, spaces = F.col("bus_amps"), F.col("spaces")
-    df = panels.join(options(iline_catalog.filter(F.col("main") == main), "enclosure", "heavy"), "enclosure", "left")
-    room = lambda o: (o["amps"] >= amps) & (o["spaces"] >= spaces) & trim_ok(o, F.col("enclosure"), F.col("trim"))
-    shape = lambda rank, o: F.struct(rank.alias("rank"), (o["amps"] - amps).alias("da"), (o["spaces"] - spaces).alias("ds"),
-                                     o["amps"].alias("amps"), o["spaces"].alias("spaces"), o["material"].alias("material"), o["series"].alias("series"))
-    ordered = F.transform(F.filter("heavy", lambda o: room(o) & (series_rank(o) >= first_rank(amps)) & metal_ok(o, F.col("material"))),
-                          lambda o: shape(series_rank(o), o))
-    widest = F.transform(F.filter("heavy", lambda o: room(o) & (o["series"] == "HCR-U")), lambda o: shape(F.lit(3), o))
-    df = df.withColumn("_b", F.coalesce(F.array_min(ordered), F.array_min(widest)))
-    return df.withColumns({
-        "bucket_series": F.coalesce("_b.series", F.lit("HCR-U")),
-        "bucket_amps": F.coalesce("_b.amps", F.greatest(amps, F.lit(1200))),
-        "bucket_spaces": F.coalesce("_b.spaces", F.greatest(spaces, F.lit(60))),
-        "bucket_material": F.coalesce("_b.material", F.lit("ALUMINUM")),
-    }).drop("heavy", "_b")
+    o, heavy = Row(), row_columns(iline_catalog.filter(F.col("main") == main))
+
+    def search(df: DataFrame) -> DataFrame:
+        amps, spaces = F.col("bus_amps"), F.col("spaces")
+        here = o["enclosure"] == F.col("enclosure")
+        room = (o["amps"] >= amps) & (o["spaces"] >= spaces) & trim_ok(o, F.col("enclosure"), F.col("trim"))
+        keep, tail = ["amps", "spaces", "material", "series"], [o["amps"], o["spaces"], o["material"], o["series"]]
+        df = best_row(df, heavy, here, ILINE_REQUEST, room & (series_rank(o) >= first_rank(amps)) & metal_ok(o, F.col("material")), [series_rank(o), *tail], keep, "_ranked")
+        df = best_row(df, heavy, here, ["bus_amps", "spaces", "enclosure", "trim"], room & (o["series"] == "HCR-U"), tail, keep, "_widest")
+        best = lambda c, other: F.coalesce(f"_ranked.{c}", f"_widest.{c}", other)
+        return df.select(*ILINE_REQUEST, best("series", F.lit("HCR-U")).alias("bucket_series"), best("amps", F.greatest(amps, F.lit(1200))).alias("bucket_amps"),
+                         best("spaces", F.greatest(spaces, F.lit(60))).alias("bucket_spaces"), best("material", F.lit("ALUMINUM")).alias("bucket_material"))
+    return per_request(panels, ILINE_REQUEST, search)
 
 
 def tightest_iline_breaker(panels: DataFrame, iline_catalog: DataFrame) -> DataFrame:
     """Main-breaker I-Line row of the series that the bus size calls for."""
-    amps, spaces = F.col("bus_amps"), F.col("spaces")
-    df = panels.join(options(iline_catalog.filter(F.col("main") == "MAIN BREAKER"), "enclosure", "heavy"), "enclosure", "left")
-    series = F.when(amps < 250, "HCJ").when((amps > 250) & (amps <= 800), "HCP").when(amps > 800, "HCR-U")
-    fits = F.filter("heavy", lambda o: (o["series"] == series) & (o["material"] == F.col("material"))
-                    & (F.col("trim").isNull() | F.coalesce(o["trim"] == F.col("trim"), F.lit(False)))
-                    & (o["amps"] >= amps) & (o["spaces"] >= spaces))
-    best = F.array_min(F.transform(fits, lambda o: F.struct((o["amps"] - amps).alias("da"), (o["spaces"] - spaces).alias("ds"),
-                                                            o["ord"].alias("ord"), o["series"].alias("series"),
-                                                            o["amps"].alias("amps"), o["spaces"].alias("spaces"))))
-    return df.withColumn("_b", best).withColumns({
-        "tight_series": F.col("_b.series"), "tight_amps": F.col("_b.amps"), "tight_spaces": F.col("_b.spaces")}).drop("heavy", "_b")
+    o, heavy = Row(), row_columns(iline_catalog.filter(F.col("main") == "MAIN BREAKER"))
+
+    def search(df: DataFrame) -> DataFrame:
+        amps, spaces = F.col("bus_amps"), F.col("spaces")
+        series = F.when(amps < 250, "HCJ").when((amps > 250) & (amps <= 800), "HCP").when(amps > 800, "HCR-U")
+        fits = ((o["series"] == series) & (o["material"] == F.col("material")) & (F.col("trim").isNull() | F.coalesce(o["trim"] == F.col("trim"), F.lit(False)))
+                & (o["amps"] >= amps) & (o["spaces"] >= spaces))
+        df = best_row(df, heavy, o["enclosure"] == F.col("enclosure"), ILINE_REQUEST, fits, [o["amps"], o["spaces"], o["ord"]], ["series", "amps", "spaces"], "_b")
+        return df.select(*ILINE_REQUEST, *[F.col(f"_b.{c}").alias(f"tight_{c}") for c in ("series", "amps", "spaces")])
+    return per_request(panels, ILINE_REQUEST, search)
 
 
 def snap_ka(frame: Column, volts: Column, wanted: Column) -> Column:

@@ -1,98 +1,196 @@
 """Ordered computations that never put one whole key into one task.
 
-A window partitioned only by `page_id` sends a page that holds a third of the
-corpus to a single task. Here every ordered computation works in two levels:
-rows are windowed inside (key, cell), where a cell is a bounded stretch of the
-order, and only one summary row per cell is windowed over the key. The cell
-must be monotone in the first order column.
+A window partitioned by `page_id` sends a page that holds a third of the corpus to a
+single task. Here every ordered computation is a parallel prefix scan: one range
+exchange by (keys, order) cuts the table into equal stretches at quantiles, wherever
+keys begin or end; each stretch sums up its first and last key in one row; the rows of
+earlier stretches give each stretch what it starts with. Both steps read the same
+checkpointed stretches, so a scan costs one read of its input and one shuffle.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
-CELL = "_cell"
+from drawbom.session import shared_base
 
+BACKWARD = ("min_ahead", "next")
 
-def cell_of(position: Column, width: int) -> Column:
-    return F.floor(position / F.lit(width)).cast("long")
 
+def ordered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Equal stretches of the order, each sorted; with a total order no stretch is hot.
 
-def running(df: DataFrame, keys: list[str], order: list[Column], cell: Column,
-            specs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
-    """Add running sums, extremes or last non-null values along `order`.
-
-    `specs` maps an output name to (kind, value, inclusive) with kind one of
-    sum, max, min, last, min_ahead. Exclusive results look only at earlier rows;
-    min_ahead looks at this row and later ones instead.
+    The stretches are a checkpoint: whoever reads them, or computes one again after an
+    executor was lost, gets the same cuts, which two plans of one exchange need not have.
     """
-    marked = df.withColumn(CELL, cell)
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    inside, totals, carried = [], [], []
-    by_cell = Window.partitionBy(*keys, CELL).orderBy(*order)
-    over_cells = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    from_end = Window.partitionBy(*keys, CELL).orderBy(*[c.desc() for c in order])
-    cells_from_end = Window.partitionBy(*keys).orderBy(F.desc(CELL)).rowsBetween(Window.unboundedPreceding, -1)
-    for name, (kind, value, inclusive) in specs.items():
-        frame = by_cell.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        if kind == "last":
-            here = F.last(value, ignorenulls=True).over(frame)
-            total = F.max_by(value, F.when(value.isNotNull(), position))
-            carry = F.last(f"_t_{name}", ignorenulls=True).over(over_cells)
-        elif kind == "min_ahead":
-            here, total = F.min(value).over(from_end.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.min(value)
-            carry = F.min(f"_t_{name}").over(cells_from_end)
+    by, n = [*map(F.col, keys), *order], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held(df.repartitionByRange(n, *by).sortWithinPartitions(*by))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder of what several later steps read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint(eager=False)
+
+
+def key_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row has another key than the row before."""
+    out = np.zeros(len(table), bool)
+    out[:1] = True
+    for k in keys:
+        column = table[k].combine_chunks()
+        one, two = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        differ = pc.or_(pc.fill_null(pc.not_equal(one, two), False), pc.xor(pc.is_null(one), pc.is_null(two)))
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return out
+
+
+def scanned(kind: str, values: pa.Array, starts: np.ndarray, inclusive: bool) -> pa.Array:
+    """Sums, extremes or last non-null values from the start of each key to each row; the
+    BACKWARD kinds from the end of the key."""
+    n = len(values)
+    if kind in BACKWARD:
+        ends = np.append(starts[1:], True)[::-1]
+        turned = scanned({"min_ahead": "min", "next": "last"}[kind], values.take(pa.array(np.arange(n)[::-1])), ends, inclusive)
+        return turned.take(pa.array(np.arange(n)[::-1]))
+    at, valid = np.arange(n), values.is_valid().to_numpy(zero_copy_only=False)
+    first = np.maximum.accumulate(np.where(starts, at, 0))
+    if kind == "sum":
+        v = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        if v.dtype.kind == "f":
+            sums = np.concatenate([np.cumsum(part) for part in np.split(v, np.flatnonzero(starts)[1:])]) if n else v
         else:
-            agg = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
-            here, total = agg(value).over(frame), agg(value)
-            carry = agg(f"_t_{name}").over(over_cells)
-        inside.append(here.alias(f"_i_{name}"))
-        totals.append(total.alias(f"_t_{name}"))
-        carried.append(carry.alias(f"_c_{name}"))
-    rows = marked.select("*", *inside)
-    cells = marked.groupBy(*keys, CELL).agg(*totals).select(*keys, CELL, *carried)
-    joined = rows.join(cells, [*keys, CELL], "left")
-    combine = {
-        "sum": lambda i, c: F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0)),
-        "max": lambda i, c: F.greatest(i, c),
-        "min": lambda i, c: F.least(i, c),
-        "min_ahead": lambda i, c: F.least(i, c),
-        "last": lambda i, c: F.coalesce(i, c),
-    }
-    out = [combine[kind](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n)
-           for n, (kind, _, _) in specs.items()]
-    return joined.select(*df.columns, *out)
-
-
-def neighbours(df: DataFrame, keys: list[str], order: list[Column], cell: Column,
-               value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
-    """Add the previous and/or next value of `value` along `order`.
+            sums = np.cumsum(v)
+            sums = sums - (sums[first] - v[first])
+        return pa.array(sums if inclusive else sums - v, values.type)
+    if kind == "last":
+        best = np.maximum.accumulate(np.where(valid, at, -1))
+    else:
+        v = values.to_numpy(zero_copy_only=False)
+        by_size = np.argsort(np.where(valid, v, -np.inf if kind == "max" else np.inf), kind="stable")
+        by_size = by_size if kind == "max" else by_size[::-1]
+        size = np.empty(n, np.int64)
+        size[by_size] = at
+        size[~valid] = -1
+        segment = np.cumsum(starts) * (n + 1)
+        top = np.maximum.accumulate(segment + size) - segment
+        best = np.where(top >= 0, by_size[np.maximum(top, 0)], -1)
+    if not inclusive:
+        best = np.where(starts, -1, np.concatenate([[-1], best[:-1]]))
+    best = np.where(best >= first, best, -1)
+    return values.take(pa.array(best, mask=best < 0))
+
+
+def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+    """Add running results along the stretches of `ordered`; scans can follow each other
+    without a new exchange.
+
+    `specs` maps an output name to (kind, value, inclusive) with kind one of sum, max,
+    min, last, min_ahead, next. Exclusive results leave out the row itself; min_ahead and next
+    look at later rows instead. A task holds one stretch.
+    """
+    kinds = {n: (kind, inclusive) for n, (kind, _, inclusive) in specs.items()}
+    marked = df.withColumns({f"_v_{n}": v for n, (_, v, _) in specs.items()})
+    value_types = {n: marked.schema[f"_v_{n}"].dataType for n in specs}
+    names = df.columns
+
+    def summary(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            starts = np.flatnonzero(key_starts(table, keys))
+            stop = starts[1] if len(starts) > 1 else len(table)
+            row = {f"f{i}": table[k].slice(0, 1) for i, k in enumerate(keys)} | {f"l{i}": table[k].slice(len(table) - 1) for i, k in enumerate(keys)}
+            for n, (kind, _) in kinds.items():
+                part = table[f"_v_{n}"].combine_chunks()
+                part = part.slice(0, stop) if kind in BACKWARD else part.slice(starts[-1])
+                total = scanned(kind, part, np.arange(len(part)) == 0, True)
+                row[n] = total.slice(0 if kind in BACKWARD else len(total) - 1, 1)
+            from pyspark import TaskContext
+            note = pa.table({**row, "whole": pa.array([len(starts) == 1])})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, note.schema) as out:
+                out.write_table(note)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "note"])
+
+    def carried(notes, table) -> dict[str, pa.Array]:
+        """What the neighbouring stretches hold of this one's first key (last key, backward), oldest first."""
+        from pyspark import TaskContext
+        read = {r["part"]: pa.ipc.open_stream(r["note"]).read_all() for r in notes}
+        here, out = TaskContext.get().partitionId(), {}
+        for back in (False, True):
+            mine = [table[k][len(table) - 1 if back else 0].as_py() for k in keys]
+            met, parts = [], sorted((p for p in read if (p > here if back else p < here)), reverse=not back)
+            for p in parts:
+                note = read[p]
+                if [note[f"{'f' if back else 'l'}{i}"][0].as_py() for i in range(len(keys))] != mine:
+                    break
+                met.append(note)
+                if not note["whole"][0].as_py():
+                    break
+            for n, (kind, _) in kinds.items():
+                if met and (kind in BACKWARD) == back:
+                    out[n] = pa.concat_arrays([m[n].combine_chunks() for m in (met if back else met[::-1])])
+        return out
+
+    def apply(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        starts, known = key_starts(table, keys), carried(table["_notes"][0].as_py() or [], table)
+        columns = [table[c] for c in names]
+        for n, (kind, inclusive) in kinds.items():
+            values, first = table[f"_v_{n}"].combine_chunks(), starts
+            size = len(values)
+            before = known.get(n)
+            if before is not None and kind in BACKWARD:
+                values, first = pa.concat_arrays([values, before.cast(values.type)]), np.append(starts, np.zeros(len(before), bool))
+            elif before is not None:
+                values = pa.concat_arrays([before.cast(values.type), values])
+                first = np.concatenate([np.arange(len(before)) == 0, [False], starts[1:]])
+            result = scanned(kind, values, first, inclusive)
+            columns.append(result.slice(0 if kind in BACKWARD or before is None else len(before), size))
+        out = pa.table(columns, [*names, *kinds])
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    notes = marked.mapInArrow(summary, "part int, note binary").agg(F.sort_array(F.collect_list(F.struct("part", "note"))).alias("notes"))
+    opens = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in value_types.items())])
+    return marked.withColumn("_notes", F.when(opens, notes.scalar())).mapInArrow(apply, schema)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+    """Add running sums, extremes or last non-null values along `order`, as in `scan`."""
+    return scan(ordered(df, keys, order), keys, specs)
+
+
+def beside(df: DataFrame, keys: list[str], value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
+    """Add the previous and/or next value along the stretches of `ordered`.
 
     Values travel in a struct, so that a neighbour that is null differs from none.
     """
-    marked = df.withColumn(CELL, cell).withColumn("_v", F.struct(value.alias("v")))
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    by_cell = Window.partitionBy(*keys, CELL).orderBy(*order)
-    over_cells = Window.partitionBy(*keys).orderBy(CELL)
-    rows = marked.select("*", F.lag("_v").over(by_cell).alias("_p"),
-                         F.lead("_v").over(by_cell).alias("_n"))
-    cells = (marked.groupBy(*keys, CELL)
-             .agg(F.min_by("_v", position).alias("_first"), F.max_by("_v", position).alias("_last"))
-             .select(*keys, CELL, F.lag("_last").over(over_cells).alias("_pc"),
-                     F.lead("_first").over(over_cells).alias("_nc")))
-    out = []
-    if prev:
-        out.append(F.coalesce("_p", "_pc")["v"].alias(prev))
-    if nxt:
-        out.append(F.coalesce("_n", "_nc")["v"].alias(nxt))
-    return rows.join(cells, [*keys, CELL], "left").select(*df.columns, *out)
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[Column], cell: Column, name: str) -> DataFrame:
-    """row_number() along a total order, counted per cell first."""
-    return running(df, keys, order, cell, {name: ("sum", F.lit(1).cast("long"), True)})
+    held = F.struct(value.alias("v"))
+    specs = ({prev: ("last", held, False)} if prev else {}) | ({nxt: ("next", held, False)} if nxt else {})
+    return scan(df, keys, specs).withColumns({n: F.col(n)["v"] for n in specs})
+
+
+def neighbours(df: DataFrame, keys: list[str], order: list[Column], value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
+    """Add the previous and/or next value of `value` along `order`."""
+    return beside(ordered(df, keys, order), keys, value, prev, nxt)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """row_number() along a total order."""
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"), True)})
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, `spark.checkpoint.dir`. Only a
+    single-JVM session, as in tests, may do without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return base.rstrip("/")
+
+
 def local_session(cpus: int | None = None, shuffle_partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus or os.cpu_count()}]")
@@ -16,6 +29,8 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8) -> Spark
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.files.openCostInBytes", "1m")      # small inputs split over all cores
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("DRAWBOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()

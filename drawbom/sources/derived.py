@@ -6,10 +6,12 @@ both sides of a comparison start from the same rows. All integer arithmetic.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from drawbom.session import shared_base
 from drawbom.sources.catalogs import CATALOGS, values_sql
 
 # Words that recognised schedule pages carry, with slips.
@@ -286,12 +288,29 @@ DERIVED = {
 DERIVED.update({name: (lambda d, n=name: values_sql(n, d.spark), []) for name in CATALOGS})
 
 
+# Tables that many queries read and that cost much to derive: written once per session, in
+# many files whatever the layout of their source.
+WRITTEN = {"tokens": "doc_id"}
+_written: dict[tuple[str, str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base or derived table of the data directory."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     build, inputs = DERIVED[name]
-    return spark.sql(build(Dialect(True)), **{i: table(spark, sf_dir, i) for i in inputs})
+    read = {i: table(spark, sf_dir, i) for i in inputs}
+    if name not in WRITTEN:
+        return spark.sql(build(Dialect(True)), **read)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = {i: df.repartition(parts, WRITTEN[name]) for i, df in read.items()}
+    df = spark.sql(build(Dialect(True)), **spread)
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _written:
+        path = f"{shared_base(spark)}/{name}-{os.urandom(6).hex()}"
+        df.write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(df.schema).parquet(_written[key])
 
 
 def _ctes(name: str, seen: dict) -> None:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from drawbom.session import shared_base
+
 DETECTION_SCHEMA = ("pdf_id bigint, page_id bigint, pos int, text string, conf double, box array<array<double>>, "
                     "band_width bigint, band_height bigint, band_offset bigint")
 LINE_SCHEMA = "pdf_id bigint, page_id bigint, line_no bigint, y_center bigint, x_left bigint, x_right bigint, thickness bigint"
@@ -14,15 +15,8 @@ STATUS_SCHEMA = "job_id bigint, owner_id bigint, state string, step string, prog
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared directory. Only a session of one
-    JVM, as in tests, may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/drawbom-{os.urandom(6).hex()}"
+    """A new folder below the cluster's shared directory."""
+    return f"{shared_base(spark)}/drawbom-{os.urandom(6).hex()}"
 
 
 def tokens_from_polygons(dets: DataFrame) -> DataFrame:

@@ -156,8 +156,8 @@ def test_suppressed_boxes_overlap(spark):
 def test_two_level_windows_with_one_hot_key(spark):
     df = spark.range(5000).select((F.col("id") % 7 == 0).cast("long").alias("k"), ((F.col("id") * 37) % 4999).alias("o"), (F.col("id") % 11).alias("v"), "id")
     order = [F.col("o"), F.col("id")]
-    got = sp.running(df, ["k"], order, sp.cell_of(F.col("o"), 100), {"s": ("sum", F.col("v"), True), "m": ("max", F.col("v"), False)})
-    got = sp.neighbours(got, ["k"], order, sp.cell_of(F.col("o"), 100), F.col("v"), prev="p", nxt="n")
+    got = sp.running(df, ["k"], order, {"s": ("sum", F.col("v"), True), "m": ("max", F.col("v"), False)})
+    got = sp.neighbours(got, ["k"], order, F.col("v"), prev="p", nxt="n")
     got = {r.id: (r.s, r.m, r.p, r.n) for r in got.collect()}
     rows = defaultdict(list)
     for r in sorted(df.collect(), key=lambda r: (r.o, r.id)):

@@ -43,7 +43,7 @@ def test_every_child_of_a_crop_has_a_name(spark):
 
 def test_a_null_neighbour_is_not_skipped(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 10, None), (1, 11, "b")], "k long, x long, v string")
-    got = {r.x: (r.p, r.n) for r in sp.neighbours(df, ["k"], [F.col("x")], sp.cell_of(F.col("x"), 10), F.col("v"), prev="p", nxt="n").collect()}
+    got = {r.x: (r.p, r.n) for r in sp.neighbours(df, ["k"], [F.col("x")], F.col("v"), prev="p", nxt="n").collect()}
     assert got == {0: (None, None), 10: ("a", "b"), 11: (None, None)}
 
 
