@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from drawbom.functions.similarity import header_facts, role_scores
 from drawbom.functions.text import fix_header_typos, is_header_word, norm_header_text
 from drawbom.operators.geometry import iou
-from drawbom.operators.spread import first_per, neighbours, numbered, running, scan, top_per
+from drawbom.operators.spread import PLACE, beside, first_per, neighbours, numbered, ordered, running, scan, top_per
 
 # Fixed values -------------------------------------------------------------
 TRIP_RX = r"(?i)\b(TRIP|AMP|AMPS|BREAKER|BKR|SIZE|\(A\))\b"
@@ -34,9 +34,9 @@ def strips(df: DataFrame, keys: list[str], order: list[Column], reach_end: Colum
     every later row can still touch: prefix maximum of `reach_end` under suffix
     minimum of `reach_start`.
     """
-    both = running(df, keys, order, {"_end": ("max", reach_end, False), "_from": ("min_ahead", reach_start, True)})
+    both = scan(ordered(df, keys, order), keys, {"_end": ("max", reach_end, False), "_from": ("min_ahead", reach_start, True)})
     cut = both.withColumn("_s", F.when(F.col("_end").isNull() | (F.col("_end") < F.col("_from")), 1).otherwise(0).cast("long"))
-    return scan(cut, keys, {"strip": ("sum", F.col("_s"), True)}).drop("_end", "_from", "_s")
+    return scan(cut, keys, {"strip": ("sum", F.col("_s"), True)}).drop("_end", "_from", "_s", PLACE)
 
 
 def assign_lines(tokens: DataFrame) -> DataFrame:
@@ -101,9 +101,9 @@ def dedup_adjacent(cands: DataFrame, keys: list[str], dx: int = 18) -> DataFrame
     """Of neighbouring candidates with one text and nearly one centre, the more
     confident stays. Only unbroken runs of one text are folded."""
     order = [F.col("y1"), F.col("x1"), F.col("pos")]
-    near = neighbours(cands, keys, order, F.col("text"), prev="_pt")
+    near = beside(ordered(cands, keys, order), keys, F.col("text"), prev="_pt")
     runs = near.withColumn("_s", F.when(F.col("_pt").isNull() | (F.col("_pt") != F.col("text")), 1).otherwise(0).cast("long"))
-    runs = scan(runs, keys, {"run": ("sum", F.col("_s"), True)})
+    runs = scan(runs, keys, {"run": ("sum", F.col("_s"), True)}).drop(PLACE)
     item = F.struct("y1", "x1", "pos", (F.col("x1") + F.col("x2")).alias("xc2"), "conf")
     folded = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(item)).alias("cs"))
 
@@ -168,10 +168,10 @@ def split_wide_gaps(tokens: DataFrame, keys: list[str], mult: float = 2.6, min_p
     width = F.greatest(F.lit(1), F.col("x2") - F.col("x1"))
     upper = F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -_w)")
     med = tokens.withColumn("_w", width).groupBy(*keys).agg(upper.alias("_m"))
-    near = neighbours(tokens.join(med, keys), keys, [F.col("x1"), F.col("pos")], F.col("x2"), prev="_px")
+    near = beside(ordered(tokens.join(med, keys), keys, [F.col("x1"), F.col("pos")]), keys, F.col("x2"), prev="_px")
     wide = F.col("x1") - F.col("_px") > F.greatest(F.lit(min_px), F.bround(mult * F.col("_m")).cast("long"))
     cut = near.withColumn("_s", F.when(F.col("_px").isNull() | wide, 1).otherwise(0).cast("long"))
-    return scan(cut, keys, {"segment": ("sum", F.col("_s"), True)}).drop("_px", "_m", "_s")
+    return scan(cut, keys, {"segment": ("sum", F.col("_s"), True)}).drop("_px", "_m", "_s", PLACE)
 
 
 def cluster_by_row(tokens: DataFrame, x_gap: int = 36, y_overlap: float = 0.35) -> DataFrame:

@@ -5,11 +5,12 @@ single task. Here every ordered computation is a parallel prefix scan: one range
 exchange by (keys, order) cuts the table into equal stretches at quantiles, wherever
 keys begin or end; each stretch sums up its first and last key in one row; the rows of
 earlier stretches give each stretch what it starts with. Both steps read the same
-checkpointed stretches, so a scan costs one read of its input and one shuffle.
+written stretches, so a scan costs one read of its input and one shuffle.
 """
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 import numpy as np
@@ -21,24 +22,26 @@ from pyspark.sql.types import StructField, StructType
 from drawbom.session import shared_base
 
 BACKWARD = ("min_ahead", "next")
+PLACE = "_at"
+
+
+def held(df: DataFrame, **options) -> DataFrame:
+    """A table in the shared folder of what several later steps read."""
+    spark = df.sparkSession
+    path = f"{shared_base(spark)}/held-{os.urandom(6).hex()}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Equal stretches of the order, each sorted; with a total order no stretch is hot.
 
-    The stretches are a checkpoint: whoever reads them, or computes one again after an
-    executor was lost, gets the same cuts, which two plans of one exchange need not have.
+    The stretches are a table with the place `_at` of every row: whoever reads them gets
+    the same cuts, which two runs of one exchange need not have. A file is one row group,
+    so a stretch is read by one task.
     """
     by, n = [*map(F.col, keys), *order], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return held(df.repartitionByRange(n, *by).sortWithinPartitions(*by))
-
-
-def held(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of what several later steps read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint(eager=False)
+    return held(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(PLACE, F.monotonically_increasing_id()), **{"parquet.block.size": 1 << 30})
 
 
 def key_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -102,10 +105,17 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column, boo
     value_types = {n: marked.schema[f"_v_{n}"].dataType for n in specs}
     names = df.columns
 
-    def summary(batches):
+    def stretches(batches):
+        """Rows of neighbouring places, as tables."""
         batches = [b for b in batches if b.num_rows]
         if batches:
             table = pa.Table.from_batches(batches)
+            at = table[PLACE].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+            yield from (table.slice(x, y - x) for x, y in zip(cuts, cuts[1:]))
+
+    def summary(batches):
+        for table in stretches(batches):
             starts = np.flatnonzero(key_starts(table, keys))
             stop = starts[1] if len(starts) > 1 else len(table)
             row = {f"f{i}": table[k].slice(0, 1) for i, k in enumerate(keys)} | {f"l{i}": table[k].slice(len(table) - 1) for i, k in enumerate(keys)}
@@ -114,23 +124,20 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column, boo
                 part = part.slice(0, stop) if kind in BACKWARD else part.slice(starts[-1])
                 total = scanned(kind, part, np.arange(len(part)) == 0, True)
                 row[n] = total.slice(0 if kind in BACKWARD else len(total) - 1, 1)
-            from pyspark import TaskContext
             note = pa.table({**row, "whole": pa.array([len(starts) == 1])})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, note.schema) as out:
                 out.write_table(note)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "note"])
+            yield pa.RecordBatch.from_arrays([table[PLACE].slice(0, 1).combine_chunks(), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["place", "note"])
 
-    def carried(notes, table) -> dict[str, pa.Array]:
-        """What the neighbouring stretches hold of this one's first key (last key, backward), oldest first."""
-        from pyspark import TaskContext
-        read = {r["part"]: pa.ipc.open_stream(r["note"]).read_all() for r in notes}
-        here, out = TaskContext.get().partitionId(), {}
+    def carried(notes: dict, table) -> dict[str, pa.Array]:
+        """What the neighbouring stretches hold of this one's first key (last key, backward), in order."""
+        here, out = table[PLACE][0].as_py(), {}
         for back in (False, True):
             mine = [table[k][len(table) - 1 if back else 0].as_py() for k in keys]
-            met, parts = [], sorted((p for p in read if (p > here if back else p < here)), reverse=not back)
-            for p in parts:
-                note = read[p]
+            met = []
+            for p in sorted((p for p in notes if (p > here if back else p < here)), reverse=not back):
+                note = notes[p] = notes[p] if isinstance(notes[p], pa.Table) else pa.ipc.open_stream(notes[p]).read_all()
                 if [note[f"{'f' if back else 'l'}{i}"][0].as_py() for i in range(len(keys))] != mine:
                     break
                 met.append(note)
@@ -142,27 +149,24 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column, boo
         return out
 
     def apply(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        starts, known = key_starts(table, keys), carried(table["_notes"][0].as_py() or [], table)
-        columns = [table[c] for c in names]
-        for n, (kind, inclusive) in kinds.items():
-            values, first = table[f"_v_{n}"].combine_chunks(), starts
-            size = len(values)
-            before = known.get(n)
-            if before is not None and kind in BACKWARD:
-                values, first = pa.concat_arrays([values, before.cast(values.type)]), np.append(starts, np.zeros(len(before), bool))
-            elif before is not None:
-                values = pa.concat_arrays([before.cast(values.type), values])
-                first = np.concatenate([np.arange(len(before)) == 0, [False], starts[1:]])
-            result = scanned(kind, values, first, inclusive)
-            columns.append(result.slice(0 if kind in BACKWARD or before is None else len(before), size))
-        out = pa.table(columns, [*names, *kinds])
-        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
-
-    notes = marked.mapInArrow(summary, "part int, note binary").agg(F.sort_array(F.collect_list(F.struct("part", "note"))).alias("notes"))
+        notes: dict = {}
+        for table in stretches(batches):
+            notes |= {r["place"]: r["note"] for r in table["_notes"][0].as_py() or []}
+            starts, known = key_starts(table, keys), carried(notes, table)
+            columns = [table[c] for c in names]
+            for n, (kind, inclusive) in kinds.items():
+                values, first = table[f"_v_{n}"].combine_chunks(), starts
+                size, before = len(values), known.get(n)
+                if before is not None and kind in BACKWARD:
+                    values, first = pa.concat_arrays([values, before.cast(values.type)]), np.append(starts, np.zeros(len(before), bool))
+                elif before is not None:
+                    values = pa.concat_arrays([before.cast(values.type), values])
+                    first = np.concatenate([np.arange(len(before)) == 0, [False], starts[1:]])
+                result = scanned(kind, values, first, inclusive)
+                columns.append(result.slice(0 if kind in BACKWARD or before is None else len(before), size))
+            yield from pa.table(columns, [*names, *kinds]).combine_chunks().to_batches(max_chunksize=10_000)
+
+    notes = marked.mapInArrow(summary, "place long, note binary").agg(F.collect_list(F.struct("place", "note")).alias("notes"))
     opens = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in value_types.items())])
     return marked.withColumn("_notes", F.when(opens, notes.scalar())).mapInArrow(apply, schema)
@@ -170,7 +174,7 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column, boo
 
 def running(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
     """Add running sums, extremes or last non-null values along `order`, as in `scan`."""
-    return scan(ordered(df, keys, order), keys, specs)
+    return scan(ordered(df, keys, order), keys, specs).drop(PLACE)
 
 
 def beside(df: DataFrame, keys: list[str], value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
@@ -185,7 +189,7 @@ def beside(df: DataFrame, keys: list[str], value: Column, prev: str | None = Non
 
 def neighbours(df: DataFrame, keys: list[str], order: list[Column], value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
     """Add the previous and/or next value of `value` along `order`."""
-    return beside(ordered(df, keys, order), keys, value, prev, nxt)
+    return beside(ordered(df, keys, order), keys, value, prev, nxt).drop(PLACE)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
