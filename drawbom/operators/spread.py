@@ -166,7 +166,8 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column, boo
                 columns.append(result.slice(0 if kind in BACKWARD or before is None else len(before), size))
             yield from pa.table(columns, [*names, *kinds]).combine_chunks().to_batches(max_chunksize=10_000)
 
-    notes = marked.mapInArrow(summary, "place long, note binary").agg(F.collect_list(F.struct("place", "note")).alias("notes"))
+    lean = marked.select(PLACE, *keys, *[f"_v_{n}" for n in specs])
+    notes = lean.mapInArrow(summary, "place long, note binary").agg(F.collect_list(F.struct("place", "note")).alias("notes"))
     opens = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in value_types.items())])
     return marked.withColumn("_notes", F.when(opens, notes.scalar())).mapInArrow(apply, schema)
