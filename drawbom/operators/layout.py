@@ -170,8 +170,8 @@ def split_wide_gaps(tokens: DataFrame, keys: list[str], mult: float = 2.6, min_p
     med = tokens.withColumn("_w", width).groupBy(*keys).agg(upper.alias("_m"))
     near = beside(ordered(tokens.join(med, keys), keys, [F.col("x1"), F.col("pos")]), keys, F.col("x2"), prev="_px")
     wide = F.col("x1") - F.col("_px") > F.greatest(F.lit(min_px), F.bround(mult * F.col("_m")).cast("long"))
-    cut = near.withColumn("_s", F.when(F.col("_px").isNull() | wide, 1).otherwise(0).cast("long"))
-    return scan(cut, keys, {"segment": ("sum", F.col("_s"), True)}).drop("_px", "_m", "_s", PLACE)
+    cut = near.withColumn("_s", F.when(F.col("_px").isNull() | wide, 1).otherwise(0).cast("long")).drop("_px", "_m")
+    return scan(cut, keys, {"segment": ("sum", F.col("_s"), True)}).drop("_s", PLACE)
 
 
 def cluster_by_row(tokens: DataFrame, x_gap: int = 36, y_overlap: float = 0.35) -> DataFrame:

@@ -80,7 +80,7 @@ def l6(tokens, vlines, page_refs):
   g AS (SELECT t.*, x1 - lag(x2) OVER (PARTITION BY t.page_id, t.line_no ORDER BY x1, pos) AS gap, med FROM t JOIN m ON m.page_id = t.page_id AND m.line_no = t.line_no)
   SELECT page_id, pos, CAST(sum(CASE WHEN gap IS NULL OR gap > greatest(32, CAST(round_even(2.6 * med, 0) AS BIGINT)) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, line_no ORDER BY x1, pos) AS BIGINT) AS segment FROM g""")
 def l7(tokens):
-    return ly.split_wide_gaps(lined(tokens), ["page_id", "line_no"]).select("page_id", "pos", "segment")
+    return ly.split_wide_gaps(lined(tokens).select("page_id", "line_no", "pos", "x1", "x2"), ["page_id", "line_no"]).select("page_id", "pos", "segment")
 
 
 @query("l8_cluster_by_row", "tokens")
