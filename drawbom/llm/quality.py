@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, trees: int = 40,
 
     About `sample` labelled documents, chosen by a hash of doc_id, are measured and sent
     to the driver as their statistics. Several labels of one document count each, null
-    labels do not. Without both labels the score is constant.
+    labels do not. Without both labels, or where no statistic tells them apart, the score is constant.
     """
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -125,6 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, trees: int = 40,
                 found.setdefault(hit.tobytes(), (rule, hit))
                 if len(rule) == depth:
                     margin[hit] += 0.1 * residual[hit].mean() / max(prior * (1 - prior), 0.05)
+    if not found:
+        return Rules([], float(np.log(prior / (1 - prior))))
     rules = [r for r, _ in found.values()]
     R = np.array([h for _, h in found.values()], np.float32).T
     scale = R.std(axis=0) + 1e-6

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drawbom.llm import hardneg, queries, ranked, urlrules
+from drawbom.llm import hardneg, quality, queries, ranked, urlrules
 from helpers import awkward, empty
 
 PAGES = "page_id long, url string, html string"
@@ -222,3 +222,12 @@ def test_native(spark, tmp_path):
     plan = urlrules.judge(data, urlrules.mine(urlrules.labels_of(data)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert {"op11_url_rules", "op12_ranked_search", "op13_hard_negatives"} <= queries.QUERIES.keys()
+
+
+def test_quality_of_ties_and_few_labels(spark):
+    """Equal texts with both labels, and 30 different ones: no rule is found, the score is constant."""
+    for texts in (["the same words"] * 200, [f"word{'x' * i} and more" for i in range(30)]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+        scores = {r["score"] for r in quality.rate(docs, quality.fit(docs, labels), ["doc_id"]).collect()}
+        assert len(scores) == 1 and 0 < scores.pop() < 1
