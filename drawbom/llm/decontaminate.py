@@ -127,7 +127,7 @@ def candidate_windows(docs: DataFrame, table: np.ndarray, lengths: list[int], sp
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(g.counts.astype(np.int64)), lists((at - g.bounds[doc]).astype(np.int64), per), lists(n, per), lists(h1, per), lists(h2, per)],
                     ["doc_id", "n_words", "pos", "n", "h1", "h2"])
     return docs.select("doc_id", bytes_of().alias("raw")).mapInArrow(
-        scan, "doc_id long, n_words long, pos array<long>, n array<int>, h1 array<long>, h2 array<long>").withColumn("rid", F.monotonically_increasing_id())
+        scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, pos array<long>, n array<int>, h1 array<long>, h2 array<long>").withColumn("rid", F.monotonically_increasing_id())
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, share: int = 20) -> DataFrame:
@@ -136,7 +136,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     Texts that are null, empty or without words have no windows and are clean, as are
     all documents when the benchmark is empty. Items without item_id are ignored;
     repeated items count once by item_id. Repeated documents are judged one by one and
-    returned as often as they occur; extra columns are ignored.
+    returned as often as they occur; extra columns are ignored. What is judged is the text
+    alone, and doc_id may be of any type, so a digest of the text can stand for it.
     """
     windows = settle(windows_of_items(items.select("item_id", "text"), span, gram).distinct(), "windows")
     lengths = sorted({span} | {r["n"] for r in windows.filter(F.col("n") < span).select("n").distinct().collect()})

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 import xxhash
@@ -73,6 +74,51 @@ def test_redaction_leaves_no_format_and_clean_texts_alone(spark):
     assert not any(fixed_formats(t) for t in got) and all("[EMAIL]" in t for t in got[:40]) and all("[KEY]" in t for t in got[40:70]) and got[70:] == clean
 
 
+def test_added_spans_are_those_free_of_fixed_formats(spark):
+    rng = random.Random(4)
+    bits = ["call 555-123-4567 ", "a@b.c", "ann[at]example.com ", "+1 (555) 555-1234", " 4111 1111 1111 1111 ", "10.0.0.1", " tok3n-" + "ab" * 80 + " ", "é😀 ", "x, ", prose(1, 40) + " "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    longest = 0
+    for r in pii.candidates(df).collect():
+        assert [(b.start, b.k, b.end) for b in r.base] == sorted((b.start, b.k, b.end) for b in r.base)
+        for c in r.found:
+            assert c.free == (not any(b.start < c.end and c.start < b.end for b in r.base)), r.text
+            longest = max(longest, c.end - c.start)
+            named = re.search(rf"(?i)(?<![a-z])({'|'.join(pii.NAMES.values())})(?![a-z])[^\n0-9]{{0,12}}$", r.text[max(0, c.start - 28):c.start])
+            assert (c.hint == 2) == bool(named), r.text
+    assert longest > 128
+
+
+def test_redaction_as_by_brute_force(spark):
+    rng = random.Random(5)
+    texts = [prose(i, rng.randint(1, 200)) + "é😀" * (i % 3) for i in range(60)]
+    cases = []
+    for i, t in enumerate(texts):
+        spans = sorted({(a, rng.randrange(5), min(len(t), a + rng.randint(1, 300))) for a in (rng.randrange(len(t)) for _ in range(i % 9))})
+        out, at, end, name = "", 0, -1, None
+        for a, k, b in spans:
+            if a < end:
+                end = max(end, b)
+                continue
+            out += t[at:a] if name is None else f"[{name}]" + t[end:a]
+            at, end, name = a, b, pii.KINDS[k].upper()
+        cases.append((i, t, spans, out + f"[{name}]" + t[end:] if spans else t))
+    df = spark.createDataFrame([c[:3] for c in cases], "doc_id long, text string, spans array<struct<start:int,k:int,end:int>>")
+    got = {r.doc_id: r.got for r in df.select("doc_id", pii.masked("spans").alias("got")).collect()}
+    assert got == {c[0]: c[3] for c in cases}
+
+
+def test_very_long_texts_full_of_personal_data_take_time_in_proportion(spark):
+    """A text of 1.5 MB with 128,000 addresses; a quadratic step would take an hour."""
+    n = 128_000
+    df = spark.createDataFrame([(1, "ann@b.c de, " * n), (2, "ann@b.c de")], "doc_id long, text string")
+    began = time.time()
+    assert {r.doc_id: r.n_email for r in pii.detect(df).collect()} == {1: n, 2: 1}
+    got = {r.doc_id: r.text for r in pii.redact(df, pii.Trees([], -9.0, 9.0)).collect()}
+    assert got == {1: "[EMAIL] de, " * n, 2: "[EMAIL] de"} and time.time() - began < 120
+
+
 def test_pii_on_awkward_rows(spark):
     df = awkward(spark)
     assert pii.detect(df).count() == df.count() and pii.detect(empty(spark)).count() == 0
