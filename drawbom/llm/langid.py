@@ -152,11 +152,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "accepted")
     names = docs.columns
     spoken = docs.withColumns({"_raw": bytes_of(), "_letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast object would make executors import this module.
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.table, model.bias, model.temperature, model.threshold))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, accepted boolean"
 
     def scan(batches):
-        m = shared.value
+        m = shared.value and Model(*shared.value)
         for batch in batches:
             data, offsets = flat(batch.column("_raw"))
             n = len(offsets) - 1
