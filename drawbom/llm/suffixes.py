@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from drawbom.llm.shared import Rolling, blocks, bytes_of, discard, flat, mixed, settle, sliding
 
 SPAN, SEED, STEP = 200, 64, 32
+READ, SENT = 1 << 15, 1 << 19         # bytes of text read at once, so that arrays stay in the cache, and answered at once
 PLACE = np.uint64((1 << 28) - 1)      # low bits of an ordering key hold the place, so the leftmost of equals leads
 
 
@@ -37,6 +38,8 @@ class Leaders:
         self.sums2 = self.two.prefix(codes) if second else None
         self.begin, self.end = offsets[:-1], offsets[1:]
         n = len(data)
+        if n > PLACE:
+            raise ValueError(f"a text of {n} bytes is longer than places can number")
         if n < self.span:
             self.seeds = np.zeros(0, np.uint64)
             self.at = self.low = self.high = self.doc = np.zeros(0, np.int64)
@@ -77,22 +80,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", raw.alias("raw")).withColumn("own", F.xxhash64("doc_id", "raw"))
 
 
-def leaders_of(texts: DataFrame, span: int, seed: int, owners: bool) -> DataFrame:
-    """`rank` of every leader, and with `owners` whose it is and where."""
+def ranges(offsets: np.ndarray):
+    """Row ranges to answer at once, each as the ranges to read at once."""
+    for lo, hi in blocks(offsets, SENT):
+        yield [(lo + a, lo + b) for a, b in blocks(offsets[lo:hi + 1], READ)]
+
+
+def together(pieces: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pieces)], names)
+
+
+def leaders_of(texts: DataFrame, span: int, seed: int) -> DataFrame:
+    """`rank, own, at` of every leader."""
     def scan(batches):
         reader = Leaders(span, seed)
         for batch in batches:
             data, offsets = flat(batch.column("raw"))
             own = batch.column("own").to_numpy()
-            for lo, hi in blocks(offsets, 1 << 19):
-                reader.read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], second=False)
-                rank = pa.array(reader.seeds[reader.at].view(np.int64))
-                if owners:
-                    yield pa.RecordBatch.from_arrays([rank, pa.array(own[lo:hi][reader.doc]), pa.array((reader.at - reader.begin[reader.doc]).astype(np.int32))], ["rank", "own", "at"])
-                else:
-                    yield pa.RecordBatch.from_arrays([rank], ["rank"])
-    columns = ["own", "raw"]
-    return texts.filter(F.length("raw") >= span).select(columns).mapInArrow(scan, "rank long" + ", own long, at int" * owners)
+            for group in ranges(offsets):
+                found = []
+                for lo, hi in group:
+                    reader.read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], second=False)
+                    found.append((reader.seeds[reader.at].view(np.int64), own[lo:hi][reader.doc], (reader.at - reader.begin[reader.doc]).astype(np.int32)))
+                yield together(found, ["rank", "own", "at"])
+    return texts.filter(F.length("raw") >= span).select("own", "raw").mapInArrow(scan, "rank long, own long, at int")
 
 
 def long_strings(texts: DataFrame, span: int, seed: int) -> DataFrame:
@@ -104,15 +115,19 @@ def long_strings(texts: DataFrame, span: int, seed: int) -> DataFrame:
         for batch in batches:
             data, offsets = flat(batch.column("raw"))
             own, ids = batch.column("own").to_numpy(), batch.column("id").to_numpy()
-            for lo, hi in blocks(offsets, 1 << 19):
-                reader.read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                ranked = [np.asarray(batch.column("leads")[i].as_py(), np.int64) + offsets[i] - offsets[lo] for i in range(lo, hi)]
-                k, j, whole_low, whole_high, low, high = reader.nodes(np.flatnonzero(np.isin(reader.at, np.concatenate(ranked))))
-                at = reader.at[k]
-                doc = reader.doc[k]
-                ranks = [*reader.hashes(at - whole_low, at - whole_high + span, j * 2), *reader.hashes(at - high, at - low + span, j * 2 + 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ranks), pa.array(own[lo:hi][doc]), pa.array(ids[lo:hi][doc]), pa.array((at - reader.begin[doc]) << 3 | j)],
-                                                 ["c1", "c2", "v1", "v2", "own", "id", "place"])
+            leads = batch.column("leads")
+            marked, upto = leads.values.to_numpy().astype(np.int64), leads.offsets.to_numpy()
+            for group in ranges(offsets):
+                found = []
+                for lo, hi in group:
+                    reader.read(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                    ranked = marked[upto[lo]:upto[hi]] + np.repeat(offsets[lo:hi] - offsets[lo], np.diff(upto[lo:hi + 1]))
+                    k, j, whole_low, whole_high, low, high = reader.nodes(np.flatnonzero(np.isin(reader.at, ranked)))
+                    at = reader.at[k]
+                    doc = reader.doc[k]
+                    found.append((*reader.hashes(at - whole_low, at - whole_high + span, j * 2), *reader.hashes(at - high, at - low + span, j * 2 + 1),
+                                  own[lo:hi][doc], ids[lo:hi][doc], (at - reader.begin[doc]) << 3 | j))
+                yield together(found, ["c1", "c2", "v1", "v2", "own", "id", "place"])
     return texts.mapInArrow(scan, "c1 long, c2 int, v1 long, v2 int, own long, id long, place long")
 
 
@@ -179,9 +194,10 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
     if not 0 < span - seed < 8 * STEP:
         raise ValueError("span - seed must be below 8 steps")
     texts = keyed(docs)
-    shared = settle(leaders_of(texts, span, seed, False).groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "seeds")
-    leads = settle(leaders_of(texts, span, seed, True).join(shared, "rank", "left_semi").groupBy("own").agg(F.collect_set("at").alias("leads")), "leads")
-    discard(shared)
+    found = settle(leaders_of(texts, span, seed), "found")
+    shared = settle(found.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "seeds")
+    leads = settle(found.join(shared, "rank", "left_semi").groupBy("own").agg(F.collect_set("at").alias("leads")), "leads")
+    discard(shared, found)
     least = -(1 << 63)
     live = settle(texts.join(leads, "own").select("own", F.coalesce("doc_id", F.lit(least)).alias("id"), "raw", "leads"), "live")
     discard(leads)
@@ -196,8 +212,8 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
             rows = [without_repeats(raw.as_py(), s.as_py(), w.as_py(), span, seed) for raw, s, w in zip(batch.column("raw"), batch.column("full"), batch.column("windows"))]
             yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("id"), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([k for _, _, k in rows], pa.int64()),
                                               pa.array([hashlib.sha256(t).hexdigest() for t, _, _ in rows], pa.string())], ["own", "id", "n_removed", "n_spans", "kept_sha256"])
-    found = live.select("own", "id", "raw").join(steps.select("own", "id", "full"), ["own", "id"]).join(windows, ["own", "id"], "left")
-    out = settle(found.mapInArrow(cut, "own long, id long, n_removed long, n_spans long, kept_sha256 string").filter("n_removed > 0").dropDuplicates(["own", "id"]), "cut")
+    cuts = live.select("own", "id", "raw").join(steps.select("own", "id", "full"), ["own", "id"]).join(windows, ["own", "id"], "left")
+    out = settle(cuts.mapInArrow(cut, "own long, id long, n_removed long, n_spans long, kept_sha256 string").filter("n_removed > 0").dropDuplicates(["own", "id"]), "cut")
     discard(live, steps, windows)
     return out
 
@@ -207,7 +223,7 @@ def dedup(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
 
     A byte goes if a string of `span` bytes that covers it starts at another place too, in
     the same row or another; a repeated row is another row. A null or empty text, and any
-    shorter than `span`, loses nothing. An empty table gives no rows; extra columns are
+    shorter than `span`, loses nothing; one over 256 MB raises an error. An empty table gives no rows; extra columns are
     ignored. Texts are bytes throughout, so what is left need not be valid UTF-8.
     """
     cut = repeated_strings(docs, span, seed)

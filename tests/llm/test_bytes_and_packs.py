@@ -55,6 +55,20 @@ def test_edges_of_the_span(spark):
     assert [x[2] for x in want] == [0, 0, 201, 200, 200, 0, 0, 0]
 
 
+def test_a_very_long_text_and_the_limit_of_places(spark, monkeypatch):
+    block = random.Random(3).randbytes(400).hex()
+    long = "".join(random.Random(i).randbytes(500).hex() for i in range(2500))
+    texts = [long + block + long[:300], block[:250] + "#", prose(1, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.dedup(df).collect()}
+    assert got == {0: (300 + 250 + 300, 3), 1: (250, 1), 2: (0, 0)}
+    reader = suffixes.Leaders(200, 64)
+    monkeypatch.setattr(suffixes, "PLACE", np.uint64(999))
+    reader.read(np.zeros(999, np.uint8), np.array([0, 999]), second=False)
+    with pytest.raises(ValueError, match="longer"):
+        reader.read(np.zeros(1000, np.uint8), np.array([0, 1000]), second=False)
+
+
 def test_suffixes_on_awkward_rows(spark):
     df = awkward(spark).filter("length(text) < 30000 OR text IS NULL")
     check_suffixes(df)
