@@ -38,10 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold benchmark passages."""
-    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = settle(judged.filter("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Drop the documents that hold benchmark passages, row by row: the verdict follows from
+    the text alone, so a digest of the text names it whatever the doc_id, null or repeated.
+    Null texts stay; they meet no digest, and doc_id spreads them."""
+    digest = F.sha2("text", 256)
+    judged = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dropped = settle(judged.filter("contaminated").select(F.col("doc_id").alias("digest")).distinct(), "contaminated")
+    own = F.coalesce(digest, F.xxhash64("doc_id").cast("string"))
+    return docs.select(own.alias("digest"), F.struct(*docs.columns).alias("row")).join(dropped, "digest", "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
