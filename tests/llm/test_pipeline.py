@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import DOCS, awkward, empty, prose
+from helpers import DOCS, awkward, empty, prose, rows
 from test_texts import component_of, fingerprint, fixed_formats, hit_words
 
 
@@ -34,6 +34,14 @@ def test_stages_against_brute_force(spark, folder):
     assert all(fourth[i].text == t for i, t in given.items() if not fixed_formats(t))
 
 
+def test_contamination_is_judged_row_by_row(spark, folder):
+    bad, good = prose(500, 30), prose(9, 50)
+    given = [(None, bad), (None, good), (7, bad), (7, good), (7, good), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in given], DOCS).withColumn("digest", F.lit("clash"))
+    out = corpus_pipeline.decontamination(spark, docs, folder)
+    assert out.columns == docs.columns and rows(out, "doc_id", "text") == sorted(((i, t) for i, t in given if t != bad), key=repr)
+
+
 def test_run_packs_what_the_stages_keep(spark, folder):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert not set(got.doc_id) & {200, 201, 202, 203, 204, 300, 302, 303} and {0, 301, 304} <= set(got.doc_id)
