@@ -25,6 +25,29 @@ def s2(ruled_lines):
     return fl.read_lines(spark, folder + "/lines")
 
 
+@query("s3_list_crops", "ruled_lines", "SELECT 'job=' || (page_id // 100) AS job, count(DISTINCT page_id % 100 // 25) AS crops FROM ruled_lines GROUP BY ALL")
+def s3(ruled_lines):
+    """Files of all jobs, one per quarter of a job's pages, listed from the shared folder."""
+    spark, folder = ruled_lines.sparkSession, fl.shared_folder(ruled_lines.sparkSession)
+    job, part = F.floor(F.col("page_id") / 100), F.floor(F.col("page_id") % 100 / 25)
+    ruled_lines.withColumns({"job": job, "part": part}).repartition("job", "part").write.partitionBy("job", "part").json(folder + "/crops")
+    crops = fl.list_crops(spark, folder + "/crops", "*.json").filter("length > 0")
+    return crops.groupBy("job").agg(F.count("*").alias("crops"))
+
+
+@query("s4_lexicon_settings", "job_events", """SELECT owner_id, field, CAST(row_number() OVER (PARTITION BY owner_id, field ORDER BY pattern) AS INTEGER) AS ord, pattern FROM (
+    SELECT DISTINCT owner_id, 'states' AS field, state AS pattern FROM job_events UNION ALL SELECT DISTINCT owner_id, 'ended', state || ' // "kept"' FROM job_events WHERE state IN ('done', 'error')) x""")
+def s4(job_events):
+    """A settings file with comments per owner, and the pattern rows read from all of them."""
+    spark, folder = job_events.sparkSession, fl.shared_folder(job_events.sparkSession)
+    lists = job_events.groupBy("owner_id").agg(
+        F.array_sort(F.collect_set("state")).alias("states"), F.array_sort(F.collect_set(F.when(F.col("state").isin("done", "error"), F.concat("state", F.lit(' // "kept"'))))).alias("ended"))
+    text = F.concat(F.lit('// states of one owner\n{ "states": '), F.to_json("states"), F.lit(', /* those that\nend a job */ "more": {"ended": '), F.to_json("ended"), F.lit(",},}"))
+    lists.select("owner_id", text.alias("value")).repartition("owner_id").write.partitionBy("owner_id").option("lineSep", "\n").text(folder + "/settings")
+    rows = fl.lexicon_patterns(fl.read_jsonc_config(spark, folder + "/settings"))
+    return rows.select(F.regexp_extract("path", "owner_id=([0-9]+)/", 1).cast("long").alias("owner_id"), "field", "ord", "pattern")
+
+
 @query("s5_job_status_round_trip", "job_events", """SELECT job_id, owner_id, state FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms DESC, event_id DESC) AS n FROM job_events) x WHERE n = 1 AND job_id % 9 <> 0""")
 def s5(job_events):
     from drawbom.operators.jobs import latest_job_state
