@@ -253,14 +253,13 @@ def l24(header_cands, vlines, page_refs):
 CLASS_ROLES = ["trip", "poles", "combo", "ckt", "unknown"]
 
 
-@query("l25_backfill_picks", "header_cands", "WITH " + PICKED + """, p AS (SELECT * FROM picks WHERE role <> 'poles' OR page_id % 2 = 0), c AS (SELECT *, ['trip', 'poles', 'combo', 'ckt', 'unknown'][CAST(x1 % 5 AS INT) + 1] AS cr FROM header_cands),
+@query("l25_backfill_picks", "header_cands", "WITH " + PICKED + """, c AS (SELECT *, ['trip', 'poles', 'combo', 'ckt', 'unknown'][CAST(x1 % 5 AS INT) + 1] AS cr FROM header_cands),
   e AS (SELECT page_id, ord, text, x1, x2, unnest(CASE cr WHEN 'combo' THEN ['trip', 'poles'] WHEN 'unknown' THEN [] ELSE [cr] END) AS role FROM c)
-  SELECT page_id, role, ord, text, x1, x2, 'pick' AS origin FROM p UNION ALL SELECT e.page_id, e.role, e.ord, e.text, e.x1, e.x2, 'class' FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.page_id = e.page_id AND p.role = e.role)""")
+  SELECT page_id, role, ord, text, x1, x2, 'pick' AS origin FROM picks UNION ALL SELECT e.page_id, e.role, e.ord, e.text, e.x1, e.x2, 'class' FROM e WHERE NOT EXISTS (SELECT 1 FROM picks p WHERE p.page_id = e.page_id AND p.role = e.role)""")
 def l25(header_cands):
-    picks = ly.pick_headers(header_cands).filter((F.col("role") != "poles") | (F.col("page_id") % 2 == 0))
     roles = F.array(*[F.lit(r) for r in CLASS_ROLES])
     classified = header_cands.drop("role").withColumn("class_role", F.get(roles, (F.col("x1") % 5).cast("int")))
-    return ly.backfill_picks(picks, classified)
+    return ly.backfill_picks(ly.pick_headers(header_cands), classified)
 
 
 @query("l25_backfill_classified", "header_cands")

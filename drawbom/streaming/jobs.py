@@ -7,13 +7,15 @@ holds one row per job ever seen, as its result does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from drawbom.operators.jobs import TERMINAL, windowed_job_counts
+from drawbom.sources.files import shared_folder
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, owner_id bigint, job_id bigint, state string"
 LATENESS = "1 hour"
@@ -42,33 +44,79 @@ def stream_job_counts(events: DataFrame, width: str = "1 hour", lateness: str =
 
 
 def stream_stuck_jobs(events: DataFrame, timeout_ms: int = 900_000, lateness: str = LATENESS) -> DataFrame:
-    """An error row per job that stays unfinished past the watchdog time.
+    """A row per unfinished event that nothing followed within the watchdog time.
 
-    The state of a job is its last event; an event-time timer fires once the
-    watermark has passed the deadline without a newer event. The end of a job is
-    remembered until the watermark has passed it, so that an older event which
-    arrives later does not open the job again.
+    Events of a job are held until the watermark has passed them, so that they are judged
+    in the order of their times however they arrive; then only the last one is remembered,
+    and forgotten once it is an end or has been reported. An event-time timer fires at the
+    next held event or deadline.
     """
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, event_id, name, ms = state.get
+        last, held = None, []
+        if state.exists:
+            ms, event_id, name, times, ids, names = state.get
+            last, held = (ms, event_id, name) if ms is not None else None, list(zip(times, ids, names))
+        if not state.hasTimedOut:
+            for batch in batches:
+                held += zip(batch["ts_ms"].tolist(), batch["event_id"].tolist(), batch["state"].tolist())
+        held.sort(key=lambda e: e[:2])
+        passed, stuck = state.getCurrentWatermarkMs(), []
+        settled = sum(e[0] < passed for e in held)
+        for event in held[:settled]:
+            if last and event[0] - last[0] > timeout_ms:
+                stuck.append(last)
+            last = None if event[2] in TERMINAL else event
+        held = held[settled:]
+        if last and passed > last[0] + timeout_ms:
+            stuck.append(last)
+            last = None
+        if last or held:
+            state.update((*(last or (None, None, None)), *[[e[i] for e in held] for i in range(3)]))
+            state.setTimeoutTimestamp(max(min([e[0] for e in held[:1]] + ([last[0] + timeout_ms] if last else [])), passed + 1))
+        elif state.exists:
             state.remove()
-            if name not in TERMINAL:
-                yield pd.DataFrame({"job_id": [key[0]], "event_id": [event_id], "state": [name], "timeout_at_ms": [ms + timeout_ms]})
-            return
-        last = state.get[:4] if state.exists else None
-        for batch in batches:
-            row = batch.sort_values(["ts_ms", "event_id"]).iloc[-1]
-            new = (int(row["owner_id"]), int(row["event_id"]), row["state"], int(row["ts_ms"]))
-            if last is None or (new[3], new[1]) > (last[3], last[1]):
-                last = new
-        state.update(last)
-        due = last[3] if last[2] in TERMINAL else last[3] + timeout_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        return
-        yield
+        if stuck:
+            yield pd.DataFrame([(key[0], i, name, ms + timeout_ms) for ms, i, name in stuck], columns=["job_id", "event_id", "state", "timeout_at_ms"])
 
     timed = events.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
     return timed.groupBy("job_id").applyInPandasWithState(
-        watch, "job_id long, event_id long, state string, timeout_at_ms long", "owner_id long, event_id long, state string, ts_ms long",
+        watch, "job_id long, event_id long, state string, timeout_at_ms long",
+        "ms long, event_id long, state string, times array<long>, ids array<long>, names array<string>",
         "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def in_slices(events: DataFrame, count: int = 4) -> Iterator[DataFrame]:
+    """The events in `count` parts of about equal size by `ts`, oldest first, as they would arrive."""
+    ms = F.unix_millis("ts")
+    cuts = events.select(ms.alias("ms")).approxQuantile("ms", [i / count for i in range(1, count)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        after = F.lit(True) if low is None else ms > low
+        yield events.filter(after if high is None else after & (ms <= high))
+
+
+def replay(spark: SparkSession, slices: Iterable[DataFrame], report: Callable[[DataFrame], DataFrame], mode: str,
+           keys: list[str] | None = None) -> DataFrame:
+    """Append each slice to a folder of events and run `report` over what is new there, with
+    an available-now trigger; return what it wrote.
+
+    Every run restarts from the one checkpoint in the shared folder. A batch is written to
+    a folder of its own number, so that a batch that is run again replaces its rows. In
+    update mode the newest row of each of `keys` counts.
+    """
+    base = shared_folder(spark)
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/report/batch={number}")
+
+    for rows in slices:
+        rows.write.mode("append").parquet(f"{base}/events")
+        out = report(read_events(spark, f"{base}/events"))
+        run = (out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep)
+               .trigger(availableNow=True).start())
+        run.awaitTermination()
+    written = spark.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/report")
+    if keys is None:
+        return written.drop("batch")
+    rest = [c for c in out.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in out.columns])

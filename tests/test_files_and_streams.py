@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from drawbom.operators import jobs as jb
@@ -98,3 +100,52 @@ def test_watchdog_fires_for_unfinished_jobs_only(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert [(r.job_id, r.event_id) for r in spark.table("stuck").collect()] == [(1, 1)]
+
+
+def test_replayed_slices_equal_batches_however_events_arrive(spark):
+    """Restarts between slices, events out of order within the lateness, one job with a third of all."""
+    rnd = random.Random(4)
+    states = ["queued", "parsing", "rendered", "done", "error"]
+    rows = [event(i, rnd.randrange(3000) / 3, rnd.randrange(40) if i % 3 else 1, rnd.choice(states)) for i in range(900)]
+    rows.sort(key=lambda r: r[1] + dt.timedelta(minutes=rnd.randrange(25)))
+    parts = [spark.createDataFrame(rows[a:a + 300], st.EVENT_SCHEMA) for a in (0, 300, 600)]
+    whole = spark.createDataFrame(rows, st.EVENT_SCHEMA).withColumn("ts_ms", F.unix_millis("ts"))
+    end = T0 + dt.timedelta(days=2)
+    tick = spark.createDataFrame([(-1, end + dt.timedelta(hours=1), 0, -1, "done")], st.EVENT_SCHEMA)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    as_of = tick.select(F.unix_millis("ts")).first()[0] - 3_600_000
+    assert key(st.replay(spark, [*parts, tick], st.stream_stuck_jobs, "append")) == key(jb.stuck_jobs(whole, as_of)) != []
+    latest = st.replay(spark, parts, st.stream_latest_state, "update", ["job_id"])
+    assert key(latest.select("job_id", "state", "event_id")) == key(jb.latest_job_state(whole).select("job_id", "state", "event_id"))
+    counts = st.replay(spark, parts, st.stream_job_counts, "update", ["window_start", "state"])
+    assert key(counts) == key(jb.windowed_job_counts(whole))
+    twice = [a.unionByName(b) for a, b in zip(parts, [parts[0], parts[0].filter("false"), parts[2]])]
+    assert key(st.replay(spark, twice, st.stream_dedupe, "append")) == key(whole.drop("ts_ms"))
+
+
+def test_replay_of_an_empty_log(spark):
+    none = spark.createDataFrame([], st.EVENT_SCHEMA)
+    assert st.replay(spark, st.in_slices(none), st.stream_stuck_jobs, "append").count() == 0
+    assert st.replay(spark, st.in_slices(none), st.stream_job_counts, "update", ["window_start", "state"]).count() == 0
+
+
+def test_exact_percentiles_by_running_counts(spark):
+    rnd = random.Random(5)
+    done = {o: [rnd.choice([0, 5, rnd.randrange(10_000)]) for _ in range(n)] for o, n in {1: 1, 2: 2, 3: 7, 4: 1500}.items()}
+    rows, job = [], 0
+    for owner, cycles in done.items():
+        for ms in cycles:
+            job += 1
+            rows += [(2 * job, 1000, owner, job, "queued"), (2 * job + 1, 1000 + ms, owner, job, "done")]
+    rows.append((0, 5, 9, 0, "queued"))
+    events = spark.createDataFrame(rows, "event_id long, ts_ms long, owner_id long, job_id long, state string")
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.owner_id: (r.jobs, r.p50_ms, r.p90_ms) for r in jb.cycle_time_summary(events).collect()}
+        assert got.keys() == done.keys()
+        for owner, cycles in done.items():
+            want = [len(cycles), np.percentile(cycles, 50), np.percentile(cycles, 90)]
+            assert np.allclose(got[owner], want)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    plan = jb.cycle_time_summary(events)._jdf.queryExecution().toString().lower()
+    assert "percentile" not in plan
