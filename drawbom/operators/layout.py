@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.similarity import header_facts, role_scores
@@ -204,28 +203,33 @@ def cluster_by_row(tokens: DataFrame, x_gap: int = 36, y_overlap: float = 0.35)
 
 def split_header_rows(tokens: DataFrame, rounds: int = 12) -> DataFrame:
     """Threshold between header row and the rest: two means on the vertical
-    centre. Each page arrives as counts per distinct centre."""
+    centre. Each page arrives as counts per distinct centre, whose number the
+    raster height bounds."""
     counts = tokens.groupBy("page_id", ((F.col("y1") + F.col("y2")) / 2).alias("y")).agg(F.count("*").alias("n"))
-
-    def two_means(page: pd.DataFrame) -> pd.DataFrame:
-        y, n = page["y"].to_numpy(), page["n"].to_numpy()
-        lo, hi = y.min(), y.max()
-        key = page["page_id"].iloc[0]
-        if hi <= lo:
-            return pd.DataFrame({"page_id": [key], "threshold": [lo + 1.0], "top_mean": [lo]})
-        c1, c2 = lo + 0.25 * (hi - lo), lo + 0.75 * (hi - lo)
-        for _ in range(rounds):
-            first = abs(y - c1) <= abs(y - c2)
-            if first.all() or not first.any():
-                break
-            n1, n2 = (y[first] * n[first]).sum() / n[first].sum(), (y[~first] * n[~first]).sum() / n[~first].sum()
-            still = abs(n1 - c1) < 0.5 and abs(n2 - c2) < 0.5
-            c1, c2 = n1, n2
-            if still:
-                break
-        return pd.DataFrame({"page_id": [key], "threshold": [0.5 * (c1 + c2)], "top_mean": [min(c1, c2)]})
-
-    return counts.groupBy("page_id").applyInPandas(two_means, "page_id long, threshold double, top_mean double")
+    pages = counts.groupBy("page_id").agg(F.collect_list(F.struct("y", "n")).alias("ys"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    means = lambda c1, c2, done: F.struct(c1.alias("c1"), c2.alias("c2"), done.alias("done"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("s1", "n1", "s2", "n2")])
+
+    def halves(s: Column) -> Column:
+        """Sums and counts of the centres nearer to the first mean, and of the others."""
+        def add(acc: Column, t: Column) -> Column:
+            first = (F.abs(t["y"] - s["c1"]) <= F.abs(t["y"] - s["c2"])).cast("double")
+            return F.struct((acc["s1"] + first * t["y"] * t["n"]).alias("s1"), (acc["n1"] + first * t["n"]).alias("n1"),
+                            (acc["s2"] + (1 - first) * t["y"] * t["n"]).alias("s2"), (acc["n2"] + (1 - first) * t["n"]).alias("n2"))
+        return F.aggregate("ys", zero, add)
+
+    def step(s: Column, _: Column) -> Column:
+        def move(h: Column) -> Column:
+            m1, m2 = F.try_divide(h["s1"], h["n1"]), F.try_divide(h["s2"], h["n2"])
+            still = (F.abs(m1 - s["c1"]) < 0.5) & (F.abs(m2 - s["c2"]) < 0.5)
+            return F.when((h["n1"] > 0) & (h["n2"] > 0), means(m1, m2, still)).otherwise(means(s["c1"], s["c2"], F.lit(True)))
+        return F.when(s["done"], s).otherwise(F.transform(F.array(halves(s)), move)[0])
+
+    span = F.col("hi") - F.col("lo")
+    start = means(F.col("lo") + 0.25 * span, F.col("lo") + 0.75 * span, F.lit(False))
+    split = pages.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    return split.select("page_id", F.when(span > 0, 0.5 * (F.col("m.c1") + F.col("m.c2"))).otherwise(F.col("lo") + 1).alias("threshold"),
+                        F.when(span > 0, F.least("m.c1", "m.c2")).otherwise(F.col("lo")).alias("top_mean"))
 
 
 def header_y_by_band(tokens: DataFrame, pages: DataFrame, band: int = 16, max_rel: float = 0.65) -> DataFrame:

@@ -5,16 +5,29 @@ from pyspark.sql import functions as F
 from drawbom.operators import keyvalue as kv, layout as ly
 from drawbom.plans.registry import query
 from drawbom.plans.text_reads import DIGIT_FIX
+from drawbom.sources import files as fl
 
 _ROLE_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(upper(text), '{kv.any_pattern(p)}') THEN '{r}' END" for r, p in kv.LABELS.items()) + "], lambda r: r IS NOT NULL)"
 LABELS = f"labels AS (SELECT page_id, pos, text, conf, x1, y1, x2, y2, unnest({_ROLE_LIST}) AS role FROM tokens)"
 
 
+def from_settings(df, section: str, patterns: dict[str, list[str]]):
+    """Patterns after a round trip through a settings file of the shared folder."""
+    path = f"{fl.shared_folder(df.sparkSession)}/lexicon"
+    fl.write_settings(df.sparkSession, {section: patterns}, path)
+    return fl.read_lexicon(df.sparkSession, path)
+
+
 @query("h1_label_candidates", "tokens", "WITH " + LABELS + " SELECT page_id, pos, role FROM labels")
 def h1(tokens):
     return kv.label_candidates(tokens).select("page_id", "pos", "role")
 
 
+@query("h1_label_candidates_from_settings", "tokens", "WITH " + LABELS + " SELECT page_id, pos, role FROM labels")
+def h1_settings(tokens):
+    return kv.label_candidates(tokens, kv.labels_of(from_settings(tokens, "labels", kv.LABELS))).select("page_id", "pos", "role")
+
+
 _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
 _FIXV = r"""regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '([0-9])[IL]([0-9])', '\1/\2', 'g'), '([0-9])[IL]([0-9])', '\1/\2', 'g'),
   '([0-9])O([0-9])', '\1' || '0' || '\2', 'g'), '([0-9])O([0-9])', '\1' || '0' || '\2', 'g'), ',', ' '), '.', ' '), '\s+', ' ', 'g')"""
@@ -188,11 +201,22 @@ for _f, _o, _p in sorted(kv.LEXICON, key=lambda r: (r[0], r[1])):
     _FIELDS.setdefault(_f, []).append(f"nullif(regexp_extract(u, '{_p}', 1), '')")
 
 
-@query("h13_extract_by_lexicon", "stamps", """WITH t AS (SELECT read_id AS text_id, upper(concat_ws(' ', CASE read_id % 3 WHEN 0 THEN 'Panel:' WHEN 1 THEN 'PANEL SCHEDULE -' ELSE 'PNL' END, CASE WHEN read_id % 17 = 0 THEN 'MSB' ELSE 'LP' || w1 END, volt_text, 'bus', amp_text,
+H13_SQL = """WITH t AS (SELECT read_id AS text_id, upper(concat_ws(' ', CASE read_id % 3 WHEN 0 THEN 'Panel:' WHEN 1 THEN 'PANEL SCHEDULE -' ELSE 'PNL' END, CASE WHEN read_id % 17 = 0 THEN 'MSB' ELSE 'LP' || w1 END, volt_text, 'bus', amp_text,
     CASE WHEN read_id % 2 = 0 THEN 'Main Breaker 225' ELSE 'MLO' END, 'A.I.C. rating', ka_text, CASE WHEN read_id % 5 = 0 THEN 'SPD 160kA' END)) AS u FROM stamps),
   f AS (""" + " UNION ALL ".join(f"SELECT text_id, '{f}' AS field, coalesce({', '.join(ps)}) AS value FROM t" for f, ps in _FIELDS.items()) + rf"""), g AS (SELECT *, TRY_CAST(replace(value, ',', '') AS INT) AS k, {DIGIT_FIX.format(c='upper(value)')} AS vt FROM f WHERE value IS NOT NULL),
   h AS (SELECT text_id, field, CASE field WHEN 'panel_name' THEN left(value, 32) WHEN 'voltage' THEN CAST(CASE WHEN vt LIKE '%600%' THEN 600 WHEN vt LIKE '%480%' THEN 480 WHEN vt LIKE '%240%' THEN 240 WHEN vt LIKE '%208%' THEN 208 WHEN vt LIKE '%120%' THEN 120 END AS VARCHAR)
       WHEN 'int_rating' THEN CAST(CASE WHEN k >= 1000 THEN k // 1000 ELSE k END AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS value FROM g)
-  SELECT * FROM h WHERE value IS NOT NULL AND NOT (field = 'panel_name' AND value IN ('MSB', 'SWBD', 'SWITCHBOARD'))""")
+  SELECT * FROM h WHERE value IS NOT NULL AND NOT (field = 'panel_name' AND value IN ('MSB', 'SWBD', 'SWITCHBOARD'))"""
+
+
+@query("h13_extract_by_lexicon", "stamps", H13_SQL)
 def h13(stamps):
     return kv.extract_by_lexicon(header_text(stamps))
+
+
+@query("h13_extract_by_lexicon_from_settings", "stamps", H13_SQL)
+def h13_settings(stamps):
+    fields = {}
+    for field, _, pattern in sorted(kv.LEXICON):
+        fields.setdefault(field, []).append(pattern)
+    return kv.extract_by_lexicon(header_text(stamps), from_settings(stamps, "header", fields))

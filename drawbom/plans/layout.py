@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from drawbom.functions.similarity import best_vocab_match, similarity
 from drawbom.operators import layout as ly
 from drawbom.plans.registry import query
+from drawbom.plans.text_reads import _NORM_TEXT
 from drawbom.sources.derived import PAGE_WORDS
 
 HEADER_VOCAB = ["TRIP", "POLES", "AMPS", "DESCRIPTION", "CKT", "PANEL", "SCHEDULE", "NOTES"]
@@ -47,17 +48,55 @@ def crowded(tokens):
     return tokens.select("page_id", "pos", "text", "conf", "x1", "y1", "x2", "y2").unionByName(again)
 
 
-@query("l3_dedup_tokens", "tokens")
+CROWDED = """c AS (SELECT page_id, pos, text, conf, x1, y1, x2, y2 FROM tokens
+    UNION ALL SELECT page_id, pos + 100000, text, round(1.0 - conf / 2, 4), x1 + pos % 3, y1, x2 + pos % 3, y2 FROM tokens)"""
+_W, _H = "(least(k.x2, o.x2) - greatest(k.x1, o.x1))", "(least(k.y2, o.y2) - greatest(k.y1, o.y1))"
+_N = f"(CASE WHEN {_W} > 0 AND {_H} > 0 THEN {_W} * {_H} ELSE 0 END)"
+_U = f"((k.x2 - k.x1) * (k.y2 - k.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {_N})"
+_IOU = f"CASE WHEN {_U} > 0 THEN {_N} / {_U} ELSE 0 END"
+# one reading of equal boxes, stretches of a text that cannot overlap, then the walk that keeps what overlaps nothing kept
+L3_SQL = "WITH RECURSIVE " + CROWDED + f""", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, norm, x1, y1, x2, y2 ORDER BY conf DESC, pos) AS best FROM (SELECT *, {_NORM_TEXT.format(c='text')} AS norm FROM c)) WHERE best = 1),
+  e AS (SELECT *, max(y2) OVER (PARTITION BY page_id, norm ORDER BY y1, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
+  g AS (SELECT *, sum(CASE WHEN pe IS NULL OR pe < y1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, norm ORDER BY y1, pos) AS strip FROM e),
+  o AS (SELECT page_id, norm, strip, pos, x1, y1, x2, y2, row_number() OVER (PARTITION BY page_id, norm, strip ORDER BY conf DESC, (x2 - x1) * (y2 - y1) DESC, pos) AS i FROM g),
+  walk(page_id, norm, strip, i, kept) AS (SELECT page_id, norm, strip, i, [struct_pack(pos, x1, y1, x2, y2)] FROM o WHERE i = 1
+    UNION ALL SELECT o.page_id, o.norm, o.strip, o.i, CASE WHEN len(list_filter(w.kept, lambda k: {_IOU} >= 0.8)) > 0 THEN w.kept ELSE list_append(w.kept, struct_pack(o.pos, o.x1, o.y1, o.x2, o.y2)) END
+      FROM walk w JOIN o ON o.page_id = w.page_id AND o.norm = w.norm AND o.strip = w.strip AND o.i = w.i + 1),
+  kept AS (SELECT page_id, unnest(list_transform(arg_max(kept, i), lambda k: k.pos)) AS pos FROM walk GROUP BY page_id, norm, strip)
+  SELECT c.page_id, c.pos, text, conf FROM c JOIN kept k ON k.page_id = c.page_id AND k.pos = c.pos"""
+
+
+@query("l3_dedup_tokens", "tokens", L3_SQL)
 def l3(tokens):
     return ly.dedup_tokens(crowded(tokens)).select("page_id", "pos", "text", "conf")
 
 
-@query("l4_dedup_adjacent", "tokens")
+# runs of one text, then the walk that holds the last kept reading of a run
+L4_SQL = "WITH RECURSIVE " + CROWDED + """, e AS (SELECT *, lag(text) OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS pt FROM c),
+  g AS (SELECT *, sum(CASE WHEN pt IS NULL OR pt <> text THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS run FROM e),
+  o AS (SELECT page_id, run, pos, conf, x1 + x2 AS xc, row_number() OVER (PARTITION BY page_id, run ORDER BY y1, x1, pos) AS i FROM g),
+  walk(page_id, run, i, pos, xc, conf, k) AS (SELECT page_id, run, i, pos, xc, conf, 1 FROM o WHERE i = 1
+    UNION ALL SELECT page_id, run, i, CASE WHEN new THEN p ELSE pos END, CASE WHEN new THEN x ELSE xc END, CASE WHEN new THEN f ELSE conf END, CASE WHEN far THEN k + 1 ELSE k END
+      FROM (SELECT o.page_id, o.run, o.i, w.pos, w.xc, w.conf, w.k, o.pos AS p, o.xc AS x, o.conf AS f, abs(o.xc - w.xc) >= 36 AS far, abs(o.xc - w.xc) >= 36 OR o.conf > w.conf AS new
+        FROM walk w JOIN o ON o.page_id = w.page_id AND o.run = w.run AND o.i = w.i + 1) z),
+  kept AS (SELECT page_id, arg_max(pos, i) AS pos FROM walk GROUP BY page_id, run, k)
+  SELECT c.page_id, c.pos, text, conf FROM c JOIN kept k ON k.page_id = c.page_id AND k.pos = c.pos"""
+
+
+@query("l4_dedup_adjacent", "tokens", L4_SQL)
 def l4(tokens):
     return ly.dedup_adjacent(crowded(tokens), ["page_id"]).select("page_id", "pos", "text", "conf")
 
 
-@query("l5_plumbline_columns", "tokens")
+L5_SQL = """WITH RECURSIVE t AS (SELECT page_id, pos, pos // 12 // 2 AS band, x1, x2 FROM tokens), o AS (SELECT *, row_number() OVER (PARTITION BY page_id, band ORDER BY c, x1, x2) AS i FROM (SELECT DISTINCT page_id, band, x1 + x2 AS c, x1, x2 FROM t)),
+  walk(page_id, band, i, x1, x2, seed, seeds) AS (SELECT page_id, band, i, x1, x2, c, [c] FROM o WHERE i = 1
+    UNION ALL SELECT page_id, band, i, x1, x2, coalesce(hit, c), CASE WHEN hit IS NULL THEN list_append(seeds, c) ELSE seeds END
+      FROM (SELECT o.*, w.seeds, list_filter(w.seeds, lambda s: s BETWEEN 2 * (o.x1 - 3) AND 2 * (o.x2 + 3))[1] AS hit FROM walk w JOIN o ON o.page_id = w.page_id AND o.band = w.band AND o.i = w.i + 1) z),
+  col AS (SELECT *, dense_rank() OVER (PARTITION BY page_id, band ORDER BY seed) AS n FROM walk)
+  SELECT t.page_id, t.pos, CAST(t.band AS BIGINT) AS band, CAST(n AS BIGINT) AS "column" FROM t JOIN col k ON k.page_id = t.page_id AND k.band = t.band AND k.x1 = t.x1 AND k.x2 = t.x2"""
+
+
+@query("l5_plumbline_columns", "tokens", L5_SQL)
 def l5(tokens):
     band = lined(tokens).withColumn("band", F.floor(F.col("line_no") / 2))
     return ly.plumbline_columns(band, ["page_id", "band"]).select("page_id", "pos", "band", "column")
@@ -83,12 +122,36 @@ def l7(tokens):
     return ly.split_wide_gaps(lined(tokens).select("page_id", "line_no", "pos", "x1", "x2"), ["page_id", "line_no"]).select("page_id", "pos", "segment")
 
 
-@query("l8_cluster_by_row", "tokens")
+# stretches that share no row, then the walk that grows or closes the open label
+L8_SQL = """WITH RECURSIVE e AS (SELECT *, max(y2 - 0.5) OVER (PARTITION BY page_id ORDER BY y1, x1, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM tokens),
+  g AS (SELECT *, sum(CASE WHEN pe IS NULL OR pe < y1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS strip FROM e),
+  o AS (SELECT page_id, strip, x1, y1, x2, y2, text, conf, row_number() OVER (PARTITION BY page_id, strip ORDER BY y1, x1, pos) AS i FROM g),
+  walk(page_id, strip, i, k, x1, y1, x2, y2, fy1, fy2, text, conf, words) AS (SELECT page_id, strip, i, 1, x1, y1, x2, y2, y1, y2, text, conf, 1 FROM o WHERE i = 1
+    UNION ALL SELECT page_id, strip, i, CASE WHEN joins THEN k ELSE k + 1 END, CASE WHEN joins THEN x1 ELSE a1 END,
+        CASE WHEN NOT joins THEN b1 WHEN least(y2, b2) <= greatest(y1, b1) THEN least(fy1, b1) ELSE greatest(y1, b1) END, CASE WHEN joins THEN greatest(x2, a2) ELSE a2 END,
+        CASE WHEN NOT joins THEN b2 WHEN least(y2, b2) <= greatest(y1, b1) THEN greatest(fy2, b2) ELSE least(y2, b2) END, CASE WHEN joins THEN fy1 ELSE b1 END, CASE WHEN joins THEN fy2 ELSE b2 END,
+        CASE WHEN joins THEN concat_ws(' ', text, t) ELSE t END, CASE WHEN joins THEN greatest(conf, f) ELSE f END, CASE WHEN joins THEN words + 1 ELSE 1 END
+      FROM (SELECT w.page_id, w.strip, o.i, w.k, w.x1, w.y1, w.x2, w.y2, w.fy1, w.fy2, w.text, w.conf, w.words, o.x1 AS a1, o.y1 AS b1, o.x2 AS a2, o.y2 AS b2, o.text AS t, o.conf AS f,
+          o.x1 - w.x2 <= 36 AND greatest(0, least(w.y2, o.y2) - greatest(w.y1, o.y1)) / greatest(1, least(w.y2 - w.y1, o.y2 - o.y1)) >= 0.35::DOUBLE AS joins
+        FROM walk w JOIN o ON o.page_id = w.page_id AND o.strip = w.strip AND o.i = w.i + 1) z)
+  SELECT page_id, x1, y1, x2, y2, text, conf, words FROM (SELECT *, row_number() OVER (PARTITION BY page_id, strip, k ORDER BY i DESC) AS n FROM walk) q WHERE n = 1"""
+
+
+@query("l8_cluster_by_row", "tokens", L8_SQL)
 def l8(tokens):
     return ly.cluster_by_row(tokens)
 
 
-@query("l9_split_header_rows", "tokens")
+L9_SQL = """WITH RECURSIVE h AS (SELECT page_id, (y1 + y2) / 2 AS y, count(*) AS n FROM tokens GROUP BY ALL), m AS (SELECT page_id, min(y) AS lo, max(y) AS hi FROM h GROUP BY page_id),
+  walk(page_id, r, c1, c2, still) AS (SELECT page_id, 0, lo + 0.25::DOUBLE * (hi - lo), lo + 0.75::DOUBLE * (hi - lo), FALSE FROM m WHERE hi > lo
+    UNION ALL SELECT page_id, r + 1, m1, m2, abs(m1 - c1) < 0.5 AND abs(m2 - c2) < 0.5
+      FROM (SELECT w.page_id, r, c1, c2, sum(y * n) FILTER (abs(y - c1) <= abs(y - c2)) / sum(n) FILTER (abs(y - c1) <= abs(y - c2)) AS m1, sum(y * n) FILTER (abs(y - c1) > abs(y - c2)) / sum(n) FILTER (abs(y - c1) > abs(y - c2)) AS m2
+        FROM walk w JOIN h ON h.page_id = w.page_id WHERE NOT still AND r < 12 GROUP BY w.page_id, r, c1, c2) z WHERE m1 IS NOT NULL AND m2 IS NOT NULL),
+  fin AS (SELECT page_id, arg_max(c1, r) AS c1, arg_max(c2, r) AS c2 FROM walk GROUP BY page_id)
+  SELECT m.page_id, round(coalesce(0.5::DOUBLE * (c1 + c2), lo + 1), 6) AS threshold, round(coalesce(least(c1, c2), lo), 6) AS top_mean FROM m LEFT JOIN fin f ON f.page_id = m.page_id"""
+
+
+@query("l9_split_header_rows", "tokens", L9_SQL)
 def l9(tokens):
     out = ly.split_header_rows(tokens)
     return out.withColumns({"threshold": F.round("threshold", 6), "top_mean": F.round("top_mean", 6)})

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from drawbom.operators import pages as pg
+from drawbom.plans.key_values import from_settings
 from drawbom.plans.registry import query
 from drawbom.plans.text_reads import _CHARS
 from drawbom.sources.derived import PAGE_WORDS  # noqa: F401
@@ -31,6 +32,16 @@ def p2(tokens):
     return pg.match_label_buckets(tokens)
 
 
+@query("p2_match_label_buckets_from_settings", "tokens", "WITH " + MATCHES + " SELECT * FROM matches")
+def p2_settings(tokens):
+    """Patterns from a settings file, with their place in the list as `ord`."""
+    lists = {}
+    for i, (bucket, pattern) in enumerate(pg.LABEL_PATTERNS):
+        lists[f"{i:03d} {bucket}"] = [pattern]
+    rows = from_settings(tokens, "buckets", lists)
+    return pg.match_label_buckets(tokens, [(name.split(" ", 1)[1], pattern) for name, _, pattern in rows])
+
+
 CONFS = r"""phrases AS (SELECT DISTINCT page_id, phrase FROM matches),
   near AS (SELECT p.page_id, p.phrase, CAST(sum(CAST(t.conf AS DECIMAL(12,6))) AS DOUBLE) / count(*) AS c FROM phrases p JOIN tokens t ON t.page_id = p.page_id
     AND len(list_filter(regexp_split_to_array(lower(trim(t.text)), '\s+'), lambda w: w <> '' AND contains(p.phrase, w))) > 0 GROUP BY p.page_id, p.phrase),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -70,6 +71,21 @@ def lexicon_patterns(settings: DataFrame) -> DataFrame:
             .select("path", "field", (F.col("ord") + 1).alias("ord"), "pattern"))
 
 
+def read_lexicon(spark: SparkSession, path: str, limit: int = 10_000) -> list[tuple[str, int, str]]:
+    """`(field, ord, pattern)` of settings files, ordered, for operators that take patterns.
+    They become expressions of a plan, so more than `limit` raise an error."""
+    rows = lexicon_patterns(read_jsonc_config(spark, path)).select("field", "ord", "pattern").take(limit + 1)
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} patterns below {path}")
+    return sorted(tuple(r) for r in rows)
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """One settings file, with a comment that names it."""
+    text = f"// {path.rsplit('/', 1)[-1]}\n{json.dumps(settings, indent=1)}\n"
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_job_status(spark: SparkSession, folder: str) -> DataFrame:
     """Every readable `status.json` below a jobs folder; broken ones are left out."""
     df = (spark.read.schema(STATUS_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true")

@@ -5,9 +5,10 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from drawbom.operators import jobs as jb
+from drawbom.operators import jobs as jb, keyvalue as kv
 from drawbom.sources import files as fl
 from drawbom.streaming import jobs as st
 
@@ -34,6 +35,20 @@ def test_patterns_of_settings(spark, tmp_path):
     assert got == [("stop", 1, "A"), ("stop", 2, "B"), ("volts", 1, r"\bV\b"), ("volts", 2, "VOLT")]
 
 
+def test_a_changed_settings_file_changes_the_result(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, i, t, 0.9, 0, 0, 5, 5) for i, t in enumerate(["VOLTS", "TENSION", "http://x", None])],
+                                   "page_id long, pos int, text string, conf double, x1 long, y1 long, x2 long, y2 long")
+    path = str(tmp_path / "lexicon")
+
+    def roles(labels):
+        fl.write_settings(spark, {"labels": labels}, path)
+        return sorted((r.text, r.role) for r in kv.label_candidates(tokens, kv.labels_of(fl.read_lexicon(spark, path))).collect())
+    assert roles({"VOLTAGE": [r"\bVOLTS?\b"]}) == [("VOLTS", "VOLTAGE")]
+    assert roles({"VOLTAGE": [r"\bVOLTS?\b", r"\bTENSION\b"], "LINK": ["HTTP://"]}) == [("TENSION", "VOLTAGE"), ("VOLTS", "VOLTAGE"), ("http://x", "LINK")]
+    with pytest.raises(ValueError):
+        fl.read_lexicon(spark, path, limit=2)
+
+
 def test_crops_status_and_csv(spark, tmp_path):
     for job in ("jobA", "jobB"):
         (tmp_path / job / "pdf_images").mkdir(parents=True)
