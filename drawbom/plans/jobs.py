@@ -96,7 +96,7 @@ def j5_stream(job_events):
     spark = job_events.sparkSession
     tick = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_millis(F.lit(AS_OF_MS + HOUR)).alias("ts"),
                                  F.lit(-1).cast("long").alias("owner_id"), F.lit(-1).cast("long").alias("job_id"), F.lit("done").alias("state"))
-    return st.replay(spark, [*st.in_slices(arriving(job_events)), tick], st.stream_stuck_jobs, "append")
+    return st.replay(spark, [*st.in_slices(arriving(job_events)), tick], st.stream_overdue_events, "append")
 
 
 @query("j8_windowed_job_counts_stream", "job_events", COUNTS)

@@ -44,7 +44,41 @@ def stream_job_counts(events: DataFrame, width: str = "1 hour", lateness: str =
 
 
 def stream_stuck_jobs(events: DataFrame, timeout_ms: int = 900_000, lateness: str = LATENESS) -> DataFrame:
-    """A row per unfinished event that nothing followed within the watchdog time.
+    """An error row per job that stays unfinished past the watchdog time.
+
+    The state of a job is its last event; an event-time timer fires once the
+    watermark has passed the deadline without a newer event. The end of a job is
+    remembered until the watermark has passed it, so that an older event which
+    arrives later does not open the job again.
+    """
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, event_id, name, ms = state.get
+            state.remove()
+            if name not in TERMINAL:
+                yield pd.DataFrame({"job_id": [key[0]], "event_id": [event_id], "state": [name], "timeout_at_ms": [ms + timeout_ms]})
+            return
+        last = state.get[:4] if state.exists else None
+        for batch in batches:
+            row = batch.sort_values(["ts_ms", "event_id"]).iloc[-1]
+            new = (int(row["owner_id"]), int(row["event_id"]), row["state"], int(row["ts_ms"]))
+            if last is None or (new[3], new[1]) > (last[3], last[1]):
+                last = new
+        state.update(last)
+        due = last[3] if last[2] in TERMINAL else last[3] + timeout_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        return
+        yield
+
+    timed = events.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
+    return timed.groupBy("job_id").applyInPandasWithState(
+        watch, "job_id long, event_id long, state string, timeout_at_ms long", "owner_id long, event_id long, state string, ts_ms long",
+        "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_overdue_events(events: DataFrame, timeout_ms: int = 900_000, lateness: str = LATENESS) -> DataFrame:
+    """A row per unfinished event that nothing followed within the watchdog time, as the batch
+    `stuck_jobs` gives; a job that ended late is reported too.
 
     Events of a job are held until the watermark has passed them, so that they are judged
     in the order of their times however they arrive; then only the last one is remembered,

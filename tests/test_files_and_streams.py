@@ -129,7 +129,7 @@ def test_replayed_slices_equal_batches_however_events_arrive(spark):
     tick = spark.createDataFrame([(-1, end + dt.timedelta(hours=1), 0, -1, "done")], st.EVENT_SCHEMA)
     key = lambda df: sorted(tuple(r) for r in df.collect())
     as_of = tick.select(F.unix_millis("ts")).first()[0] - 3_600_000
-    assert key(st.replay(spark, [*parts, tick], st.stream_stuck_jobs, "append")) == key(jb.stuck_jobs(whole, as_of)) != []
+    assert key(st.replay(spark, [*parts, tick], st.stream_overdue_events, "append")) == key(jb.stuck_jobs(whole, as_of)) != []
     latest = st.replay(spark, parts, st.stream_latest_state, "update", ["job_id"])
     assert key(latest.select("job_id", "state", "event_id")) == key(jb.latest_job_state(whole).select("job_id", "state", "event_id"))
     counts = st.replay(spark, parts, st.stream_job_counts, "update", ["window_start", "state"])
@@ -140,7 +140,7 @@ def test_replayed_slices_equal_batches_however_events_arrive(spark):
 
 def test_replay_of_an_empty_log(spark):
     none = spark.createDataFrame([], st.EVENT_SCHEMA)
-    assert st.replay(spark, st.in_slices(none), st.stream_stuck_jobs, "append").count() == 0
+    assert st.replay(spark, st.in_slices(none), st.stream_overdue_events, "append").count() == 0
     assert st.replay(spark, st.in_slices(none), st.stream_job_counts, "update", ["window_start", "state"]).count() == 0
 
 
