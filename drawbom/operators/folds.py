@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from drawbom.operators.spread import PLACE, beside, ordered, scan
+from drawbom.operators.spread import along, near_by
 
 
 def islands(df: DataFrame, keys: list[str], pos: str, gap: int, out: str = "island") -> DataFrame:
     """Number the stretches of positions that are closer than `gap`."""
-    near = beside(ordered(df, keys, [F.col(pos)]), keys, F.col(pos), prev="_prev")
-    starts = near.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col(pos) - F.col("_prev") >= gap), 1).otherwise(0).cast("long"))
-    return scan(starts, keys, {out: ("sum", F.col("_start"), True)}).drop("_prev", "_start", PLACE)
+    def starts(rows: DataFrame, run) -> DataFrame:
+        return near_by(F.col(pos), prev="_prev")(rows, run).withColumn(
+            "_start", F.when(F.col("_prev").isNull() | (F.col(pos) - F.col("_prev") >= gap), 1).otherwise(0).cast("long"))
+    return along(df, keys, [F.col(pos)], starts, lambda rows, run: run(rows, {out: ("sum", F.col("_start"), True)})).drop("_prev", "_start")
 
 
 def keep_apart(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:

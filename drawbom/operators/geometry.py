@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.functions.electrical import snap_spaces
 from drawbom.operators.folds import islands, keep_apart
-from drawbom.operators.spread import PLACE, first_per, neighbours, numbered, ordered, running, scan
+from drawbom.operators.spread import along, first_per, neighbours, numbered, running
 
 TILE_PX = 256
 
@@ -72,9 +72,11 @@ def iou_pairs(boxes: DataFrame, min_iou: float = 0.0, tile: int = TILE_PX) -> Da
 def box_islands(boxes: DataFrame) -> DataFrame:
     """Groups of boxes separated by an empty horizontal strip of the page."""
     order = [F.col("y1"), F.col("box_id")]
-    below = scan(ordered(boxes, ["page_id"], order), ["page_id"], {"_top": ("max", F.col("y2"), False)})
-    starts = below.withColumn("_s", F.when(F.col("_top").isNull() | (F.col("y1") >= F.col("_top")), 1).otherwise(0).cast("long"))
-    return scan(starts, ["page_id"], {"island": ("sum", F.col("_s"), True)}).drop("_top", "_s", PLACE)
+
+    def starts(rows: DataFrame, run) -> DataFrame:
+        below = run(rows, {"_top": ("max", F.col("y2"), False)})
+        return below.withColumn("_s", F.when(F.col("_top").isNull() | (F.col("y1") >= F.col("_top")), 1).otherwise(0).cast("long"))
+    return along(boxes, ["page_id"], order, starts, lambda rows, run: run(rows, {"island": ("sum", F.col("_s"), True)})).drop("_top", "_s")
 
 
 def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
