@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from drawbom.operators import folds, layout as ly, spread as sp
+from drawbom.operators import folds, keyvalue as kv, layout as ly, spread as sp
 
 
 def listed(df):
@@ -58,3 +58,24 @@ def test_layout_steps_on_both_sides(spark, monkeypatch, hot):
     monkeypatch.setattr(sp, "HOT", hot)
     for step, rows in zip(steps, want):
         assert listed(step(tokens)) == rows
+
+
+@pytest.mark.parametrize("pairs", [0, 40, 10 ** 9])
+def test_nearest_labels_on_both_sides(spark, monkeypatch, pairs):
+    """Small pages compare points and labels directly, large ones by rings; before, every page went by rings of 13 grids."""
+    rnd = random.Random(5)
+    place = lambda page, n: [(page, rnd.choice(["BUS", "MAIN"]), rnd.randrange(4000), rnd.randrange(4000)) for _ in range(n)]
+    schema = "page_id long, role string, cx long, cy long"
+    points, labels = place(1, 40) + place(2, 4) + [(3, "BUS", 1, 1)], place(1, 9) + place(2, 5)
+    want = {p: min((p[2] - x) ** 2 + (p[3] - y) ** 2 for g, r, x, y in labels if (g, r) == p[:2]) / 4 for p in points if any(p[:2] == q[:2] for q in labels)}
+    monkeypatch.setattr(kv, "PAIRS", pairs)
+    got = kv.nearest_labels(spark.createDataFrame(points, schema), spark.createDataFrame(labels, schema))
+    assert {tuple(r)[:4]: r.d2 for r in got.collect()} == want
+
+
+def test_number_readings_are_evaluated_once(spark):
+    """Before, the filters on readings held each pattern several times, and both branches read every text."""
+    tokens = spark.createDataFrame([(1, 0, "225A", 0.9, 0, 0, 32, 14), (1, 1, "word", 0.9, 40, 0, 72, 14)], "page_id long, pos int, text string, conf double, x1 long, y1 long, x2 long, y2 long")
+    out = kv.value_candidates(tokens, spark.createDataFrame([(1, 1080, 60)], "page_id long, width long, height long"))
+    assert "KA" not in out.select("page_id", "role")._jdf.queryExecution().optimizedPlan().toString().replace("KAIC", "")
+    assert sorted((r.pos, r.role) for r in out.collect()) == [(0, "BUS"), (0, "MAIN"), (0, "NAME"), (0, "VOLTAGE"), (1, "NAME")]
