@@ -20,6 +20,15 @@ def carried(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*names, F.struct(*docs.columns).alias("row"))
 
 
+SENT = 64 << 20     # bytes of keys that are sent to every task
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame, width: int) -> DataFrame:
+    """The rows whose key is not in the settled table `dropped`. Keys of about `width` bytes go to
+    every task while they fit `SENT`, so that no text is shuffled; more meet the rows in an exchange."""
+    return rows.join(F.broadcast(dropped) if dropped.count() * width <= SENT else dropped, key, "left_anti")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is recognised; learns from those outside its held-out part."""
     model = langid.fit(docs.filter(~langid.held_out("doc_id", 4, 2)).select("doc_id", "lang", "text"))
@@ -30,11 +39,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each near-duplicate group, that with the smallest doc_id; of its
     repeated rows one."""
     named = docs.filter("doc_id IS NOT NULL")
-    groups = simhash.near_duplicates(named)
-    kept = settle(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    own = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False))
+    told = simhash.near_duplicates(named).groupBy("doc_id").agg(own.alias("kept"), F.count("*").alias("n"))
+    ids = settle(told.filter("NOT kept OR n > 1"), "not-once")
+    left = without(carried(named, "doc_id", "text"), "doc_id", ids.filter("NOT kept").select("doc_id"), 24)
+    repeated = ids.filter("kept").select("doc_id")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = carried(named, "doc_id", "text").join(kept, "doc_id", "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    first = left.join(repeated, "doc_id", "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")
+    once = without(left, "doc_id", repeated, 24).select("row.*")
+    return (once if repeated.isEmpty() else once.unionByName(first)).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dropped = settle(judged.filter("contaminated").select(F.col("doc_id").alias("digest")).distinct(), "contaminated")
     own = F.coalesce(digest, F.xxhash64("doc_id").cast("string"))
-    return docs.select(own.alias("digest"), F.struct(*docs.columns).alias("row")).join(dropped, "digest", "left_anti").select("row.*")
+    return without(docs.select(own.alias("digest"), F.struct(*docs.columns).alias("row")), "digest", dropped, 128).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,18 @@ def test_every_stage_handles_awkward_rows(spark, folder, make):
         if name == "SimHash near-dedup":
             assert out.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).filter("length > 2048").count() == 0
+
+
+def test_no_text_is_shuffled_to_drop_rows(spark, tmp_path):
+    """Copies and their ids leave without an exchange of the texts, by either way with the same rows."""
+    rows = [(1, "the same words in a row here"), (2, "the same words in a row here"), (3, "quite another text with other words"), (4, None), (4, "b second of two rows"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id <> 4"), "")
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    by_broadcast = sorted(map(str, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    sent, corpus_pipeline.SENT = corpus_pipeline.SENT, -1
+    try:
+        by_exchange = sorted(map(str, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    finally:
+        corpus_pipeline.SENT = sent
+    assert by_broadcast == by_exchange and len(by_broadcast) == 4
