@@ -47,9 +47,22 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(maxsize=None)
+def _matcher(target: str) -> SequenceMatcher:
+    """What a matcher has to know of a target, learnt once."""
+    return SequenceMatcher(None, "", target)
+
+
+def at_least(word: str, target: str, threshold: float) -> bool:
+    """ratio(word, target) >= threshold; its cheap upper bounds come first."""
+    m = _matcher(target)
+    m.set_seq1(word)
+    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+
 @lru_cache(maxsize=CACHE)
 def _like(word: str, targets: tuple, base: float, short: float, short_len: int) -> bool:
-    return any(ratio(word, t) >= (max(base, short) if len(t) <= short_len else base) for t in targets)
+    return any(at_least(word, t, max(base, short) if len(t) <= short_len else base) for t in targets)
 
 
 def _folded(words: list[str]) -> tuple:
@@ -136,7 +149,7 @@ def role_scores(c: Column) -> Column:
 @lru_cache(maxsize=CACHE)
 def _header_name(text: str, threshold: float) -> tuple:
     base = "".join(ch for ch in text.upper() if "A" <= ch <= "Z")
-    return (bool(base) and any(ratio(base, w) >= threshold for w in HEADER_NAMES),)
+    return (bool(base) and any(at_least(base, w, threshold) for w in HEADER_NAMES),)
 
 
 def looks_like_header_word(c: Column, threshold: float = 0.74) -> Column:

@@ -181,3 +181,19 @@ def test_column_roles_follow_the_scores_of_their_words(spark):
             want.append((page, c.column, role, layout))
     got = [(r.page_id, r.column, r.role, r.layout) for r in queries["l16_roles_of_scored_columns"](spark, SMALL).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[2] for r in got}) > 3
+
+
+def test_first_lines_of_a_page_come_from_its_top(spark):
+    """Line numbers of the top strips are those of the whole page, and only they are read."""
+    from drawbom.operators import layout as ly
+    rows = [(p, i, f"t{i}", 90 * (i % 12), 20 * (i // 12) + (p + i) % 5, 90 * (i % 12) + 40, 20 * (i // 12) + (p + i) % 5 + 14) for p in (1, 2) for i in range(240)]
+    tokens = spark.createDataFrame(rows, "page_id long, pos int, text string, x1 long, y1 long, x2 long, y2 long")
+    top = ly.top_of_pages(tokens, 3)
+    lines = lambda df: {(r.page_id, r.pos): r.line_no for r in ly.assign_lines(df).filter("line_no <= 3").collect()}
+    assert top.count() == 72 and lines(top) == lines(tokens)
+
+
+def test_main_mode_across_two_tokens(spark):
+    rows = [(1, 0, "MAIN", 0, 0), (1, 1, "LUGS", 50, 0), (2, 0, "MAIN", 0, 0), (2, 1, "x", 50, 0), (2, 2, "LUGS", 90, 0), (3, 0, "MCB", 0, 0), (4, 0, "MAIN BREAKER", 0, 0), (4, 1, "MLO", 9, 9)]
+    tokens = spark.createDataFrame(rows, "page_id long, pos int, text string, x1 long, y1 long")
+    assert {r.page_id: r.mode for r in kv.main_mode(tokens).collect()} == {1: "MLO", 2: None, 3: "MCB", 4: None}
