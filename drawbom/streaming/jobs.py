@@ -80,43 +80,15 @@ def stream_overdue_events(events: DataFrame, timeout_ms: int = 900_000, lateness
     """A row per unfinished event that nothing followed within the watchdog time, as the batch
     `stuck_jobs` gives; a job that ended late is reported too.
 
-    Events of a job are held until the watermark has passed them, so that they are judged
-    in the order of their times however they arrive; then only the last one is remembered,
-    and forgotten once it is an end or has been reported. An event-time timer fires at the
-    next held event or deadline.
+    Events of a job that follow each other within the watchdog time form one session; of a
+    session only the last event can be overdue, and it is once the watermark has passed the
+    session. The session is a microsecond longer than the watchdog time, as an event that
+    follows just at its end is in time. State holds open sessions, and no Python runs.
     """
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = None, []
-        if state.exists:
-            ms, event_id, name, times, ids, names = state.get
-            last, held = (ms, event_id, name) if ms is not None else None, list(zip(times, ids, names))
-        if not state.hasTimedOut:
-            for batch in batches:
-                held += zip(batch["ts_ms"].tolist(), batch["event_id"].tolist(), batch["state"].tolist())
-        held.sort(key=lambda e: e[:2])
-        passed, stuck = state.getCurrentWatermarkMs(), []
-        settled = sum(e[0] < passed for e in held)
-        for event in held[:settled]:
-            if last and event[0] - last[0] > timeout_ms:
-                stuck.append(last)
-            last = None if event[2] in TERMINAL else event
-        held = held[settled:]
-        if last and passed > last[0] + timeout_ms:
-            stuck.append(last)
-            last = None
-        if last or held:
-            state.update((*(last or (None, None, None)), *[[e[i] for e in held] for i in range(3)]))
-            state.setTimeoutTimestamp(max(min([e[0] for e in held[:1]] + ([last[0] + timeout_ms] if last else [])), passed + 1))
-        elif state.exists:
-            state.remove()
-        if stuck:
-            yield pd.DataFrame([(key[0], i, name, ms + timeout_ms) for ms, i, name in stuck], columns=["job_id", "event_id", "state", "timeout_at_ms"])
-
-    timed = events.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    return timed.groupBy("job_id").applyInPandasWithState(
-        watch, "job_id long, event_id long, state string, timeout_at_ms long",
-        "ms long, event_id long, state string, times array<long>, ids array<long>, names array<string>",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    last = F.max_by(F.struct("event_id", "state"), F.struct("ts", "event_id"))
+    sessions = events.withWatermark("ts", lateness).groupBy("job_id", F.session_window("ts", f"{timeout_ms} milliseconds 1 microsecond"))
+    ended = sessions.agg(last.alias("s"), F.max("ts").alias("ts"))
+    return ended.filter(~F.col("s.state").isin(*TERMINAL)).select("job_id", "s.event_id", "s.state", (F.unix_millis("ts") + timeout_ms).alias("timeout_at_ms"))
 
 
 def in_slices(events: DataFrame, count: int = 4) -> Iterator[DataFrame]:
