@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 # Fixed values -------------------------------------------------------------
 SHEET_E = r"^E[A-Z\-]{0,5}.*\d.*\d"
 SHEET_OTHER = r"^(?:P|M|C|A|F|S|X)[A-Z\-]{0,5}.*\d.*\d"
+SHEET_MAYBE = r"^[ _.]*[EPMCAFSX][^0-9]*[0-9]"
 HEADER_WORDS = ["CKT", "CCT", "TRIP", "POLES", "AMP", "AMPS", "BREAKER", "BKR", "SIZE",
                 "DESCRIPTION", "DESIGNATION", "NAME", "LOADDESCRIPTION", "CIRCUITDESCRIPTION"]
 HEADER_TYPOS = {
@@ -52,8 +53,11 @@ def repair_sheet_token(c: Column) -> Column:
 
 
 def sheet_class(c: Column) -> Column:
+    """Only texts that have a digit and begin with a letter of some class are repaired; a
+    repair makes digits beside digits alone, and never such a letter."""
     s = F.regexp_replace(repair_sheet_token(c), "-$", "")
-    return F.when(s.rlike(SHEET_E), "E").when(s.rlike(SHEET_OTHER), "nonE").otherwise("none")
+    classes = let(s, lambda t: F.when(t.rlike(SHEET_E), "E").when(t.rlike(SHEET_OTHER), "nonE").otherwise("none"))
+    return F.when(_upper(c).rlike(SHEET_MAYBE), classes).otherwise("none")
 
 
 def clean_text(c: Column) -> Column:

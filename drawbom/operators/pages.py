@@ -7,10 +7,12 @@ shuffle; page text is only ever assembled in bounded chunks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from drawbom.functions.text import alnum_tokens, clean_text, sheet_class
-from drawbom.operators.spread import any_of, running
+from drawbom.functions.text import alnum_tokens, clean_text, let, sheet_class
+from drawbom.operators.spread import along, any_of, held
 
 # Fixed values -------------------------------------------------------------
 LABEL_PATTERNS = [
@@ -73,97 +75,104 @@ def page_pass_a(tokens: DataFrame, pages: DataFrame | None = None, min_non_e_con
 
 
 def page_chunks(tokens: DataFrame, size: int = 256, tail: int = 16) -> DataFrame:
-    """Page text in chunks of `size` words, each with the first `tail` words of
+    """Page text in chunks of `size` positions, each with the first `tail` words of
     the next chunk, so that a phrase across the cut is seen once whole.
 
-    Tokens of nothing but dashes and blanks only separate words: they stay with
-    the word before them and are not counted, as a phrase may hold any number.
+    Tokens of nothing but dashes and blanks only separate words and are not counted, as a
+    phrase may hold any number: a chunk of fewer than `tail` words is joined to the one
+    before it. Only chunks are ordered, never the tokens of a page.
     """
-    word = F.when(F.col("text").rlike(r"[^\s\-]"), 1).otherwise(0).cast("long")
-    rows = running(tokens.select("page_id", "pos", "text"), ["page_id"], [F.col("pos")], {"n": ("sum", word, True)}).withColumn("n", F.greatest(F.col("n") - 1, F.lit(0)))
-    chunk, at = F.floor(F.col("n") / size), F.col("n") % size
-    copies = rows.select("page_id", "n", "pos", "text", F.explode(
-        F.when((at < tail) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))).alias("chunk"))
-    spilled = F.floor(F.col("n") / size) != F.col("chunk")
-    words = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    spill = F.sort_array(F.collect_list(F.when(spilled, F.struct("pos", "text"))))
-    joined = lambda ws: clean_text(F.array_join(F.transform(ws, lambda w: w["text"]), " "))
-    return copies.groupBy("page_id", "chunk").agg(joined(words).alias("text"), joined(spill).alias("spill"))
+    word = F.coalesce(F.col("text").rlike(r"[^\s\-—–]"), F.lit(False))
+    lists = tokens.groupBy("page_id", F.floor(F.col("pos") / size).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "text", word.alias("word")))).alias("ws"))
+    at = F.filter(F.transform("ws", lambda w, i: F.when(w["word"], i + 1)), lambda i: i.isNotNull())
+    joined = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
+    head = F.slice("ws", F.lit(1), F.coalesce(F.get("at", F.lit(tail - 1)), F.size("ws")))
+    blocks = held(lists.withColumn("at", at).select("page_id", "block", F.size("at").alias("words"), joined(F.col("ws")).alias("text"), joined(head).alias("head")))
+
+    def starts(rows: DataFrame, run) -> DataFrame:
+        first = run(rows, {"_before": ("sum", F.lit(1).cast("long"), False)})
+        return first.withColumn("_s", F.when((F.col("_before") == 0) | (F.col("words") >= tail), 1).otherwise(0).cast("long"))
+    cut = along(blocks, ["page_id"], [F.col("block")], starts, lambda rows, run: run(
+        rows, {"chunk": ("sum", F.col("_s"), True), "spill": ("next", F.when(F.col("_s") == 1, F.col("head")), False)}))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), " ")
+    chunks = cut.groupBy("page_id", "chunk").agg(own.alias("text"), F.max("spill").alias("spill"))
+    return chunks.select("page_id", "chunk", clean_text(F.concat_ws(" ", "text", "spill")).alias("text"), clean_text(F.coalesce("spill", F.lit(""))).alias("spill"))
 
 
 def match_label_buckets(tokens: DataFrame, patterns=LABEL_PATTERNS) -> DataFrame:
     """Hits per page, bucket, pattern and matched phrase; overlapping patterns
     of one bucket all count."""
     def hits(i: int, bucket: str, pattern: str) -> Column:
-        rx = F.lit("(?i)" + pattern)
-        found = F.regexp_extract_all("text", rx, F.lit(0))
-        late = F.size(F.regexp_extract_all("spill", rx, F.lit(0)))
-        own = F.slice(found, F.lit(1), F.greatest(F.size(found) - late, F.lit(0)))
-        return F.transform(own, lambda m: F.struct(F.lit(bucket).alias("bucket"), F.lit(i).alias("ord"),
-                                                   F.lower(m).alias("phrase")))
-
-    every = F.concat(*[hits(i, b, p) for i, (b, p) in enumerate(patterns)])
+        # the letter that a pattern begins with is looked for before the edge of a word, which costs more
+        first = re.match(r"\\b([A-Za-z0-9])(?![?*{|])", pattern)
+        rx = F.lit("(?i)" + (f"(?={first[1]})" if first and "|" not in re.sub(r"\([^()]*\)", "", pattern) else "") + pattern)
+        late = F.when(F.col("spill") == "", 0).otherwise(F.size(F.regexp_extract_all("spill", rx, F.lit(0))))
+        return let(F.regexp_extract_all("text", rx, F.lit(0)), lambda found: F.when(F.size(found) > 0, F.transform(
+            F.slice(found, F.lit(1), F.greatest(F.size(found) - late, F.lit(0))),
+            lambda m: F.struct(F.lit(bucket).alias("bucket"), F.lit(i).alias("ord"), F.lower(m).alias("phrase")))))
+
+    every = F.flatten(F.array_compact(F.array(*[hits(i, b, p) for i, (b, p) in enumerate(patterns)])))
     return (page_chunks(tokens).select("page_id", F.explode(every).alias("h"))
             .groupBy("page_id", "h.bucket", "h.ord", "h.phrase").agg(F.count("*").alias("hits")))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
+
+
 def match_confidence(tokens: DataFrame, matches: DataFrame) -> DataFrame:
     """Mean confidence of the tokens that have a word inside a matched phrase.
 
-    Phrases of a page come from a closed pattern list, so their set is small;
-    tokens stay where they are and meet the set by page.
+    A word has no blanks, so it lies in a phrase only if it lies in one of the phrase's own
+    words, of which a pattern list gives few. Texts without such a word are left out before
+    tokens are summed up per page and text, and only these sums meet the phrases of a page.
     """
-    phrases = matches.select("page_id", "phrase").distinct()
-    sets = phrases.groupBy("page_id").agg(F.collect_set("phrase").alias("phrases"))
-    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: w != "")
+    phrases = held(matches.select("page_id", "phrase").distinct())
+    pieces = held(phrases.select(F.explode(F.split("phrase", r"\s+")).alias("piece")).distinct())
+    texts = tokens.select("text").distinct().select("text", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    near_texts = held(texts.join(pieces, F.contains("piece", "word")).select("text").distinct())
     scaled = F.when(F.col("conf").between(0, 1), F.col("conf")).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") / 100)))
-    near = (tokens.select("page_id", words.alias("words"), scaled.cast("decimal(12,6)").alias("c"))
-            .join(sets, "page_id")
-            .select("page_id", "c", F.explode(F.filter(
+    sums = (tokens.select("page_id", "text", scaled.cast("decimal(12,6)").alias("c")).join(near_texts, "text", "left_semi")
+            .groupBy("page_id", "text").agg(F.sum("c").alias("c"), F.count("*").alias("n")))
+    sets = phrases.groupBy("page_id").agg(F.collect_set("phrase").alias("phrases"))
+    near = (sums.join(sets, "page_id").withColumn("words", _words(F.col("text")))
+            .select("page_id", "c", "n", F.explode(F.filter(
                 "phrases", lambda p: F.exists("words", lambda w: F.contains(p, w)))).alias("phrase"))
-            .groupBy("page_id", "phrase").agg((F.sum("c").cast("double") / F.count("*")).alias("conf")))
+            .groupBy("page_id", "phrase").agg((F.sum("c").cast("double") / F.sum("n")).alias("conf")))
     return (phrases.join(near, ["page_id", "phrase"], "left")
             .select("page_id", "phrase", F.coalesce("conf", F.lit(0.9)).alias("conf")))
 
 
-def page_confidences(tokens: DataFrame, matches: DataFrame) -> DataFrame:
-    """`page_id, matches, confs` with the confidence of each matched phrase that has
-    tokens near it. The phrases of a page come from a closed pattern list, so the
-    matches travel with the tokens and are not computed again."""
-    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: w != "")
-    scaled = F.when(F.col("conf").between(0, 1), F.col("conf")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") / 100)))
-    phrases = F.array_distinct(F.transform("matches", lambda m: m["phrase"]))
-    near = F.filter(phrases, lambda p: F.exists("words", lambda w: F.contains(p, w)))
-    rows = tokens.select("page_id", words.alias("words"), scaled.cast("decimal(12,6)").alias("c")).join(matches, "page_id")
-    sums = rows.select("page_id", "matches", "c", F.explode_outer(near).alias("phrase")).groupBy("page_id", "phrase").agg(
-        F.any_value("matches").alias("matches"), (F.sum("c").cast("double") / F.count("*")).alias("conf"))
-    pair = F.when(F.col("phrase").isNotNull(), F.struct("phrase", "conf"))
-    return sums.groupBy("page_id").agg(F.any_value("matches").alias("matches"), F.map_from_entries(F.collect_list(pair)).alias("confs"))
-
-
 def fuzzy_vocab_hit(tokens: DataFrame, vocab=FUZZY_VOCAB) -> DataFrame:
-    """Per page, whether some word is within the edit distance of each target."""
+    """Per page, whether some word is within the edit distance of each target.
+
+    Each distinct text is compared once; tokens meet the few that are close to a target.
+    """
     def close(target: str, dist: int) -> Column:
         d = F.when(F.abs(F.length("word") - len(target)) <= dist,
                    F.levenshtein(F.col("word"), F.lit(target), dist) if dist else
                    F.when(F.col("word") == target, 0))
         return F.coalesce(d.between(0, dist), F.lit(False))
 
-    words = tokens.select("page_id", F.explode(alnum_tokens(F.col("text"))).alias("word")).distinct()
-    return words.groupBy("page_id").agg(*[F.bool_or(close(t, d)).alias(f"like_{t}") for t, d in vocab])
+    likes = [f"like_{t}" for t, _ in vocab]
+    texts = tokens.select("text").distinct().select("text", F.explode(alnum_tokens(F.col("text"))).alias("word"))
+    words = texts.select("text", *[close(t, d).alias(n) for n, (t, d) in zip(likes, vocab)]).filter(any_of([F.col(n) for n in likes]))
+    near = held(words.groupBy("text").agg(*[F.bool_or(n).alias(n) for n in likes]))
+    spoken = tokens.filter(F.lower("text").rlike("[a-z0-9]")).select("page_id", "text")
+    return spoken.join(near, "text", "left").groupBy("page_id").agg(*[F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in likes])
 
 
 def score_page_labels(tokens: DataFrame) -> DataFrame:
     """Score and sorted tags per page."""
-    matches = match_label_buckets(tokens).groupBy("page_id").agg(F.collect_list(F.struct("bucket", "phrase", "hits")).alias("matches"))
+    matches = held(match_label_buckets(tokens))
+    rated = matches.join(match_confidence(tokens, matches), ["page_id", "phrase"])
     weights = F.create_map(*[F.lit(x) for kv in BUCKET_WEIGHTS.items() for x in kv])
 
-    def term(m: Column) -> Column:
-        weight = weights[m["bucket"]] + F.when(F.contains(m["phrase"], F.lit("schedules")), PLURAL_BONUS).otherwise(0.0)
-        return F.round(weight * F.coalesce(F.try_element_at("confs", m["phrase"]), F.lit(0.9)) * CONF_MULT * m["hits"], 9).cast("decimal(18,9)")
-    base = F.aggregate("matches", F.lit(0).cast("decimal(28,9)"), lambda acc, m: (acc + term(m)).cast("decimal(28,9)"))
-    by_page = page_confidences(tokens, matches).select("page_id", base.alias("base"), F.array_distinct(F.transform("matches", lambda m: m["bucket"])).alias("found"))
+    weight = weights[F.col("bucket")] + F.when(F.contains("phrase", F.lit("schedules")), PLURAL_BONUS).otherwise(0.0)
+    term = F.round(weight * F.col("conf") * CONF_MULT * F.col("hits"), 9).cast("decimal(18,9)")
+    by_page = rated.groupBy("page_id").agg(F.sum(term).alias("base"), F.collect_set("bucket").alias("found"))
     like = lambda *ts: any_of([F.col(f"like_{t}") for t in ts])
     found = lambda b: F.array_contains("found", b)
     sched = like("schedule", "schedules")

@@ -29,3 +29,36 @@ def test_overdue_events_stream_without_python(spark, tmp_path):
     events.write.parquet(str(tmp_path / "e"))
     plan = st.stream_overdue_events(st.read_events(spark, str(tmp_path / "e")))._jdf.queryExecution().analyzed().toString()
     assert "Pandas" not in plan
+
+
+TOKENS = "pdf_id long, page_id long, pos long, text string, conf double, x1 long, y1 long, x2 long, y2 long"
+
+
+def test_phrases_by_chunks_equal_phrases_of_whole_pages(spark):
+    """Runs of dashes longer than a chunk, cuts everywhere. Before, all tokens were ordered and copied around each cut."""
+    rnd = random.Random(8)
+    words = ["panel", "schedule", "one", "line", "riser", "diagram", "single-line", "-", "- -", "x", None]
+    pages = {1: ["riser"] * 3 + ["-"] * 700 + ["diagram"], 2: ["-"] * 300 + ["panel"] + ["-"] * 300 + ["schedules"], 3: [rnd.choice(words) for _ in range(1500)],
+             4: ["line"], 5: ["panel"] * 255 + ["single", "line", "diagram"] + ["x"] * 20}
+    tokens = spark.createDataFrame([(1, p, i, w, 0.5, 0, 0, 8, 14) for p, ws in pages.items() for i, w in enumerate(ws)], TOKENS)
+    want = {}
+    for p, ws in pages.items():
+        text = re.sub(r"\s+", " ", " ".join(w for w in ws if w is not None)).strip()
+        for i, (b, pattern) in enumerate(pg.LABEL_PATTERNS):
+            for m in re.findall(pattern, text, re.I):
+                want[p, b, i, m.lower()] = want.get((p, b, i, m.lower()), 0) + 1
+    got = pg.match_label_buckets(tokens)
+    assert {tuple(r)[:4]: r.hits for r in got.collect()} == want
+    assert "Generate" not in optimized(pg.page_chunks(tokens))
+
+
+def test_confidence_and_likeness_of_distinct_texts(spark):
+    """Before, every token met the phrases of its page, and every word of it all targets."""
+    rows = [(1, 1, 0, "Panel", 0.5), (1, 1, 1, "schedule", 0.7), (1, 1, 2, "the AN", 0.9), (1, 1, 3, "zzz", 0.1), (1, 1, 4, "an", 80.0), (1, 2, 0, "zzz", 0.3), (1, 3, 0, "--", 0.3), (1, 4, 0, None, 0.3)]
+    tokens = spark.createDataFrame([(*r, 0, 0, 8, 14) for r in rows], TOKENS)
+    matches = spark.createDataFrame([(1, "panel schedule"), (2, "riser")], "page_id long, phrase string")
+    got = {(r.page_id, r.phrase): r.conf for r in pg.match_confidence(tokens, matches).collect()}
+    assert got == {(1, "panel schedule"): 2.9 / 4, (2, "riser"): 0.9}
+    near = pg.fuzzy_vocab_hit(tokens)
+    assert {r.page_id: (r.like_panel, r.like_schedule, r.like_riser) for r in near.collect()} == {1: (True, True, False), 2: (False, False, False)}
+    assert "levenshtein" not in optimized(near) and "Generate" not in optimized(near)
