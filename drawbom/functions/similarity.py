@@ -88,6 +88,11 @@ def best_role_scores(label: str) -> tuple:
     return tuple(max(ratio(a, norm_label(v)) for v in words) for words in ROLE_VOCAB.values())
 
 
+@lru_cache(maxsize=CACHE)
+def _folded_ratio(a: str, b: str) -> float:
+    return ratio(fold(a), fold(b))
+
+
 @lru_cache(maxsize=None)
 def _matchers(vocab: tuple) -> list:
     return [SequenceMatcher(None, "", fold(v)) for v in vocab]
@@ -116,9 +121,9 @@ def similarity(a: Column, b: Column) -> Column:
     """Similarity of two texts after folding look-alike characters."""
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        pairs = pd.DataFrame({"x": x.fillna(""), "y": y.fillna("")})
-        codes, uniques = pd.factorize(pd.Series(list(zip(pairs.x, pairs.y)), dtype=object))
-        table = pd.Series([ratio(fold(p), fold(q)) for p, q in uniques], dtype=float)
+        (left, ps), (right, qs) = pd.factorize(x.fillna("")), pd.factorize(y.fillna(""))
+        codes, pairs = pd.factorize(left.astype("int64") * max(len(qs), 1) + right)
+        table = pd.Series([_folded_ratio(ps[k // len(qs)], qs[k % len(qs)]) for k in pairs.tolist()], dtype=float)
         return table.iloc[codes].reset_index(drop=True)
     return score(a, b)
 
