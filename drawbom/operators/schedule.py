@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drawbom.operators.folds import keep_apart
-from drawbom.operators.spread import first_per
+from drawbom.operators.spread import first_per, held
 
 # Voting weights and margins.
 WEIGHTS = {"ocr": 2.0, "template": 1.25, "ink": 1.25}
@@ -17,15 +17,16 @@ def trip_values(dets: DataFrame, keys: list[str], min_dy: int = 10, flat_ratio:
 
     Detections without digits and flat boxes are ignored; of detections closer
     than `min_dy` to the last kept one only the first stays; the longest digit
-    run of a text is its value. Needs `ord, text, x1, y1, x2, y2`.
+    run of a text is its value. Needs `ord, text, x1, y1, x2, y2`. The first detection of
+    each position is found once and written; positions are thinned from these.
     """
     runs = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
     w, h = F.col("x2") - F.col("x1") + 1, F.col("y2") - F.col("y1") + 1
     flat = (h <= 2) & (w >= flat_ratio * h)
     longest = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
-    rows = dets.filter((F.size(runs) > 0) & ~flat).withColumns({"value": longest, "y2x": F.col("y1") + F.col("y2")})
-    kept = keep_apart(rows, keys, "y2x", 2 * min_dy)
-    firsts = first_per(rows, [*keys, "y2x"], [F.col("ord")])
+    rows = dets.filter(F.col("text").rlike("[0-9]") & ~flat).select(*keys, "ord", "text", (F.col("y1") + F.col("y2")).alias("y2x"))
+    firsts = held(first_per(rows, [*keys, "y2x"], [F.col("ord")]).withColumn("value", longest))
+    kept = keep_apart(firsts, keys, "y2x", 2 * min_dy)
     return firsts.join(kept, [*keys, "y2x"], "left_semi").select(*keys, "ord", "y2x", "value")
 
 
