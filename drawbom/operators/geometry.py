@@ -69,14 +69,14 @@ def iou_pairs(boxes: DataFrame, min_iou: float = 0.0, tile: int = TILE_PX) -> Da
                          F.col("b_copies").alias("copies_b"), iou(box("a_"), box("b_")).alias("iou")).filter(F.col("iou") > min_iou))
 
 
-def box_islands(boxes: DataFrame) -> DataFrame:
+def box_islands(boxes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Groups of boxes separated by an empty horizontal strip of the page."""
     order = [F.col("y1"), F.col("box_id")]
 
     def starts(rows: DataFrame, run) -> DataFrame:
         below = run(rows, {"_top": ("max", F.col("y2"), False)})
         return below.withColumn("_s", F.when(F.col("_top").isNull() | (F.col("y1") >= F.col("_top")), 1).otherwise(0).cast("long"))
-    return along(boxes, ["page_id"], order, starts, lambda rows, run: run(rows, {"island": ("sum", F.col("_s"), True)})).drop("_top", "_s")
+    return along(boxes, ["page_id"], order, starts, lambda rows, run: run(rows, {"island": ("sum", F.col("_s"), True)}), sizes=sizes).drop("_top", "_s")
 
 
 def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
@@ -86,7 +86,7 @@ def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
     Copies are merged and pages cut into islands of overlapping boxes, so the
     fold only ever sees boxes that could suppress each other.
     """
-    cut = box_islands(distinct_boxes(boxes))
+    cut = box_islands(distinct_boxes(boxes), sizes=boxes)
     item = F.struct((-area()).alias("a"), "box_id", "x1", "y1", "x2", "y2")
     folded = cut.groupBy("page_id", "island").agg(F.array_sort(F.collect_list(item)).alias("bs"))
 
@@ -96,7 +96,7 @@ def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
     empty = F.slice("bs", 1, 0)
     kept = folded.select("page_id", F.explode(F.aggregate("bs", empty, step)).alias("b"))
     rows = kept.select("page_id", "b.box_id", "b.x1", "b.y1", "b.x2", "b.y2")
-    return numbered(rows, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], "seq")
+    return numbered(rows, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], "seq", sizes=boxes)
 
 
 def to_page_fraction(boxes: DataFrame, pages: DataFrame, pad: int = 6) -> DataFrame:
