@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from drawbom.operators import jobs as jb, pages as pg
+from drawbom.functions import similarity as sim
+from drawbom.operators import geometry as ge, jobs as jb, layout as ly, pages as pg, schedule as sc, spread as sp
 from drawbom.streaming import jobs as st
 
 from test_files_and_streams import T0, event
@@ -62,3 +63,47 @@ def test_confidence_and_likeness_of_distinct_texts(spark):
     near = pg.fuzzy_vocab_hit(tokens)
     assert {r.page_id: (r.like_panel, r.like_schedule, r.like_riser) for r in near.collect()} == {1: (True, True, False), 2: (False, False, False)}
     assert "levenshtein" not in optimized(near) and "Generate" not in optimized(near)
+
+
+BOXED = "page_id long, pos long, text string, conf double, x1 long, y1 long, x2 long, y2 long"
+
+
+def test_adjacent_readings_are_shuffled_once(spark):
+    """Before, the kept positions were joined to all candidates again."""
+    rows = [(1, 0, "A", 0.5, 0, 0, 10, 9), (1, 1, "A", 0.6, 4, 0, 14, 9), (1, 2, "B", 0.9, 20, 0, 30, 9), (1, 3, "A", 0.1, 40, 0, 50, 9), (1, 4, "A", 0.9, 100, 0, 110, 9), (2, 0, None, 0.1, 0, 0, 5, 9)]
+    out = ly.dedup_adjacent(spark.createDataFrame(rows, BOXED), ["page_id"])
+    assert sorted(tuple(r)[:2] for r in out.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
+    assert out.columns == [c.split()[0] for c in BOXED.split(", ")] and "Join" not in optimized(out)
+
+
+def test_circuit_labels_by_one_pattern(spark):
+    """Before, every text was rewritten three times to be compared."""
+    rnd = random.Random(2)
+    texts = ["CKT", "ckt.", "C1KT", "CCT 2", "CCKT", "A CKT", "C-K T", "CKT\n", "K", "", *("".join(rnd.choice("CKT1a .2") for _ in range(rnd.randrange(7))) for _ in range(300))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.upper("t").rlike(ly.CKT_ALONE).alias("a"), F.upper("t").rlike(ly.CKT_WITHIN).alias("w")).collect()
+    word = lambda t: re.sub("[^A-Z]", "", t.upper().replace("1", "I"))
+    assert all(r.a == (word(r.t) in ("CCT", "CKT")) and r.w == ("CCT" in word(r.t) or "CKT" in word(r.t)) for r in got)
+
+
+def test_numbers_of_a_column_are_read_once(spark):
+    """Before, the digit runs of all texts were read for sizes, positions and values each."""
+    rows = [(1, 0, "20A", 0, 0, 9, 9), (1, 1, "x 5/100", 0, 0, 9, 9), (1, 2, "30", 0, 5, 9, 14), (1, 3, "7 15", 0, 30, 9, 39), (1, 4, "no", 0, 60, 9, 69)]
+    out = sc.trip_values(spark.createDataFrame(rows, "page_id long, ord long, text string, x1 long, y1 long, x2 long, y2 long"), ["page_id"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 9, "20"), (1, 3, 69, "15")]
+    assert "regexp_extract_all" not in optimized(out)
+
+
+def test_likeness_of_a_pair_is_kept_from_batch_to_batch():
+    """Before, each batch compared its pairs again."""
+    before = sim._folded_ratio.cache_info().hits
+    assert sim._folded_ratio("TR1P", "TRIP") == sim._folded_ratio("TR1P", "TRIP") == 1.0
+    assert sim._folded_ratio.cache_info().hits > before
+
+
+def test_suppression_counts_rows_of_its_input(spark, monkeypatch):
+    """Before, the size of keys was taken from the folded boxes, which ran the fold twice."""
+    boxes = spark.createDataFrame([(1, i, 10 * i, 0, 10 * i + 15, 9) for i in range(5)], "page_id long, box_id long, x1 long, y1 long, x2 long, y2 long")
+    seen, real = [], sp.by_size
+    monkeypatch.setattr(sp, "by_size", lambda df, keys, small, large, sizes=None: seen.append(sizes) or real(df, keys, small, large, sizes))
+    assert ge.nms_keep_larger(boxes).count() == 5
+    assert len(seen) == 2 and all(s is boxes for s in seen)
