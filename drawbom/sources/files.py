@@ -36,8 +36,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Ruled lines as JSON, one folder per PDF."""
-    lines.write.mode("overwrite").partitionBy("pdf_id").json(path)
+    """Ruled lines as JSON, one folder per PDF. Lines of a PDF are brought together first, else
+    every task would open a file in every folder; a very large PDF still takes several tasks."""
+    lines.hint("rebalance", "pdf_id").write.mode("overwrite").partitionBy("pdf_id").json(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

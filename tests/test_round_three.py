@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from drawbom.functions import similarity as sim
 from drawbom.operators import geometry as ge, jobs as jb, layout as ly, pages as pg, schedule as sc, spread as sp
+from drawbom.sources import files as fl
 from drawbom.streaming import jobs as st
 
 from test_files_and_streams import T0, event
@@ -107,3 +108,11 @@ def test_suppression_counts_rows_of_its_input(spark, monkeypatch):
     monkeypatch.setattr(sp, "by_size", lambda df, keys, small, large, sizes=None: seen.append(sizes) or real(df, keys, small, large, sizes))
     assert ge.nms_keep_larger(boxes).count() == 5
     assert len(seen) == 2 and all(s is boxes for s in seen)
+
+
+def test_a_folder_of_lines_has_few_files(spark, tmp_path):
+    """Before, each of the eight tasks opened a file in each folder."""
+    lines = spark.range(0, 800, 1, 8).selectExpr("id % 5 AS pdf_id", "id AS page_id", "id AS line_no", "id AS y_center", "id AS x_left", "id AS x_right", "id AS thickness")
+    fl.write_lines(lines, str(tmp_path / "l"))
+    assert len(list((tmp_path / "l").rglob("*.json"))) == 5
+    assert fl.read_lines(spark, str(tmp_path / "l")).select(*lines.columns).exceptAll(lines).count() == 0 and fl.read_lines(spark, str(tmp_path / "l")).count() == 800
