@@ -25,22 +25,40 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
-def plausible_boxes(boxes: DataFrame, pages: DataFrame, min_area_fr: float = 0.004, min_side: int = 90, max_fr: float = 0.95,
-                    max_area_fr: float = 0.30, border: int = 4, fr_range=(0.10, 0.60)) -> DataFrame:
-    """Boxes of table size that do not touch the page border."""
+def with_page_size(boxes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Boxes with the `width` and `height` of their page; without `pages` they have them already."""
+    return boxes if pages is None else boxes.join(pages.select("page_id", "width", "height"), "page_id")
+
+
+def void_like(min_area_fr: float = 0.004, min_side: int = 90, max_fr: float = 0.95, max_area_fr: float = 0.30, border: int = 4,
+              fr_range=(0.10, 0.60)) -> Column:
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     rel, wf, hf = w * h / (F.col("width") * F.col("height")), w / F.col("width"), h / F.col("height")
-    ok = ((rel >= min_area_fr) & (rel < max_area_fr) & (w >= min_side) & (h >= min_side) & (wf < max_fr) & (hf < max_fr)
-          & (F.col("x1") > border) & (F.col("y1") > border) & (F.col("x2") < F.col("width") - border) & (F.col("y2") < F.col("height") - border)
-          & wf.between(*fr_range) & hf.between(*fr_range))
-    return boxes.join(pages.select("page_id", "width", "height"), "page_id").filter(ok).select(*boxes.columns)
+    return ((rel >= min_area_fr) & (rel < max_area_fr) & (w >= min_side) & (h >= min_side) & (wf < max_fr) & (hf < max_fr)
+            & (F.col("x1") > border) & (F.col("y1") > border) & (F.col("x2") < F.col("width") - border) & (F.col("y2") < F.col("height") - border)
+            & wf.between(*fr_range) & hf.between(*fr_range))
 
 
-def plausible_table_boxes(boxes: DataFrame, pages: DataFrame, rel_range=(0.02, 0.75), aspect=(0.4, 3.0), min_side: int = 80) -> DataFrame:
+def table_like(rel_range=(0.02, 0.75), aspect=(0.4, 3.0), min_side: int = 80) -> Column:
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     rel = w * h / (F.col("width") * F.col("height"))
-    ok = (w >= min_side) & (h >= min_side) & rel.between(*rel_range) & (w / h).between(*aspect)
-    return boxes.join(pages.select("page_id", "width", "height"), "page_id").filter(ok).select(*boxes.columns)
+    return (w >= min_side) & (h >= min_side) & rel.between(*rel_range) & (w / h).between(*aspect)
+
+
+def plausible_boxes(boxes: DataFrame, pages: DataFrame | None = None, **limits) -> DataFrame:
+    """Boxes of table size that do not touch the page border."""
+    return with_page_size(boxes, pages).filter(void_like(**limits)).select(*boxes.columns)
+
+
+def plausible_table_boxes(boxes: DataFrame, pages: DataFrame | None = None, **limits) -> DataFrame:
+    return with_page_size(boxes, pages).filter(table_like(**limits)).select(*boxes.columns)
+
+
+def plausible_kinds(boxes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """A row per box and `kind` it is plausible as, void or table, in one pass over the boxes."""
+    void, table = F.array(F.lit("void")), F.array(F.lit("table"))
+    kinds = F.when(void_like() & table_like(), F.concat(void, table)).when(void_like(), void).when(table_like(), table)
+    return with_page_size(boxes, pages).select(F.explode(kinds).alias("kind"), *boxes.columns)
 
 
 def distinct_boxes(boxes: DataFrame) -> DataFrame:
@@ -99,11 +117,11 @@ def nms_keep_larger(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
     return numbered(rows, ["page_id"], [F.col("y1"), F.col("x1"), F.col("box_id")], "seq", sizes=boxes)
 
 
-def to_page_fraction(boxes: DataFrame, pages: DataFrame, pad: int = 6) -> DataFrame:
+def to_page_fraction(boxes: DataFrame, pages: DataFrame | None = None, pad: int = 6) -> DataFrame:
     """Padded and clamped boxes as fractions of their page."""
     w, h = F.col("width"), F.col("height")
     lo = lambda c: F.greatest(F.lit(0), F.col(c) - pad)
-    return boxes.join(pages.select("page_id", "width", "height"), "page_id").select(
+    return with_page_size(boxes, pages).select(
         "page_id", "box_id", (lo("x1") / w).alias("fx1"), (lo("y1") / h).alias("fy1"),
         (F.least(w, F.col("x2") + pad) / w).alias("fx2"), (F.least(h, F.col("y2") + pad) / h).alias("fy2"))
 
@@ -274,11 +292,11 @@ def spaces_from_rows(borders: DataFrame, refs: DataFrame) -> DataFrame:
                      F.when(snap, moved).otherwise(F.col("footer")).alias("footer_y"))
 
 
-def filter_peripheral(values: DataFrame, pages: DataFrame, x_frac: float = 0.12, y_frac: float = 0.0) -> DataFrame:
+def filter_peripheral(values: DataFrame, pages: DataFrame | None = None, x_frac: float = 0.12, y_frac: float = 0.0) -> DataFrame:
     """Detections that stay clear of the crop edge."""
     mx, my = F.bround(F.col("width") * x_frac).cast("long"), F.bround(F.col("height") * y_frac).cast("long")
     ok = ((F.col("x1") >= mx) & (F.col("x2") <= F.col("width") - mx) & (F.col("y1") >= my) & (F.col("y2") <= F.col("height") - my))
-    return values.join(pages.select("page_id", "width", "height"), "page_id").filter(ok).select(*values.columns)
+    return with_page_size(values, pages).filter(ok).select(*values.columns)
 
 
 def middle_medians(feats: DataFrame, features: list[str]) -> DataFrame:

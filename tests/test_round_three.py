@@ -4,14 +4,18 @@ import datetime as dt
 import random
 import re
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from drawbom.functions import similarity as sim
 from drawbom.operators import geometry as ge, jobs as jb, layout as ly, pages as pg, schedule as sc, spread as sp
-from drawbom.sources import files as fl
+from drawbom.plans.catalogue import CHECKS, PLANS
+from drawbom.sources import derived as de, files as fl
 from drawbom.streaming import jobs as st
 
 from test_files_and_streams import T0, event
+from test_registered import rows
 
 
 def optimized(df):
@@ -116,3 +120,39 @@ def test_a_folder_of_lines_has_few_files(spark, tmp_path):
     fl.write_lines(lines, str(tmp_path / "l"))
     assert len(list((tmp_path / "l").rglob("*.json"))) == 5
     assert fl.read_lines(spark, str(tmp_path / "l")).select(*lines.columns).exceptAll(lines).count() == 0 and fl.read_lines(spark, str(tmp_path / "l")).count() == 800
+
+
+@pytest.fixture
+def lineitem(spark, tmp_path):
+    """2,000 rows of 300 pages, some of no page."""
+    rnd = random.Random(4)
+    items = [(rnd.choice([None, *range(300)]), rnd.randrange(900), rnd.randrange(90), rnd.randrange(7), float(rnd.randrange(1, 51)), float(i)) for i in range(2000)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(items, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_boxes_are_dealt_by_their_number(spark, lineitem, monkeypatch):
+    """Before, a task sorted as many boxes as the session's partitions left it, so its memory grew with the table."""
+    monkeypatch.setattr(de, "PART", 100, raising=False)
+    parts = de.table(spark, lineitem, "boxes").groupBy(F.spark_partition_id().alias("part"), "page_id").count().collect()
+    assert len({r.part for r in parts}) > 15 and len(parts) == len({r.page_id for r in parts})
+    assert max(sum(r["count"] for r in parts if r.part == p) for p in {r.part for r in parts}) < 300
+
+
+@pytest.mark.parametrize("name", ["g1_plausible_boxes", "g4_to_page_fraction", "g17_filter_peripheral"])
+def test_sizes_of_pages_need_no_join(spark, lineitem, name):
+    """Before, boxes were joined with a table of all pages, for each kind of box anew, and those of no page were lost."""
+    out, db = PLANS[name](spark, lineitem), duckdb.connect()
+    db.cursor().execute(f"create view lineitem as select * from '{lineitem}/lineitem.parquet/*.parquet'").fetchall()
+    assert "Join" not in optimized(out) and optimized(out).count("Window [") == 1
+    assert rows(out.toArrow()) == rows(db.cursor().execute(CHECKS[name]).to_arrow_table())
+
+
+def test_kinds_of_boxes_equal_the_two_filters(spark, lineitem):
+    boxes = de.table(spark, lineitem, "boxes").filter("page_id IS NOT NULL")
+    pages = boxes.select("page_id").distinct().select("page_id", (F.lit(300) + F.col("page_id")).alias("width"), F.lit(420).alias("height"))
+    both = (ge.plausible_boxes(boxes, pages).withColumn("kind", F.lit("void"))
+            .unionByName(ge.plausible_table_boxes(boxes, pages).withColumn("kind", F.lit("table"))))
+    got = ge.plausible_kinds(boxes, pages)
+    assert rows(got.toArrow()) == rows(both.toArrow()) and got.select("kind").distinct().count() == 2
