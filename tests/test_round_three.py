@@ -140,6 +140,11 @@ def test_boxes_are_dealt_by_their_number(spark, lineitem, monkeypatch):
     assert max(sum(r["count"] for r in parts if r.part == p) for p in {r.part for r in parts}) < 300
 
 
+def test_parts_are_few_enough_to_be_written_straight():
+    """Before, more than 200 parts made every writing task sort what it read, in up to 889 MB."""
+    assert [de.parts_of(n, 8) for n in (0, 3_600_000, 36_000_000, 216_000_000, 2_000_000_000)] == [8, 15, 144, 200, 500]
+
+
 @pytest.mark.parametrize("name", ["g1_plausible_boxes", "g4_to_page_fraction", "g17_filter_peripheral"])
 def test_sizes_of_pages_need_no_join(spark, lineitem, name):
     """Before, boxes were joined with a table of all pages, for each kind of box anew, and those of no page were lost."""
