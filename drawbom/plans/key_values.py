@@ -93,8 +93,13 @@ SCORED = AFFINITY + ", " + MODES + rf""", wr AS (SELECT v.page_id, v.pos, v.role
   picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, role ORDER BY rank DESC, y1, x1, pos) AS n FROM scored) z WHERE n = 1 AND rank >= CASE role WHEN 'VOLTAGE' THEN 0.55 WHEN 'NAME' THEN 0.50 ELSE 0.54 END)"""
 
 
-def scored_of(tokens, page_sizes):
-    return kv.score_candidates(kv.value_candidates(tokens, page_sizes), kv.label_candidates(tokens), kv.main_mode(tokens), tokens)
+def scored_of(tokens, page_sizes, only=None):
+    """Scored candidates, if given only those that the condition `only` names: no role depends on another."""
+    cands = kv.value_candidates(tokens, page_sizes)
+    return kv.score_candidates(cands.filter(only) if only else cands, kv.label_candidates(tokens), kv.main_mode(tokens), tokens)
+
+
+AMPS = "role IN ('BUS', 'MAIN')"
 
 
 @query("h5_score_candidates", "tokens page_sizes", "WITH " + SCORED + " SELECT page_id, pos, role, round(rank, 6) AS rank FROM scored")
@@ -125,11 +130,11 @@ UNITS = r"""lbl AS (SELECT page_id, x1, y1, x2, y2, role FROM labels WHERE role
 def h8(tokens, page_sizes):
     cands, labels = kv.value_candidates(tokens, page_sizes), kv.label_candidates(tokens)
     units = cands.filter("role = 'BUS' AND has_unit")
-    near = kv.label_affinity(units.withColumn("role", F.explode(F.array(F.lit("BUS"), F.lit("MAIN")))), labels.filter("role IN ('BUS', 'MAIN')"), sizes=tokens)
+    near = kv.label_affinity(units.withColumn("role", F.explode(F.array(F.lit("BUS"), F.lit("MAIN")))), labels.filter(AMPS), sizes=tokens)
     of = lambda role: F.round(F.max(F.when(F.col("role") == role, F.col("affinity"))), 12)
     near = near.groupBy("page_id", "pos", "x1", "y1").agg(of("BUS").alias("aff_bus"), of("MAIN").alias("aff_main"))
     modes = kv.main_mode(tokens)
-    return kv.assign_bus_main(near, kv.pick_by_role(kv.score_candidates(cands, labels, modes, tokens)), modes)
+    return kv.assign_bus_main(near, kv.pick_by_role(kv.score_candidates(cands.filter(AMPS), labels, modes, tokens)), modes)
 
 
 @query("h9_bus_fallback", "tokens page_sizes", "WITH " + SCORED + rf""", ms AS (SELECT page_id FROM page_sizes WHERE page_id NOT IN (SELECT page_id FROM picks WHERE role = 'BUS')),
@@ -138,7 +143,7 @@ def h8(tokens, page_sizes):
   lo AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, pos) AS k FROM tk WHERE n BETWEEN 60 AND 1200)
   SELECT ms.page_id, coalesce(rk.text, lo.text) AS bus_text FROM ms LEFT JOIN rk ON rk.page_id = ms.page_id AND rk.k = 1 LEFT JOIN lo ON lo.page_id = ms.page_id AND lo.k = 1""")
 def h9(tokens, page_sizes):
-    scored = scored_of(tokens, page_sizes)
+    scored = held(scored_of(tokens, page_sizes, only=AMPS))
     missing = page_sizes.select("page_id").join(kv.pick_by_role(scored).filter("role = 'BUS'").select("page_id"), "page_id", "left_anti")
     return kv.bus_fallback(missing, scored, tokens)
 
@@ -177,7 +182,7 @@ ATTRS = SCORED + rf""", p AS (SELECT page_id, max(text) FILTER (role = 'NAME') A
 
 def attrs_of(tokens, page_sizes, names=None):
     modes, cands = kv.main_mode(tokens), kv.value_candidates(tokens, page_sizes)
-    scored = kv.score_candidates(kv.with_extracted_name(cands, names) if names else cands, kv.label_candidates(tokens), modes, tokens)
+    scored = kv.score_candidates(kv.with_extracted_name(cands, names, page_sizes) if names else cands, kv.label_candidates(tokens), modes, tokens)
     return kv.build_panel_attrs(kv.pick_by_role(scored), modes)
 
 
